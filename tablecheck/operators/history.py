@@ -13,7 +13,6 @@ def record(points: DataFrame, path: str, run_at: str | None = None) -> None:
     rows = stamped.select(
         F.col("name").cast("string"), F.col("value").cast("double"), F.col("run_at").cast("timestamp")
     ).withColumn("run_date", F.to_date("run_at"))
-    # one writer per day and slice of names, so that a day is neither one file nor one per task
     rows.write.mode("append").partitionBy("run_date").parquet(path)
 
 

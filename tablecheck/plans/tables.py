@@ -7,6 +7,7 @@ side-by-side comparison. Both define the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "2001-08-02 00:00:00"
@@ -112,6 +113,9 @@ def with_tables(names: list[str], body: str, recursive: bool = False, extra: dic
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body if parts else body
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Tables:
     """The given tables by name, and the derived ones as plans over them."""
 
@@ -126,7 +130,10 @@ class Tables:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self.GIVEN:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            if path not in _SCHEMAS:  # footers are read once per table, not once per query
+                _SCHEMAS[path] = self.spark.read.parquet(path).schema
+            return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
         if name in ("run_results", "stored_results"):
             return self._over("lineitem", name)
         if name in ("events_gaps", "rule_events", "metric_history"):
