@@ -1,140 +1,136 @@
-"""Pass/fail predicates over measured values. A NULL verdict always counts as a failure."""
+"""Pass/fail predicates as SQL text over a measured value. A NULL verdict is a failure."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from tablecheck.functions.literals import literal, number, text
 
 
-def settled(verdict: Column) -> Column:
-    return F.coalesce(verdict, F.lit(False))
+def settled(verdict: str) -> str:
+    return f"coalesce({verdict}, false)"
 
 
-def present_and_nonzero(v: Column) -> Column:
-    return settled(v.isNotNull() & (v != 0))
+def present_and_nonzero(v: str) -> str:
+    return settled(f"{v} IS NOT NULL AND {v} <> 0")
 
 
-def below(v: Column, limit) -> Column:
-    return settled(v < F.lit(limit).cast("double"))
+def below(v: str, limit) -> str:
+    return settled(f"{v} < {number(limit)}")
 
 
-def above(v: Column, limit) -> Column:
-    return settled(v > F.lit(limit).cast("double"))
+def above(v: str, limit) -> str:
+    return settled(f"{v} > {number(limit)}")
 
 
-def at_most(v: Column, limit) -> Column:
-    return settled(v <= F.lit(limit).cast("double"))
+def at_most(v: str, limit) -> str:
+    return settled(f"{v} <= {number(limit)}")
 
 
-def within(v: Column, low, high) -> Column:
-    return settled(v.between(F.lit(low).cast("double"), F.lit(high).cast("double")))
+def within(v: str, low, high) -> str:
+    return settled(f"{v} BETWEEN {number(low)} AND {number(high)}")
 
 
-def same_number(v: Column, expected) -> Column:
-    """NULL equals only an expected None."""
-    return v.eqNullSafe(F.lit(expected).cast("double"))
+def same(v: str, expected, is_text: bool) -> str:
+    """No coercion: a text never equals a number. Only an expected None equals NULL."""
+    if expected is None:
+        return f"{v} IS NULL"
+    if isinstance(expected, str) != is_text:
+        return "false"
+    return f"{v} <=> {text(expected)}" if is_text else f"CAST({v} AS DOUBLE) <=> {number(expected)}"
 
 
-def count_at_least(v: Column, n: int) -> Column:
-    return settled(v.cast("bigint") >= n)
+def count_at_least(v: str, n: int) -> str:
+    return settled(f"CAST({v} AS BIGINT) >= {n}")
 
 
-def count_between(v: Column, low: int, high: int) -> Column:
-    return settled(v.cast("bigint").between(low, high))
+def count_between(v: str, low: int, high: int) -> str:
+    return settled(f"CAST({v} AS BIGINT) BETWEEN {low} AND {high}")
 
 
-def count_is(v: Column, n: int) -> Column:
-    return settled(v.cast("bigint") == n)
+def count_is(v: str, n: int) -> str:
+    return settled(f"CAST({v} AS BIGINT) = {n}")
 
 
-def text_filled(v: Column) -> Column:
-    return settled(v.rlike(r"\S"))
+def text_filled(v: str) -> str:
+    return settled(f"CAST({v} AS STRING) RLIKE '\\\\S'")
 
 
-def text_in(v: Column, allowed: list) -> Column:
-    known = [str(a) for a in allowed if a is not None]
-    hit = settled(v.isin(known)) if known else F.lit(False)
-    return hit | v.isNull() if None in allowed else hit
+def text_in(v: str, allowed: list) -> str:
+    known = ", ".join(text(str(a)) for a in allowed if a is not None)
+    hit = settled(f"CAST({v} AS STRING) IN ({known})") if known else "false"
+    return f"({hit} OR {v} IS NULL)" if None in allowed else hit
 
 
-def text_starts_with_pattern(v: Column, pattern: str) -> Column:
+def text_starts_with_pattern(v: str, pattern: str) -> str:
     """The pattern is anchored at the start of the text only."""
-    return settled(v.rlike(f"^(?:{pattern})"))
+    return settled(f"CAST({v} AS STRING) RLIKE {text(f'^(?:{pattern})')}")
 
 
-def null_ratio_ok(v: Column, min_ratio: float) -> Column:
-    return settled(F.round(v, 10) <= F.lit(round(1.0 - min_ratio, 10)))
+def null_ratio_ok(v: str, min_ratio: float) -> str:
+    return settled(f"round({v}, 10) <= {number(round(1.0 - min_ratio, 10))}")
 
 
-def custom_expected(v: Column, expected) -> Column:
+def custom_expected(v: str, expected) -> str:
     """None: any value; a pair: inclusive range; a number: equality."""
     if expected is None:
-        return v.isNotNull()
+        return f"{v} IS NOT NULL"
     if isinstance(expected, (list, tuple)) and len(expected) == 2:
-        return within(v, float(expected[0]), float(expected[1]))
-    return settled(v == F.lit(float(expected)))
+        return within(v, expected[0], expected[1])
+    return settled(f"{v} = {number(expected)}")
 
 
-def volume_change_ok(v: Column, baseline: Column | None, max_pct: float) -> Column:
+def volume_change_ok(v: str, baseline: str | None, max_pct: float) -> str:
     """Without a baseline (None, or NULL in the row) any positive volume passes."""
     if baseline is None:
-        return settled(v > 0)
-    change = F.try_divide(F.abs(v - baseline), baseline) * 100
+        return settled(f"{v} > 0")
+    change = f"try_divide(abs({v} - {baseline}), {baseline}) * 100"
     return settled(
-        F.when(baseline.isNull(), v > 0).when(baseline == 0, v == 0).otherwise(change <= max_pct)
+        f"CASE WHEN {baseline} IS NULL THEN {v} > 0 WHEN {baseline} = 0 THEN {v} = 0 "
+        f"ELSE {change} <= {number(max_pct)} END"
     )
 
 
-def compare(a: Column, b: Column, comparator: str, tolerance: float = 0.0) -> Column:
-    if comparator == "equals":
-        return settled(a == b)
-    if comparator == "less_than":
-        return settled(a < b)
-    if comparator == "greater_than":
-        return settled(a > b)
+def compare(a: str, b: str, comparator: str, tolerance: float = 0.0) -> str:
+    simple = {"equals": "=", "less_than": "<", "greater_than": ">"}
+    if comparator in simple:
+        return settled(f"{a} {simple[comparator]} {b}")
     if comparator == "within_pct":
-        gap = F.try_divide(F.abs(a - b), F.abs(b)) * 100
-        return settled(F.when(b == 0, a == 0).otherwise(gap <= tolerance))
-    return F.lit(False)
+        gap = f"try_divide(abs({a} - {b}), abs({b})) * 100"
+        return settled(f"CASE WHEN {b} = 0 THEN {a} = 0 ELSE {gap} <= {number(tolerance)} END")
+    return "false"
 
 
-def deviation_pct(actual: Column, expected: float) -> Column:
+def deviation_pct(actual: str, expected: float) -> str:
     """Deviation relative to the expected value; relative to 1 when that is zero."""
-    scale = abs(float(expected)) or 1.0
-    return F.abs(actual - F.lit(float(expected))) / F.lit(scale) * 100
+    return f"abs({actual} - {number(expected)}) / {number(abs(float(expected)) or 1.0)} * 100"
 
 
-def distribution_ok(mean: Column, std: Column | None, expected_mean, expected_std, tolerance) -> Column:
-    verdict = deviation_pct(mean, expected_mean) <= tolerance
+def distribution_ok(mean: str, std: str | None, expected_mean, expected_std, tolerance: float) -> str:
+    verdict = f"{deviation_pct(mean, expected_mean)} <= {number(tolerance)}"
     if std is not None and expected_std is not None:
-        verdict = verdict & (deviation_pct(std, expected_std) <= tolerance)
+        verdict += f" AND {deviation_pct(std, expected_std)} <= {number(tolerance)}"
     return settled(verdict)
 
 
-def zscore_ok(v: Column, n: Column, mean: Column, std_pop: Column, max_z: float, min_samples: int) -> Column:
+def zscore_ok(v: str, n: str, mean: str, std_pop: str, max_z: float, min_samples: int) -> str:
     """Too little history or a constant history passes."""
-    z = F.try_divide(F.abs(v - mean), std_pop)
     return settled(
-        F.when(F.coalesce(n, F.lit(0)) < min_samples, F.lit(True))
-        .when(std_pop == 0, F.lit(True))
-        .otherwise(z <= max_z)
+        f"CASE WHEN coalesce({n}, 0) < {min_samples} OR {std_pop} = 0 THEN true "
+        f"ELSE try_divide(abs({v} - {mean}), {std_pop}) <= {number(max_z)} END"
     )
 
 
-def trend_ok(n: Column, previous: Column, current: Column, window: int, max_pct: float, direction: str) -> Column:
-    change = F.try_divide(current - previous, F.abs(previous)) * 100
-    if direction == "up":
-        bounded = change <= max_pct
-    elif direction == "down":
-        bounded = change >= -max_pct
-    else:
-        bounded = F.abs(change) <= max_pct
+def trend_ok(n: str, previous: str, current: str, window: int, max_pct: float, direction: str) -> str:
+    change = f"try_divide({current} - {previous}, abs({previous})) * 100"
+    limit = number(max_pct)
+    bounded = {"up": f"{change} <= {limit}", "down": f"{change} >= -{limit}"}.get(
+        direction, f"abs({change}) <= {limit}"
+    )
     return settled(
-        F.when(F.coalesce(n, F.lit(0)) < 2 * window, F.lit(True))
-        .when(previous == 0, current == 0)
-        .otherwise(bounded)
+        f"CASE WHEN coalesce({n}, 0) < {2 * window} THEN true WHEN {previous} = 0 THEN {current} = 0 "
+        f"ELSE {bounded} END"
     )
 
 
-def age_hours(ts: Column, as_of: str | None = None) -> Column:
-    moment = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
-    return (F.unix_micros(moment) - F.unix_micros(ts.cast("timestamp"))) / F.lit(3.6e9)
+def age_hours(ts: str, as_of: str | None = None) -> str:
+    moment = "current_timestamp()" if as_of is None else f"CAST({literal(as_of)} AS TIMESTAMP)"
+    return f"(unix_micros({moment}) - unix_micros(CAST({ts} AS TIMESTAMP))) / 3.6e9D"

@@ -3,6 +3,7 @@
 A kind belongs to a family that says how its measure is obtained:
 
 ``scan``     aggregates of the table itself; all of them share one aggregation
+``python``   rows that a user's Python predicate rejects
 ``keys``     distinct and duplicate counts; all of them share one narrow shuffle
 ``schema``   known from the schema, no data read
 ``parent``   child keys without a parent row (anti join)
@@ -19,7 +20,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablecheck.functions import verdicts as V
-from tablecheck.functions.predicates import guarded_predicate
+from tablecheck.functions.literals import name, number
 
 
 @dataclass(frozen=True)
@@ -43,149 +44,130 @@ class Rule:
     def expected(self) -> str:
         return f"{self.kind}({self.value})"
 
-    def opt(self, name: str, default=None):
-        return self.options.get(name, default)
+    def opt(self, option: str, default=None):
+        return self.options.get(option, default)
 
 
 @dataclass(frozen=True)
 class Kind:
+    """``measures`` gives aggregate expressions as SQL text, ``verdict`` judges their values.
+
+    The verdict sees the names of the measured columns and whether the first one is a text.
+    """
+
     family: str
-    measures: Callable[[Rule], list[Column]]
-    verdict: Callable[[Rule, list[Column]], Column]
+    measures: Callable[[Rule], list[str]]
+    verdict: Callable[[Rule, list[str], bool], str] | None
 
 
 def quoted(column: str) -> Column:
-    return F.col("`" + column.replace("`", "``") + "`")
+    return F.col(name(column))
 
 
-def _free(rule: Rule) -> list[Column]:
+def _free(rule: Rule) -> list[str]:
     if rule.metric is None:
         raise ValueError(f"check '{rule.name}': {rule.kind} needs a metric or a query")
-    return [F.expr(rule.metric)]
+    return [rule.metric]
 
 
-def _rows(rule: Rule) -> list[Column]:
-    return _free(rule) if rule.metric else [F.count(F.lit(1))]
+def _rows(rule: Rule) -> list[str]:
+    return [rule.metric or "count(1)"]
 
 
-def _violations(test: Callable[[Rule, Column], Column]):
-    """Rows of ``rule.column`` that fail the test; without a column, the free metric."""
+def _violations(test: Callable[[Rule, str], str]):
+    """Rows of ``rule.column`` that fail the test; without a column, the free metric is tested."""
 
-    def measures(rule: Rule) -> list[Column]:
-        if rule.column is None:
-            return _free(rule)
-        return [F.count_if(~test(rule, quoted(rule.column)))]
+    def measures(rule: Rule) -> list[str]:
+        return _free(rule) if rule.column is None else [f"count_if(NOT ({test(rule, name(rule.column))}))"]
 
-    def verdict(rule: Rule, m: list[Column]) -> Column:
-        if rule.column is None:
-            return test(rule, m[0].cast("string"))
-        return V.count_is(m[0], 0)
+    def verdict(rule: Rule, m: list[str], is_text: bool) -> str:
+        return test(rule, m[0]) if rule.column is None else V.count_is(m[0], 0)
 
     return measures, verdict
 
 
-def _accepted(rule: Rule, c: Column) -> Column:
-    hit = V.text_in(c.cast("string"), list(rule.value))
-    return hit if rule.opt("count_nulls", True) else hit | c.isNull()
+def _accepted(rule: Rule, v: str) -> str:
+    hit = V.text_in(v, list(rule.value))
+    return hit if rule.opt("count_nulls", True) else f"({hit} OR {v} IS NULL)"
 
 
-def _equals(rule: Rule, m: list[Column]) -> Column:
-    """No coercion: a text never equals a number."""
-    if isinstance(rule.value, str):
-        is_text = F.typeof(m[0]) == "string"
-        return is_text & m[0].cast("string").eqNullSafe(F.lit(rule.value))
-    if rule.value is None:
-        return m[0].isNull()
-    return (F.typeof(m[0]) != "string") & V.same_number(m[0].try_cast("double"), rule.value)
-
-
-def _null_ratio(rule: Rule) -> list[Column]:
-    if rule.metric:
-        return _free(rule)
-    total = F.count(F.lit(1))
-    return [F.try_divide(total - F.count(quoted(rule.column)), total)]
+def _null_ratio(rule: Rule) -> list[str]:
+    return [rule.metric or f"try_divide(count(1) - count({name(rule.column)}), count(1))"]
 
 
-def _mean_z(rule: Rule) -> list[Column]:
+def _mean_z(rule: Rule) -> list[str]:
     if rule.metric:
-        return _free(rule)
-    c = quoted(rule.column).cast("double")
-    return [F.try_divide(F.abs(F.avg(c) - F.lit(float(rule.opt("expected", 0.0)))), F.stddev_samp(c))]
+        return [rule.metric]
+    c, centre = name(rule.column), number(rule.opt("expected", 0.0))
+    return [f"try_divide(abs(avg({c}) - {centre}), stddev_samp({c}))"]
 
 
-def _not_condition(rule: Rule) -> list[Column]:
-    return _free(rule) if rule.metric else [F.count_if(~F.expr(str(rule.value)))]
-
-
-def _distribution(rule: Rule) -> list[Column]:
+def _distribution(rule: Rule) -> list[str]:
     if rule.metric:
-        return _free(rule)
-    c = quoted(rule.column).cast("double")
-    return [F.avg(c)] + ([F.stddev_samp(c)] if rule.value[1] is not None else [])
-
+        return [rule.metric]
+    c = name(rule.column)
+    return [f"avg({c})"] + ([f"stddev_samp({c})"] if rule.value[1] is not None else [])
 
-def _newest(rule: Rule) -> list[Column]:
-    newest = F.expr(rule.metric) if rule.metric else F.max(quoted(rule.column))
-    return [V.age_hours(newest, rule.opt("as_of"))]
 
-
-def _predicate(rule: Rule) -> list[Column]:
-    return [F.count_if(~guarded_predicate(rule.value)(quoted(rule.column)))]
+def _number(v: str) -> str:
+    """A measure as a number; a text that is none has no verdict."""
+    return f"try_cast({v} AS DOUBLE)"
 
 
 def _limit(test):
-    return lambda rule, m: test(m[0].cast("double"), rule.value)
+    return lambda rule, m, is_text: test(_number(m[0]), rule.value)
 
 
 def _pair(test):
-    return lambda rule, m: test(m[0].cast("double"), rule.value[0], rule.value[1])
+    return lambda rule, m, is_text: test(_number(m[0]), rule.value[0], rule.value[1])
+
 
+def _no_violation(rule: Rule, m: list[str], is_text: bool) -> str:
+    return V.count_is(m[0], 0)
 
-_filled = _violations(lambda rule, c: V.text_filled(c.cast("string")))
-_listed = _violations(_accepted)
-_shaped = _violations(lambda rule, c: V.text_starts_with_pattern(c.cast("string"), rule.value))
 
 KINDS: dict[str, Kind] = {
-    "is_not_null": Kind("scan", _free, lambda r, m: V.present_and_nonzero(m[0].cast("double"))),
+    "is_not_null": Kind("scan", _free, lambda r, m, t: V.present_and_nonzero(_number(m[0]))),
     "less_than": Kind("scan", _free, _limit(V.below)),
     "greater_than": Kind("scan", _free, _limit(V.above)),
     "between": Kind("scan", _free, _pair(V.within)),
-    "equals": Kind("scan", _free, _equals),
+    "equals": Kind("scan", _free, lambda r, m, t: V.same(m[0], r.value, t)),
     "row_count_at_least": Kind("scan", _rows, _limit(V.count_at_least)),
     "row_count_between": Kind("scan", _rows, _pair(V.count_between)),
-    "not_empty": Kind("scan", *_filled),
-    "accepted_values": Kind("scan", *_listed),
-    "regex_match": Kind("scan", *_shaped),
-    "freshness_hours": Kind("scan", _newest, _limit(V.at_most)),
+    "not_empty": Kind("scan", *_violations(lambda r, v: V.text_filled(v))),
+    "accepted_values": Kind("scan", *_violations(_accepted)),
+    "regex_match": Kind("scan", *_violations(lambda r, v: V.text_starts_with_pattern(v, r.value))),
+    "freshness_hours": Kind(
+        "scan", lambda r: [V.age_hours(r.metric or f"max({name(r.column)})", r.opt("as_of"))], _limit(V.at_most)
+    ),
     "completeness_ratio": Kind("scan", _null_ratio, _limit(V.null_ratio_ok)),
     "statistical_anomaly": Kind("scan", _mean_z, _limit(V.at_most)),
     "custom_sql": Kind("scan", _free, _limit(V.custom_expected)),
     "volume_anomaly": Kind(
         "scan", _rows,
-        lambda r, m: V.volume_change_ok(
-            m[0].cast("double"),
-            None if r.opt("baseline") is None else F.lit(float(r.opt("baseline"))),
-            50.0 if r.value is None else float(r.value),
+        lambda r, m, t: V.volume_change_ok(
+            _number(m[0]), None if r.opt("baseline") is None else number(r.opt("baseline")),
+            50.0 if r.value is None else r.value,
         ),
     ),
-    "row_condition": Kind("scan", _not_condition, lambda r, m: V.count_is(m[0], 0)),
+    "row_condition": Kind("scan", lambda r: [r.metric or f"count_if(NOT ({r.value}))"], _no_violation),
     "distribution_check": Kind(
         "scan", _distribution,
-        lambda r, m: V.distribution_ok(
-            m[0], m[1] if len(m) > 1 else None, r.value[0], r.value[1], r.opt("tolerance_pct", 10.0)
+        lambda r, m, t: V.distribution_ok(
+            _number(m[0]), m[1] if len(m) > 1 else None, r.value[0], r.value[1], r.opt("tolerance_pct", 10.0)
         ),
     ),
-    "custom_script": Kind("scan", _predicate, lambda r, m: V.count_is(m[0], 0)),
-    "duplicate_row": Kind("keys", _free, lambda r, m: V.at_most(m[0].cast("double"), r.value or 0)),
+    "custom_script": Kind("python", _free, _no_violation),
+    "duplicate_row": Kind("keys", _free, lambda r, m, t: V.at_most(_number(m[0]), r.value or 0)),
     "schema_drift": Kind("schema", _free, _limit(V.count_is)),
-    "schema_check": Kind("schema", _free, lambda r, m: V.count_is(m[0], 0)),
-    "referential_integrity": Kind("parent", _free, lambda r, m: V.count_is(m[0], 0)),
+    "schema_check": Kind("schema", _free, _no_violation),
+    "referential_integrity": Kind("parent", _free, _no_violation),
     "cross_table_check": Kind(
         "other", _free,
-        lambda r, m: V.compare(m[0], m[1], r.opt("comparator", "equals"), r.opt("tolerance", 0.0)),
+        lambda r, m, t: V.compare(m[0], m[1], r.opt("comparator", "equals"), r.opt("tolerance", 0.0)),
     ),
-    "zscore_anomaly": Kind("history", _free, None),
-    "trend_check": Kind("history", _free, None),
+    "zscore_anomaly": Kind("history", _rows, None),
+    "trend_check": Kind("history", _rows, None),
 }
 
 
@@ -233,6 +215,6 @@ def schema_mismatches(df: DataFrame, expected: Mapping[str, str | None]) -> int:
     """Expected columns that are absent or whose type name does not contain the expected text."""
     actual = {f.name.lower(): f.dataType.simpleString().lower() for f in df.schema.fields}
     return sum(
-        name.lower() not in actual or (kind is not None and kind.lower() not in actual[name.lower()])
-        for name, kind in expected.items()
+        column.lower() not in actual or (kind is not None and kind.lower() not in actual[column.lower()])
+        for column, kind in expected.items()
     )

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tablecheck.functions.literals import array, literal, name, struct
 from tablecheck.operators import suite
 from tablecheck.operators.checks import Rule, rule_from_dict
 
@@ -72,16 +73,15 @@ def _planned(df: DataFrame, contract: Contract, as_of: str | None) -> tuple[list
     known, measured = [], []
     for promise in contract.columns:
         if promise.column not in df.columns:
-            known.append(("schema", promise.column, None, False, "column missing"))
+            known.append(("schema", promise.column, False, "column missing"))
             continue
-        known.append(("schema", promise.column, None, True, "column present"))
+        known.append(("schema", promise.column, True, "column present"))
         family, wanted = type_family(df.schema[promise.column].dataType), TYPE_NAMES.get(promise.type.lower())
         # a whole number is an acceptable float
         fits = wanted == family or (wanted == "float" and family == "integer")
-        known.append(("type", promise.column, None, fits, f"{promise.type}: found {family}"))
-        quoted = "`" + promise.column.replace("`", "``") + "`"
+        known.append(("type", promise.column, fits, f"{promise.type}: found {family}"))
         if not promise.nullable:
-            rule = Rule(promise.column, "equals", 0, metric=f"count_if({quoted} IS NULL)")
+            rule = Rule(promise.column, "equals", 0, metric=f"count_if({name(promise.column)} IS NULL)")
             measured.append(("not_null", promise.column, rule))
         if promise.unique:
             measured.append(("unique", promise.column, Rule(promise.column, "duplicate_row", 0, column=promise.column)))
@@ -109,21 +109,18 @@ def validate(df: DataFrame, contract: Contract, as_of: str | None = None, **cont
     parts = []
     if known:
         rows = [
-            F.struct(
-                F.lit(rule).alias("rule"), F.lit(target).alias("target"), F.lit(value).cast("double").alias("value"),
-                F.lit(passed).alias("passed"), F.lit(detail).alias("detail"),
-            )
-            for rule, target, value, passed, detail in known
+            struct(rule=literal(rule), target=literal(target), value="CAST(NULL AS DOUBLE)", passed=literal(passed),
+                   detail=literal(detail))
+            for rule, target, passed, detail in known
         ]
-        parts.append(spark.sql("SELECT 1").select(F.inline(F.array(*rows))))
+        parts.append(spark.sql(f"SELECT inline({array(rows)})"))
     if measured:
-        names = F.create_map(*[F.lit(x) for no, (rule, _, _) in enumerate(measured, 1) for x in (no, rule)])
+        names = "map(" + ", ".join(f"{no}, {literal(rule)}" for no, (rule, _, _) in enumerate(measured, 1)) + ")"
         found = suite.evaluate(df, [rule for _, _, rule in measured], **context)
-        parts.append(found.select(
-            names[F.col("check_no")].alias("rule"), F.col("check_name").alias("target"), "value",
+        parts.append(found.selectExpr(
+            f"{names}[check_no] AS rule", "check_name AS target", "value",
             # a check without a value fails, whatever it compares with
-            (F.col("passed") & F.col("value_text").isNotNull() & (F.col("value_text") != "")).alias("passed"),
-            F.coalesce("message", "expected").alias("detail"),
+            "passed AND coalesce(value_text, '') <> '' AS passed", "coalesce(message, expected) AS detail",
         ))
     if not parts:
         parts = [spark.createDataFrame([], "rule string, target string, value double, passed boolean, detail string")]

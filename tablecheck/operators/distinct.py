@@ -8,7 +8,9 @@ the map side, so neither a low-cardinality column nor a hot value is shuffled in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from tablecheck.functions.literals import array, name, struct
 
 _SHORT = 64  # longer texts are compared by their SHA-256 digest, so that wide text is not shuffled
 
@@ -18,34 +20,30 @@ def _utc(df: DataFrame) -> bool:
     return df.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z")
 
 
-def _text_slot(text: Column) -> Column:
-    return F.when(F.octet_length(text) <= _SHORT, F.concat(F.lit("="), text)).otherwise(
-        F.concat(F.lit("#"), F.sha2(text, 256))
-    )
+def _text_slot(value: str) -> str:
+    return f"if(octet_length({value}) <= {_SHORT}, concat('=', {value}), concat('#', sha2({value}, 256)))"
 
 
-def _slots(df: DataFrame, columns: list[str]) -> tuple[Column, Column, Column, Column]:
-    """(is null, whole-number slot, float slot, text slot) of one key."""
-    whole, real, text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+def _slot(df: DataFrame, columns: list[str]) -> tuple[str, str, str]:
+    """(NULL test, slot, expression) of one key."""
     if len(columns) > 1:
-        record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
-        return F.lit(False), whole, real, _text_slot(record)
-    column, kind = F.col(f"`{columns[0]}`"), df.schema[columns[0]].dataType
+        record = "to_json(struct(" + ", ".join(name(c) for c in columns) + "))"
+        return "false", "text", _text_slot(record)
+    column, kind = name(columns[0]), df.schema[columns[0]].dataType
+    missing = f"{column} IS NULL"
     if isinstance(kind, (T.IntegralType, T.BooleanType)):
-        whole = column.cast("bigint")
-    elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        real = column.cast("double")
-    elif isinstance(kind, T.DateType):
-        whole = F.unix_date(column).cast("bigint")
-    elif isinstance(kind, T.TimestampType) or (isinstance(kind, T.TimestampNTZType) and _utc(df)):
-        whole = F.unix_micros(column.cast("timestamp"))
-    elif isinstance(kind, T.BinaryType):
-        text = _text_slot(F.base64(column))
-    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        text = _text_slot(F.to_json(F.struct(column)))
-    else:
-        text = _text_slot(column.cast("string"))
-    return column.isNull(), whole, real, text
+        return missing, "whole", f"CAST({column} AS BIGINT)"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return missing, "real", f"CAST({column} AS DOUBLE)"
+    if isinstance(kind, T.DateType):
+        return missing, "whole", f"CAST(unix_date({column}) AS BIGINT)"
+    if isinstance(kind, T.TimestampType) or (isinstance(kind, T.TimestampNTZType) and _utc(df)):
+        return missing, "whole", f"unix_micros(CAST({column} AS TIMESTAMP))"
+    if isinstance(kind, T.BinaryType):
+        return missing, "text", _text_slot(f"base64({column})")
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return missing, "text", _text_slot(f"to_json(struct({column}))")
+    return missing, "text", _text_slot(f"CAST({column} AS STRING)")
 
 
 def key_counts(df: DataFrame, keys: list[list[str]]) -> DataFrame:
@@ -54,22 +52,16 @@ def key_counts(df: DataFrame, keys: list[list[str]]) -> DataFrame:
     ``distinct_count`` leaves NULL out, as SQL does; ``duplicate_groups`` counts the values
     (NULL among them) that occur more than once.
     """
-    copies = []
-    for no, columns in enumerate(keys):
-        missing, whole, real, text = _slots(df, columns)
-        copies.append(
-            F.struct(
-                F.lit(no).alias("key_no"), missing.alias("missing"),
-                whole.alias("whole"), real.alias("real"), text.alias("text"),
-            )
-        )
-    per_value = (
-        df.select(F.inline(F.array(*copies)))
-        .groupBy("key_no", "missing", "whole", "real", "text")
-        .agg(F.count("*").alias("n"))
-    )
+    found = [_slot(df, columns) for columns in keys]
+    types = {"whole": "BIGINT", "real": "DOUBLE", "text": "STRING"}
+    used = [s for s in types if any(slot == s for _, slot, _ in found)]  # no column for an unused type
+    copies = [
+        struct(key_no=str(no), missing=missing,
+               **{s: value if s == slot else f"CAST(NULL AS {types[s]})" for s in used})
+        for no, (missing, slot, value) in enumerate(found)
+    ]
+    per_value = df.selectExpr(f"inline({array(copies)})").groupBy("key_no", "missing", *used).count()
     return per_value.groupBy("key_no").agg(
-        F.sum("n").alias("total"),
-        F.count_if(~F.col("missing")).alias("distinct_count"),
-        F.count_if(F.col("n") > 1).alias("duplicate_groups"),
+        F.expr("sum(count) AS total"), F.expr("count_if(NOT missing) AS distinct_count"),
+        F.expr("count_if(count > 1) AS duplicate_groups"),
     )

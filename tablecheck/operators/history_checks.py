@@ -15,7 +15,7 @@ def zscore_check(current: DataFrame, history: DataFrame, max_z: float = 3.0, min
     )
     return current.join(stats, "name", "left").select(
         "name", "value",
-        V.zscore_ok(F.col("value"), F.col("n"), F.col("mean"), F.col("std"), max_z, min_samples).alias("passed"),
+        F.expr(V.zscore_ok("value", "n", "mean", "std", max_z, min_samples)).alias("passed"),
     )
 
 
@@ -27,8 +27,7 @@ def trend_points(history: DataFrame, window: int = 7, max_pct: float = 20.0, dir
         F.avg(F.when(newer, F.col("value"))).alias("cur"),
         F.avg(F.when(~newer, F.col("value"))).alias("prev"),
     )
-    passed = V.trend_ok(F.col("n"), F.col("prev"), F.col("cur"), window, max_pct, direction)
-    return stats.withColumn("passed", passed)
+    return stats.withColumn("passed", F.expr(V.trend_ok("n", "prev", "cur", window, max_pct, direction)))
 
 
 def trend_check(current: DataFrame, history: DataFrame, window: int = 7, max_pct: float = 20.0, direction: str = "any") -> DataFrame:
@@ -45,7 +44,7 @@ def volume_by_day(df: DataFrame, time_column: str, max_pct: float = 50.0) -> Dat
     # one row per calendar day is left here, so the single ordered window stays small
     baseline = F.lag("value").over(Window.orderBy("day"))
     return days.withColumn("baseline", baseline).withColumn(
-        "passed", V.volume_change_ok(F.col("value"), F.col("baseline"), max_pct)
+        "passed", F.expr(V.volume_change_ok("value", "baseline", max_pct))
     )
 
 
@@ -53,7 +52,7 @@ def distribution_by_group(
     df: DataFrame, group: str, column: str, mean: float, std: float | None, tolerance_pct: float = 10.0
 ) -> DataFrame:
     stats = df.groupBy(group).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
-    return stats.withColumn("passed", V.distribution_ok(F.col("mean"), F.col("std"), mean, std, tolerance_pct))
+    return stats.withColumn("passed", F.expr(V.distribution_ok("mean", "std", mean, std, tolerance_pct)))
 
 
 def volume_check(current: DataFrame, history: DataFrame, max_pct: float = 50.0) -> DataFrame:
@@ -63,5 +62,5 @@ def volume_check(current: DataFrame, history: DataFrame, max_pct: float = 50.0)
     )
     return current.join(newest, "name", "left").select(
         "name", "value", "baseline",
-        V.volume_change_ok(F.col("value"), F.col("baseline"), max_pct).alias("passed"),
+        F.expr(V.volume_change_ok("value", "baseline", max_pct)).alias("passed"),
     )

@@ -6,96 +6,90 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tablecheck.functions.literals import array, literal, name, struct, text
 from tablecheck.functions.naming import format_for, personal_tag
-from tablecheck.operators.checks import quoted
 from tablecheck.operators.distinct import key_counts
 from tablecheck.session import constant_rows
 
 _TIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def looks_dated(text: Column) -> Column:
+def looks_dated(value: str) -> str:
     """At least eight characters with a date or time separator among them."""
-    return (F.length(text) >= 8) & text.rlike("[-/:]")
-
-
-def _text(column: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return column.cast("string")
-
-
-def _stats(column: str, kind: T.DataType, no: int, approximate: bool) -> list[Column]:
-    """Aggregates of one column. What the type rules out is a NULL literal, never a failing cast."""
-    c = quoted(column)
-    nothing = F.lit(None)
-    numeric = isinstance(kind, (T.NumericType, T.StringType))
-    nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
-    number = c.cast("double") if isinstance(kind, T.NumericType) else c.try_cast("double") if numeric else None
-    texts = isinstance(kind, T.StringType)
-    ordered = texts or isinstance(kind, _TIME)
-    cells = [
-        F.count(c).alias(f"c{no}_filled"),
-        (F.min(number) if numeric else nothing.cast("double")).alias(f"c{no}_min"),
-        (F.max(number) if numeric else nothing.cast("double")).alias(f"c{no}_max"),
-        (F.avg(number) if numeric else nothing.cast("double")).alias(f"c{no}_avg"),
-        (F.min(F.length(c)) if texts else nothing.cast("int")).alias(f"c{no}_short"),
-        (F.max(F.length(c)) if texts else nothing.cast("int")).alias(f"c{no}_long"),
-        (_text(F.min(c), kind) if ordered else nothing.cast("string")).alias(f"c{no}_first"),
-        (_text(F.max(c), kind) if ordered else nothing.cast("string")).alias(f"c{no}_last"),
-    ]
+    return f"(length({value}) >= 8 AND {value} RLIKE '[-/:]')"
+
+
+def _stats(column: str, kind: T.DataType, no: int, approximate: bool) -> list[str]:
+    """Aggregates of one column. What the type rules out is a NULL, never a failing cast."""
+    c = name(column)
+    texts, times = isinstance(kind, T.StringType), isinstance(kind, _TIME)
+    number = f"CAST({c} AS DOUBLE)" if isinstance(kind, T.NumericType) else f"try_cast({c} AS DOUBLE)" if texts else None
+    cells = [f"count({c}) AS c{no}_filled"]
+    for cell, function in (("min", "min"), ("max", "max"), ("avg", "avg")):
+        cells.append(f"{f'{function}({number})' if number else 'CAST(NULL AS DOUBLE)'} AS c{no}_{cell}")
+    for cell, function in (("short", "min"), ("long", "max")):
+        cells.append(f"{f'{function}(length({c}))' if texts else 'CAST(NULL AS INT)'} AS c{no}_{cell}")
+    for cell, function in (("first", "min"), ("last", "max")):
+        value = f"{function}({c})" if texts or times else "CAST(NULL AS STRING)"
+        if times and not isinstance(kind, T.DateType):
+            value = f"date_format({value}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+        cells.append(f"CAST({value} AS STRING) AS c{no}_{cell}")
     if approximate:
-        measured = F.to_json(F.struct(c)) if nested else c
-        cells.append(F.approx_count_distinct(F.when(c.isNotNull(), measured), 0.01).alias(f"c{no}_distinct"))
+        nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+        value = f"if({c} IS NULL, NULL, to_json(struct({c})))" if nested else c
+        cells.append(f"approx_count_distinct({value}) AS c{no}_distinct")
     return cells
 
 
-def column_type(kind: T.DataType, filled: Column, avg: Column, first: Column) -> Column:
+def _column_type(kind: T.DataType, no: int) -> str:
     """unknown without values; numeric when any value is a number; date when the least text is dated."""
+    settled = "'string'"
     if isinstance(kind, _TIME):
-        settled = F.lit("date")
+        settled = "'date'"
     elif isinstance(kind, T.NumericType):
-        settled = F.lit("numeric")
+        settled = "'numeric'"
     elif isinstance(kind, T.StringType):
-        settled = F.when(avg.isNotNull(), "numeric").when(looks_dated(first), "date").otherwise("string")
-    else:
-        settled = F.lit("string")
-    return F.when(filled == 0, "unknown").otherwise(settled)
+        settled = f"CASE WHEN c{no}_avg IS NOT NULL THEN 'numeric' WHEN {looks_dated(f'c{no}_first')} THEN 'date' ELSE 'string' END"
+    return f"CASE WHEN c{no}_filled = 0 THEN 'unknown' ELSE {settled} END"
 
 
 def profile_table(df: DataFrame, columns: list[str] | None = None, distinct: str = "exact") -> DataFrame:
     """One row per column, all statistics of all columns from one aggregation.
 
-    Exact distinct counts come from one more narrow pass (see ``distinct.key_counts``);
-    ``distinct="approx"`` takes sketches in the first pass instead and shuffles nothing.
+    Exact distinct counts come from one more narrow pass (see ``distinct.key_counts``).
+    ``distinct="approx"`` takes sketches in the first pass instead and shuffles nothing,
+    ``distinct="none"`` leaves the count NULL.
     """
     columns = columns or df.columns
-    approximate = distinct == "approx"
-    cells = [c for no, name in enumerate(columns) for c in _stats(name, df.schema[name].dataType, no, approximate)]
-    measured = df.agg(F.count(F.lit(1)).alias("rows"), *cells)
-    structs = []
-    for no, name in enumerate(columns):
-        kind = df.schema[name].dataType
-        part = {k: F.col(f"c{no}_{k}") for k in ("filled", "min", "max", "avg", "short", "long", "first", "last")}
-        inferred = column_type(kind, part["filled"], part["avg"], part["first"])
-        numeric, dated, plain = inferred == "numeric", inferred == "date", inferred == "string"
-        structs.append(F.struct(
-            F.lit(no).alias("ordinal"), F.lit(name).alias("column_name"), inferred.alias("col_type"),
-            F.col("rows").alias("row_count"), (F.col("rows") - part["filled"]).alias("null_count"),
-            F.coalesce(F.round(F.try_divide((F.col("rows") - part["filled"]) * F.lit(100.0), F.col("rows")), 2), F.lit(0.0)).alias("null_pct"),
-            F.when(numeric, part["min"]).alias("min_num"), F.when(numeric, part["max"]).alias("max_num"),
-            F.when(numeric, F.round(part["avg"], 2)).alias("avg_val"),
-            F.when(dated, part["first"]).alias("min_text"), F.when(dated, part["last"]).alias("max_text"),
-            F.when(plain, part["short"]).alias("min_length"), F.when(plain, part["long"]).alias("max_length"),
-            (F.col(f"c{no}_distinct") if approximate else F.lit(None).cast("bigint")).alias("distinct_count"),
-        ))
-    profile = measured.select(F.inline(F.array(*structs)))
-    if approximate:
-        return profile
-    counts = key_counts(df, [[c] for c in columns]).select(F.col("key_no").alias("ordinal"), "distinct_count")
-    return profile.drop("distinct_count").join(counts, "ordinal", "left").withColumn(
-        "distinct_count", F.coalesce("distinct_count", F.lit(0).cast("bigint"))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    cells = [c for no, column in enumerate(columns) for c in _stats(column, kinds[column], no, distinct == "approx")]
+    measured = df.agg(F.expr(f"struct(count(1) AS total, {', '.join(cells)}) AS measured")).selectExpr("measured.*")
+    rows = [
+        struct(
+            ordinal=str(no), column_name=literal(column), col_type=_column_type(kinds[column], no), row_count="total",
+            filled=f"c{no}_filled", min_num=f"c{no}_min", max_num=f"c{no}_max", avg_val=f"c{no}_avg",
+            min_text=f"c{no}_first", max_text=f"c{no}_last", min_length=f"c{no}_short", max_length=f"c{no}_long",
+            distinct_count=f"c{no}_distinct" if distinct == "approx" else "CAST(NULL AS BIGINT)",
+        )
+        for no, column in enumerate(columns)
+    ]
+    def only(kind: str, value: str, column: str) -> str:
+        return f"if(col_type = '{kind}', {value}, NULL) AS {column}"
+
+    profile = measured.selectExpr(f"inline({array(rows)})").selectExpr(
+        "ordinal", "column_name", "col_type", "row_count", "row_count - filled AS null_count",
+        "coalesce(round(try_divide((row_count - filled) * 100.0D, row_count), 2), 0.0D) AS null_pct",
+        only("numeric", "min_num", "min_num"), only("numeric", "max_num", "max_num"),
+        only("numeric", "round(avg_val, 2)", "avg_val"), only("date", "min_text", "min_text"),
+        only("date", "max_text", "max_text"), only("string", "min_length", "min_length"),
+        only("string", "max_length", "max_length"), "distinct_count",
     )
+    if distinct != "exact":
+        return profile
+    counts = key_counts(df, [[c] for c in columns]).selectExpr("key_no AS ordinal", "distinct_count AS counted")
+    return profile.join(counts, "ordinal", "left").withColumn(
+        "distinct_count", F.coalesce("counted", F.lit(0))
+    ).drop("counted")
 
 
 def profile_many(tables: dict[str, DataFrame], distinct: str = "exact") -> DataFrame:
@@ -106,19 +100,14 @@ def profile_many(tables: dict[str, DataFrame], distinct: str = "exact") -> DataF
 
 def sample_types(df: DataFrame, sample: int = 10) -> DataFrame:
     """The type that the first ``sample`` non-null values of each column suggest."""
-    spark = df.sparkSession
+    kind = (
+        "CASE WHEN count(v) = 0 THEN 'unknown' WHEN count(try_cast(v AS DOUBLE)) > 0 THEN 'numeric' "
+        f"WHEN count_if({looks_dated('v')}) > 0 THEN 'date' ELSE 'string' END AS sample_type"
+    )
     parts = []
-    for no, name in enumerate(df.columns):
-        text = quoted(name).cast("string")
-        few = df.select(text.alias("v")).where("v IS NOT NULL").limit(sample)
-        kind = (
-            F.when(F.count("v") == 0, "unknown")
-            .when(F.count(F.col("v").try_cast("double")) > 0, "numeric")
-            .when(F.count_if(looks_dated(F.col("v"))) > 0, "date")
-            .otherwise("string")
-        )
-        parts.append(few.agg(kind.alias("sample_type")).select(
-            F.lit(no).alias("ordinal"), F.lit(name).alias("column_name"), "sample_type"))
+    for no, column in enumerate(df.columns):
+        few = df.selectExpr(f"CAST({name(column)} AS STRING) AS v").where("v IS NOT NULL").limit(sample)
+        parts.append(few.agg(F.expr(kind)).selectExpr(f"{no} AS ordinal", f"{literal(column)} AS column_name", "sample_type"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -153,19 +142,19 @@ def personal_summary(report: DataFrame) -> DataFrame:
 
 def scan_personal(df: DataFrame) -> DataFrame:
     """Share of values that have the format their column's name promises, one aggregation for all."""
-    tagged = [(name, *found) for name in df.columns if (found := format_for(name))]
+    tagged = [(column, *found) for column in df.columns if (found := format_for(column))]
     if not tagged:
         return constant_rows(df.sparkSession, [], "column_name string, keyword string, matching bigint, filled bigint, match_ratio double")
-    cells, structs = [], []
-    for no, (name, keyword, pattern) in enumerate(tagged):
-        text = quoted(name).cast("string")
-        cells += [F.count_if(text.rlike(pattern)).alias(f"hit{no}"), F.count(text).alias(f"all{no}")]
-        structs.append(F.struct(
-            F.lit(name).alias("column_name"), F.lit(keyword).alias("keyword"),
-            F.col(f"hit{no}").alias("matching"), F.col(f"all{no}").alias("filled"),
-            F.round(F.try_divide(F.col(f"hit{no}"), F.col(f"all{no}")), 6).alias("match_ratio"),
+    cells, rows = [], []
+    for no, (column, keyword, pattern) in enumerate(tagged):
+        value = f"CAST({name(column)} AS STRING)"
+        cells += [f"count_if({value} RLIKE {text(pattern)}) AS hit{no}", f"count({value}) AS all{no}"]
+        rows.append(struct(
+            column_name=literal(column), keyword=literal(keyword), matching=f"hit{no}", filled=f"all{no}",
+            match_ratio=f"round(try_divide(hit{no}, all{no}), 6)",
         ))
-    return df.agg(*cells).select(F.inline(F.array(*structs)))
+    measured = df.agg(F.expr(f"struct({', '.join(cells)}) AS measured")).selectExpr("measured.*")
+    return measured.selectExpr(f"inline({array(rows)})")
 
 
 # -- glossary ----------------------------------------------------------------------------------
@@ -188,8 +177,8 @@ def merge_glossary(profile: DataFrame, updates: DataFrame) -> DataFrame:
 
 def export_rows(profile: DataFrame) -> DataFrame:
     """The export layout: two decimals, Yes/No flags, 0 for a missing average, by column name."""
-    def text(name: str) -> Column:
-        return F.col(name) if name in profile.columns else F.lit(None).cast("string")
+    def note(field: str) -> Column:
+        return F.col(field) if field in profile.columns else F.lit(None).cast("string")
 
     return profile.select(
         F.col("column_name").alias("Column"), F.col("col_type").alias("Type"), F.col("row_count").alias("RowCount"),
@@ -198,6 +187,6 @@ def export_rows(profile: DataFrame) -> DataFrame:
         F.coalesce(F.round("max_num", 4).cast("string"), "max_text").alias("Max"),
         F.coalesce(F.round("avg_val", 2), F.lit(0.0)).alias("Avg"),
         F.when(F.col("is_pii"), "Yes").otherwise("No").alias("IsPII"), F.col("pii_type").alias("PIIType"),
-        text("business_name").alias("BusinessName"), text("description").alias("Description"),
-        text("owner").alias("Owner"), text("tags").alias("Tags"),
+        note("business_name").alias("BusinessName"), note("description").alias("Description"),
+        note("owner").alias("Owner"), note("tags").alias("Tags"),
     )

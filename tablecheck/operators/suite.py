@@ -3,105 +3,131 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
+from tablecheck.functions.literals import array, literal, name, struct
+from tablecheck.functions.predicates import guarded_predicate
 from tablecheck.operators import history_checks as H
 from tablecheck.operators.checks import KINDS, Rule, orphan_count, schema_mismatches
 from tablecheck.operators.distinct import key_counts
 
 Numbered = list[tuple[int, Rule]]
+Failures = list[tuple[int, Rule, str]]
 
 
-def _result(no: int, rule: Rule, value: Column, text: Column, passed: Column, message: str | None = None) -> Column:
-    return F.struct(
-        F.lit(no).alias("check_no"),
-        F.lit(rule.name).alias("check_name"),
-        F.round(value.cast("double"), 6).alias("value"),
-        text.cast("string").alias("value_text"),
-        F.lit(rule.expected).alias("expected"),
-        passed.alias("passed"),
-        F.lit(message).cast("string").alias("message"),
-    )
+@dataclass
+class Context:
+    tables: Mapping[str, DataFrame] = field(default_factory=dict)
+    history: DataFrame | None = None
 
 
-def _none() -> Column:
-    return F.lit(None).cast("double")
+def _result(no: int, rule: Rule, value: str, shown: str, passed: str, message: str | None = None) -> str:
+    return struct(
+        check_no=str(no), check_name=literal(rule.name), value=f"round(CAST({value} AS DOUBLE), 6)",
+        value_text=f"CAST({shown} AS STRING)", expected=literal(rule.expected), passed=passed,
+        message=f"CAST({literal(message)} AS STRING)",
+    )
 
 
-def _constant(spark: SparkSession, structs: list[Column]) -> DataFrame:
-    return spark.sql("SELECT 1").select(F.inline(F.array(*structs)))
+def _rows(measured: DataFrame, results: list[str]) -> DataFrame:
+    return measured.selectExpr(f"inline({array(results)})")
 
 
-def _broken(spark: SparkSession, failures: list[tuple[int, Rule, str]]) -> list[DataFrame]:
-    if not failures:
-        return []
-    return [_constant(spark, [_result(no, r, _none(), _none(), F.lit(False), text) for no, r, text in failures])]
+def _broken(spark: SparkSession, failures: Failures) -> list[DataFrame]:
+    """Rules that could not be measured are failed rows with the reason as their message."""
+    results = [_result(no, rule, "NULL", "NULL", "false", reason) for no, rule, reason in failures]
+    return [spark.sql(f"SELECT inline({array(results)})")] if results else []
 
 
-def _first_line(error: Exception) -> str:
+def _reason(error: Exception) -> str:
     return f"{type(error).__name__}: {str(error).strip().splitlines()[0]}"
 
 
-def _judge(no: int, rule: Rule, names: list[str], types: dict[str, str]) -> Column:
-    cells = [F.col(n) for n in names]
-    text = F.concat_ws(",", *[c.cast("string") for c in cells])
-    number = cells[0].try_cast("double") if types[names[0]] == "string" else cells[0]
-    if types[names[0]] not in ("string", "tinyint", "smallint", "int", "bigint", "float", "double") and not types[
-        names[0]
-    ].startswith("decimal"):
-        number = _none()
-    return _result(no, rule, number, text, KINDS[rule.kind].verdict(rule, cells))
+def _measure(df: DataFrame, cells: list[tuple[str, str]]) -> DataFrame:
+    """One aggregation of the whole table for all ``(name, aggregate)`` cells."""
+    listed = ", ".join(f"({expression}) AS {cell}" for cell, expression in cells)
+    return df.agg(F.expr(f"struct({listed}) AS measured")).selectExpr("measured.*")
 
 
-def _by_scan(df: DataFrame, items: Numbered, _) -> list[DataFrame]:
-    """All measures in one aggregation. A rule that does not resolve becomes a failed row."""
-    spark = df.sparkSession
-    good: list[tuple[int, Rule, list[Column]]] = []
-    failures = []
+def _judged(no: int, rule: Rule, cells: list[str], schema: T.StructType) -> str:
+    kind = schema[cells[0]].dataType
+    is_text = isinstance(kind, T.StringType)
+    value = f"try_cast({cells[0]} AS DOUBLE)" if is_text else cells[0]
+    if not isinstance(kind, (T.StringType, T.NumericType, T.NullType)):
+        value = "NULL"  # a time or a flag has no number; its text is shown
+    shown = f"concat_ws(',', {', '.join(f'CAST({c} AS STRING)' for c in cells)})" if len(cells) > 1 else cells[0]
+    return _result(no, rule, value, shown, KINDS[rule.kind].verdict(rule, cells, is_text))
+
+
+def _by_scan(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
+    """All measures in one aggregation. A rule that does not resolve is taken out and reported."""
+    cells: dict[int, list[tuple[str, str]]] = {}
+    failures: Failures = []
     for no, rule in items:
         try:
-            cells = [m.alias(f"m{no}_{j}") for j, m in enumerate(KINDS[rule.kind].measures(rule))]
-            df.agg(*cells).schema
-            good.append((no, rule, cells))
-        except (PySparkException, ValueError, TypeError) as error:
-            failures.append((no, rule, _first_line(error)))
-    parts = _broken(spark, failures)
-    if good:
-        measured = df.agg(*[c for _, _, cells in good for c in cells])
-        types = dict(measured.dtypes)
-        structs = [
-            _judge(no, rule, [f"m{no}_{j}" for j in range(len(cells))], types) for no, rule, cells in good
-        ]
-        parts.append(measured.select(F.inline(F.array(*structs))))
+            cells[no] = [(f"m{no}_{j}", m) for j, m in enumerate(KINDS[rule.kind].measures(rule))]
+        except (ValueError, TypeError) as error:
+            failures.append((no, rule, _reason(error)))
+    kept = [(no, rule) for no, rule in items if no in cells]
+    measured = None
+    try:
+        if kept:
+            measured = _measure(df, [c for no, _ in kept for c in cells[no]])
+    except PySparkException:
+        sound = []
+        for no, rule in kept:
+            try:
+                _measure(df, cells[no])
+                sound.append((no, rule))
+            except PySparkException as error:
+                failures.append((no, rule, _reason(error)))
+        kept = sound
+        measured = _measure(df, [c for no, _ in kept for c in cells[no]]) if kept else None
+    parts = _broken(df.sparkSession, failures)
+    if measured is not None:
+        schema = measured.schema
+        parts.append(_rows(measured, [_judged(no, r, [c for c, _ in cells[no]], schema) for no, r in kept]))
     return parts
 
 
-def _by_query(df: DataFrame, items: Numbered, _) -> list[DataFrame]:
+def _by_python(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
+    """Python predicates in a job of their own: the other measures stay in compiled code."""
+    known = [(no, rule) for no, rule in items if rule.column in df.columns]
+    parts = _broken(df.sparkSession, [(no, r, f"no column {r.column}") for no, r in items if r.column not in df.columns])
+    if known:
+        tried = df.select(*[guarded_predicate(r.value)(F.col(name(r.column))).alias(f"ok{no}") for no, r in known])
+        measured = _measure(tried, [(f"m{no}_0", f"count_if(NOT ok{no})") for no, _ in known])
+        parts.append(_rows(measured, [_judged(no, r, [f"m{no}_0"], measured.schema) for no, r in known]))
+    return parts
+
+
+def _by_query(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
     """Whole scalar queries over the view ``source``, as scalar subqueries of one statement."""
     spark = df.sparkSession
     df.createOrReplaceTempView("source")
-    cells, types, good, failures = [], {}, [], []
+    answers, good, failures = [], [], []
     for no, rule in items:
         try:
             answer = spark.sql(rule.query)
             first = answer.toDF(*[f"m{no}_{j}" for j in range(len(answer.columns))]).select(f"m{no}_0").limit(1)
-            types.update(first.dtypes)
-            cells.append(first.scalar().alias(f"m{no}_0"))
+            answers.append(first.scalar().alias(f"m{no}_0"))
             good.append((no, rule))
         except PySparkException as error:
-            failures.append((no, rule, _first_line(error)))
+            failures.append((no, rule, _reason(error)))
     parts = _broken(spark, failures)
     if good:
-        answers = spark.sql("SELECT 1").select(*cells)
-        parts.append(answers.select(F.inline(F.array(*[_judge(no, r, [f"m{no}_0"], types) for no, r in good]))))
+        measured = spark.sql("SELECT 1").select(*answers)
+        schema = measured.schema
+        parts.append(_rows(measured, [_judged(no, r, [f"m{no}_0"], schema) for no, r in good]))
     return parts
 
 
-def _by_keys(df: DataFrame, items: Numbered, _) -> list[DataFrame]:
-    spark, sets, wanted, failures = df.sparkSession, [], [], []
+def _by_keys(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
+    sets, wanted, failures = [], [], []
     for no, rule in items:
         columns = [rule.column] if isinstance(rule.column, str) else list(rule.column or df.columns)
         missing = [c for c in columns if c not in df.columns]
@@ -111,110 +137,95 @@ def _by_keys(df: DataFrame, items: Numbered, _) -> list[DataFrame]:
         if columns not in sets:
             sets.append(columns)
         wanted.append((no, rule, sets.index(columns)))
-    parts = _broken(spark, failures)
+    parts = _broken(df.sparkSession, failures)
     if wanted:
-        # one row per key set in, one row per rule out; an empty table yields zeros
-        counts = key_counts(df, sets)
-        measures = []
+        # one row per key set in, one row of measures out; an empty table measures zero
+        cells = []
         for no, rule, key in wanted:
-            value = (
-                F.col("duplicate_groups") if rule.opt("form") == "groups" else F.col("total") - F.col("distinct_count")
-            )
-            measures.append(F.coalesce(F.sum(F.when(F.col("key_no") == key, value)), F.lit(0)).alias(f"m{no}_0"))
-        measured = counts.agg(*measures)
-        types = dict(measured.dtypes)
-        parts.append(
-            measured.select(F.inline(F.array(*[_judge(no, r, [f"m{no}_0"], types) for no, r, _ in wanted])))
-        )
+            value = "duplicate_groups" if rule.opt("form") == "groups" else "total - distinct_count"
+            cells.append((f"m{no}_0", f"coalesce(sum(if(key_no = {key}, {value}, 0)), 0)"))
+        measured = _measure(key_counts(df, sets), cells)
+        schema = measured.schema
+        parts.append(_rows(measured, [_judged(no, r, [f"m{no}_0"], schema) for no, r, _ in wanted]))
     return parts
 
 
-def _by_schema(df: DataFrame, items: Numbered, _) -> list[DataFrame]:
-    structs = []
+def _by_schema(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
+    results = []
     for no, rule in items:
-        found = len(df.columns) if rule.kind == "schema_drift" else schema_mismatches(df, rule.value or {})
-        value = F.lit(found)
-        structs.append(_result(no, rule, value, value, KINDS[rule.kind].verdict(rule, [value])))
-    return [_constant(df.sparkSession, structs)]
+        found = str(len(df.columns) if rule.kind == "schema_drift" else schema_mismatches(df, rule.value or {}))
+        results.append(_result(no, rule, found, found, KINDS[rule.kind].verdict(rule, [found], False)))
+    return [df.sparkSession.sql(f"SELECT inline({array(results)})")]
 
 
-def _by_parent(df: DataFrame, items: Numbered, ctx) -> list[DataFrame]:
+def _by_parent(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
     parts = []
     for no, rule in items:
         table, parent_column = rule.value
         try:
             found = orphan_count(df, rule.column, ctx.tables[table], parent_column, rule.opt("not_in", False))
-            parts.append(found.select(F.inline(F.array(_judge(no, rule, ["value"], {"value": "double"})))))
+            parts.append(_rows(found, [_judged(no, rule, ["value"], found.schema)]))
         except (PySparkException, KeyError) as error:
-            parts += _broken(df.sparkSession, [(no, rule, _first_line(error))])
+            parts += _broken(df.sparkSession, [(no, rule, _reason(error))])
     return parts
 
 
-def _by_other(df: DataFrame, items: Numbered, ctx) -> list[DataFrame]:
-    """Both tables are aggregated apart; their one-row answers meet by union, not by join."""
-    sides, failures, good = [], [], []
+def _by_other(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
+    """One aggregation per table; their one-row answers meet by union, not by join."""
+    here, there, good, failures = [], {}, [], []
     for no, rule in items:
+        table, metric = rule.opt("table"), rule.opt("other_metric", rule.metric)
         try:
-            here = df.agg(F.expr(rule.metric).cast("double").alias("a")).select(
-                F.lit(no).alias("no"), "a", F.lit(None).cast("double").alias("b")
-            )
-            there = ctx.tables[rule.opt("table")].agg(
-                F.expr(rule.opt("other_metric", rule.metric)).cast("double").alias("b")
-            ).select(F.lit(no).alias("no"), F.lit(None).cast("double").alias("a"), "b")
-            sides += [here, there]
-            good.append((no, rule))
+            _measure(df, [("a", rule.metric)])
+            _measure(ctx.tables[table], [("b", metric)])
         except (PySparkException, KeyError) as error:
-            failures.append((no, rule, _first_line(error)))
+            failures.append((no, rule, _reason(error)))
+            continue
+        here.append((f"a{no}", f"CAST(({rule.metric}) AS DOUBLE)"))
+        there.setdefault(table, []).append((f"b{no}", f"CAST(({metric}) AS DOUBLE)"))
+        good.append((no, rule))
     parts = _broken(df.sparkSession, failures)
     if good:
-        met = reduce(DataFrame.unionByName, sides).agg(
-            *[F.max(F.when(F.col("no") == no, F.col(s))).alias(f"{s}{no}") for no, _ in good for s in "ab"]
-        )
-        structs = [
-            _result(no, r, F.col(f"a{no}"), F.concat_ws(",", F.col(f"a{no}"), F.col(f"b{no}")),
-                    KINDS[r.kind].verdict(r, [F.col(f"a{no}"), F.col(f"b{no}")]))
+        sides = [_measure(df, here)] + [_measure(ctx.tables[t], cells) for t, cells in there.items()]
+        met = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+        met = _measure(met, [(f"{s}{no}", f"max({s}{no})") for no, _ in good for s in "ab"])
+        parts.append(_rows(met, [
+            _result(no, r, f"a{no}", f"concat_ws(',', a{no}, b{no})", KINDS[r.kind].verdict(r, [f"a{no}", f"b{no}"], False))
             for no, r in good
-        ]
-        parts.append(met.select(F.inline(F.array(*structs))))
+        ]))
     return parts
 
 
-def _by_history(df: DataFrame, items: Numbered, ctx) -> list[DataFrame]:
-    """The rules' current values against the stored points of the metrics they name."""
+def _by_history(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
+    """Current values, all from one aggregation, against the stored points of their metrics."""
+    cells = [(f"m{no}", f"CAST(({KINDS[r.kind].measures(r)[0]}) AS DOUBLE)") for no, r in items]
+    metric = {no: rule.opt("metric_name", rule.name) for no, rule in items}
+    current = _rows(_measure(df, cells), [
+        struct(check_no=str(no), name=literal(metric[no]), value=f"m{no}") for no, _ in items
+    ])
+    points = ctx.history.where(F.col("name").isin(sorted(set(metric.values()))))
     parts = []
     for no, rule in items:
-        name = rule.opt("metric_name", rule.name)
-        points = ctx.history.where(F.col("name") == name)
-        current = df.agg(
-            (F.expr(rule.metric) if rule.metric else F.count(F.lit(1))).cast("double").alias("value")
-        ).select(F.lit(name).alias("name"), "value")
+        mine = current.where(F.col("check_no") == no)
         if rule.kind == "zscore_anomaly":
             judged = H.zscore_check(
-                current, points, max_z=3.0 if rule.value is None else float(rule.value),
-                min_samples=rule.opt("min_samples", 5),
+                mine, points, 3.0 if rule.value is None else float(rule.value), rule.opt("min_samples", 5)
             )
         else:
             judged = H.trend_check(
-                current, points, window=rule.opt("window", 7),
-                max_pct=20.0 if rule.value is None else float(rule.value),
-                direction=rule.opt("direction", "any"),
+                mine, points, rule.opt("window", 7), 20.0 if rule.value is None else float(rule.value),
+                rule.opt("direction", "any"),
             )
-        parts.append(judged.select(F.inline(F.array(_result(no, rule, F.col("value"), F.col("value"), F.col("passed"))))))
+        parts.append(_rows(judged, [_result(no, rule, "value", "value", "passed")]))
     return parts
 
 
 _BUILDERS = {
-    "scan": _by_scan, "query": _by_query, "keys": _by_keys, "schema": _by_schema,
+    "scan": _by_scan, "python": _by_python, "query": _by_query, "keys": _by_keys, "schema": _by_schema,
     "parent": _by_parent, "other": _by_other, "history": _by_history,
 }
 
 
-class _Context:
-    def __init__(self, tables, history):
-        self.tables = tables or {}
-        self.history = history
-
-
 def evaluate(
     df: DataFrame,
     rules: list[Rule],
@@ -231,16 +242,11 @@ def evaluate(
         if rule.kind not in KINDS:
             raise ValueError(f"unknown assertion '{rule.kind}'; known: {', '.join(sorted(KINDS))}")
         family = "query" if rule.query else KINDS[rule.kind].family
-        if rule.kind == "duplicate_row" and rule.metric:
-            family = "scan"
-        if rule.kind == "custom_script":
-            family = "scan:python"
+        if rule.metric and family in ("keys", "schema", "parent"):
+            family = "scan"  # the caller brings the measure, only the verdict is the kind's
         families.setdefault(family, []).append((no, rule))
-    context = _Context(tables, history)
-    parts = []
-    for family, items in families.items():
-        # Python predicates keep a job of their own: the other measures stay in compiled code
-        parts += _BUILDERS[family.split(":")[0]](df, items, context)
+    context = Context(tables or {}, history)
+    parts = [part for family, items in families.items() for part in _BUILDERS[family](df, items, context)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -252,20 +258,16 @@ def run(df: DataFrame, rules: list[Rule], **context) -> list[Row]:
         rows = []
         for no, rule in enumerate(rules, 1):
             try:
-                found = evaluate(df, [rule], **context).withColumn("check_no", F.lit(no))
-                rows += found.collect()
+                rows += evaluate(df, [rule], **context).withColumn("check_no", F.lit(no)).collect()
             except PySparkException as error:
-                rows += _broken(df.sparkSession, [(no, rule, _first_line(error))])[0].collect()
+                rows += _broken(df.sparkSession, [(no, rule, _reason(error))])[0].collect()
         return rows
 
 
 def summary(results: DataFrame) -> DataFrame:
     """``total, passed, failed, status, exit_code``; no result at all counts as OK."""
-    failed = F.count_if(~F.col("passed"))
-    return results.agg(
-        F.count("*").alias("total"),
-        F.count_if("passed").alias("passed"),
-        failed.alias("failed"),
-        F.when(failed == 0, "OK").otherwise("FAIL").alias("status"),
-        F.when(failed == 0, 0).otherwise(1).alias("exit_code"),
-    )
+    failed = "count_if(NOT passed)"
+    return _measure(results, [
+        ("total", "count(1)"), ("passed", "count_if(passed)"), ("failed", failed),
+        ("status", f"if({failed} = 0, 'OK', 'FAIL')"), ("exit_code", f"if({failed} = 0, 0, 1)"),
+    ])

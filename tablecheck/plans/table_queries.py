@@ -288,9 +288,9 @@ SELECT 'contacts' AS table_name, column_name, col_type FROM ({profile_sql("conta
 UNION ALL SELECT 'events', column_name, col_type FROM ({profile_sql("events_gaps", _EVENTS)})
 UNION ALL SELECT 'no values', 'nothing', 'unknown' FROM (SELECT count(*) FROM region)"""))
 def _(t: Tables) -> DataFrame:
-    """Approximate counts: the inferred type needs no distinct values."""
+    """The inferred type needs no distinct values."""
     def of(df: DataFrame, name: str) -> DataFrame:
-        return P.profile_table(df, distinct="approx").select(F.lit(name).alias("table_name"), "column_name", "col_type")
+        return P.profile_table(df, distinct="none").select(F.lit(name).alias("table_name"), "column_name", "col_type")
 
     blank = t["region"].select(F.lit(None).cast("string").alias("nothing"))
     return of(t["contacts"], "contacts").unionByName(of(t["events_gaps"], "events")).unionByName(of(blank, "no values"))

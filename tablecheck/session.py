@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from tablecheck.functions.literals import array, literal, name
 
 # Adaptive execution splits skewed join partitions and merges small ones, so the
 # library never fixes a partition count itself.
@@ -52,13 +55,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 def constant_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Driver-side constants (rule lists, schemas) as a relation the optimizer can fold."""
-    from pyspark.sql.types import _parse_datatype_string
-
-    struct = _parse_datatype_string(schema)
+    struct = StructType.fromDDL(schema)
     if not rows:
         return spark.createDataFrame([], struct)
-    literals = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, struct.fields)])
+    listed = [
+        "struct("
+        + ", ".join(f"CAST({literal(v)} AS {f.dataType.simpleString()}) AS {name(f.name)}" for v, f in zip(row, struct.fields))
+        + ")"
         for row in rows
     ]
-    return spark.sql("SELECT 1").select(F.inline(F.array(*literals)))
+    return spark.sql(f"SELECT inline({array(listed)})")
