@@ -64,6 +64,14 @@ SELECT l_orderkey AS run_id, l_linenumber AS check_no, l_partkey AS check_id,
   ELSE 'referential_customer' END AS name,
  CASE WHEN l_discount <= 0.07 THEN 1 ELSE 0 END AS passed, l_quantity AS value, 'between([1, 45])' AS expected,
  l_shipdate AS run_at FROM lineitem""",
+    "payloads": """
+SELECT o_orderkey AS sent, concat('{"run_id": "r', CAST(o_custkey AS VARCHAR(20)), '", "dag_id": "', o_orderpriority, '", "run_at": "',
+ CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 'T00:00:00", "results": [{"name": "total", "passed": ',
+ CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END, ', "value": ', CAST(o_totalprice AS VARCHAR(30)),
+ ', "expected": "greater_than(100000)"}, {"metric_name": "status", "is_anomaly": ',
+ CASE WHEN o_orderstatus = 'P' THEN 'true' ELSE 'false' END, ', "current": 0}]',
+ CASE WHEN o_orderkey % 3 = 0 THEN '}' WHEN o_totalprice > 100000 THEN ', "summary": {"total": 2, "passed": 2}}'
+  ELSE ', "summary": {"total": 2, "passed": 1}}' END) AS payload FROM orders""",
     "checks": """
 SELECT CAST(p_partkey AS INT) AS id, CAST(p_partkey % 26 AS INT) AS source_id, p_name AS name,
  CASE p_partkey % 6
@@ -142,7 +150,8 @@ class Tables:
 
     def _over(self, given: str, name: str) -> DataFrame:
         """A one-table derivation, in the SQL text both engines share."""
-        return self.spark.sql(SQL[name].replace(f"FROM {given}", "FROM {given}"), given=self[given])
+        text = SQL[name].replace("{", "{{").replace("}", "}}").replace(f"FROM {given}", "FROM {given}")
+        return self.spark.sql(text, given=self[given])
 
     def _contacts(self) -> DataFrame:
         return self._over("customer", "contacts")
@@ -150,6 +159,9 @@ class Tables:
     def _checks(self) -> DataFrame:
         return self._over("part", "checks")
 
+    def _payloads(self) -> DataFrame:
+        return self._over("orders", "payloads")
+
     def _sources(self) -> DataFrame:
         return self._over("nation", "sources")
 
