@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablecheck.functions.literals import array, number
-from tablecheck.operators import holt_winters, series
+from tablecheck.functions.literals import number
+from tablecheck.operators import history, holt_winters, series
 
 TINY = "1e-9D"  # stands in for a spread of zero
 
@@ -115,24 +115,28 @@ def detect(
     """The detector each metric's number of points calls for: z-score below 5, weighted average
     below 14, Holt-Winters from there on.
 
-    All three read the same chunked series: those of at most one chunk are one row per metric,
-    and the method is chosen inside the projection. Only longer series take the chunk-wise path.
+    A series of at most one chunk is one row, and its method is chosen inside the projection. Only
+    longer series, which are all for Holt-Winters, take the chunk-wise path.
     """
-    chunked = series.chunks(points, chunk)
+    chunked = series.chunks(points, max(chunk, 14))
     mean = "aggregate(y, 0D, (s, v) -> s + v) / n"
-    zscore = f"named_struct('forecast', {mean}, 'std', sqrt(aggregate(y, 0D, (s, v) -> s + pow(v - {mean}, 2)) / greatest(n - 1, 1)))"
+    zscore = f"struct({mean} AS forecast, sqrt(aggregate(y, 0D, (s, v) -> s + pow(v - {mean}, 2)) / greatest(n - 1, 1)) AS std)"
     average = (
-        f"named_struct('forecast', {_ewma_chunk(0.3)}.p, 'std', sqrt({_ewma_chunk(0.3)}.s0 / greatest(size(y) - 1, 1)))"
+        f"transform(array({_ewma_chunk(0.3)}), f -> struct(f.p AS forecast, sqrt(f.s0 / greatest(f.m, 1)) AS std))[0]"
     )
-    few = chunked.where("n < 14").selectExpr(
-        "name", "n", "if(n < 5, 'zscore', 'ewma') AS method", f"if(n < 5, {zscore}, {average}) AS m",
-        f"{_direction('early', 'late', 'n')} AS direction",
-    ).selectExpr("name", "n", "m.forecast", f"if(m.std = 0, {TINY}, m.std) AS std", "direction", "method")
-    many = holt_winters.fit(chunked.where("n >= 14"), candidates, chunk).selectExpr(
-        "name", "n", "forecast", f"if(std = 0, {TINY}, std) AS std", f"{_direction('early', 'late', 'n')} AS direction",
-        "'holt_winters' AS method",
+    season = f"transform(array({holt_winters.fold(candidates)}), f -> struct(f.forecast AS forecast, f.std AS std))[0]"
+    direction = f"{_direction('early', 'late', 'n')} AS direction"
+    method = "CASE WHEN n < 5 THEN 'zscore' WHEN n < 14 THEN 'ewma' ELSE 'holt_winters' END AS method"
+    short = chunked.where(f"n <= {max(chunk, 14)}").selectExpr(
+        "name", "n", method, direction, f"CASE WHEN n < 5 THEN {zscore} WHEN n < 14 THEN {average} ELSE {season} END AS m"
+    )
+    long = holt_winters.fit_long(chunked, candidates, max(chunk, 14)).selectExpr(
+        "name", "n", method, direction, "struct(forecast, std) AS m"
     )
-    return _judged(current.join(few.unionByName(many), "name", "left"), threshold)
+    model = short.unionByName(long).selectExpr(
+        "name", "n", "method", "direction", "m.forecast", f"if(m.std = 0, {TINY}, m.std) AS std"
+    )
+    return _judged(current.join(model, "name", "left"), threshold)
 
 
 def detect_all(
@@ -143,10 +147,8 @@ def detect_all(
 
     The batch's own points, recorded at ``as_of``, are left out unless ``include_current``.
     """
-    from tablecheck.operators import history as H
-
-    recent = H.since(points, as_of, days)
-    past = recent if include_current else H.before(recent, as_of)
+    recent = history.since(points, as_of, days)
+    past = recent if include_current else history.before(recent, as_of)
     return detect(current.where("value IS NOT NULL").select("name", "value"), past, threshold, **options)
 
 

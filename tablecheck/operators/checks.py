@@ -195,20 +195,19 @@ def with_tags(rules: list[Rule], tags: list[str] | None) -> list[Rule]:
 def orphan_count(child: DataFrame, column: str, parent: DataFrame, parent_column: str, not_in: bool = False) -> DataFrame:
     """One row ``value``: child rows whose key is missing in the parent; NULL keys are no orphans.
 
-    Both sides are reduced to one row per key before the join, so a key that holds much of
-    either table costs one row there. ``not_in`` follows SQL's NOT IN: any NULL among the
-    parent keys leaves nothing to report.
+    Child and parent keys are grouped together instead of joined: each task sends one row per key,
+    so a key that holds much of either table costs no more than any other, nothing is broadcast,
+    and the optimizer has no join that it could move below the grouping. ``not_in`` follows SQL's
+    NOT IN: any NULL among the parent keys leaves nothing to report.
     """
-    wanted = (
-        child.select(quoted(column).alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
+    rows = child.select(quoted(column).alias("k"), F.lit(1).alias("child")).where("k IS NOT NULL")
+    keys = parent.select(quoted(parent_column).alias("k"), F.lit(0).alias("child"))
+    per_key = rows.unionByName(keys).groupBy("k").agg(
+        F.expr("count_if(child = 1) AS n"), F.expr("count_if(child = 0) > 0 AS known")
     )
-    keys = parent.select(quoted(parent_column).alias("k"))
-    known = keys.where("k IS NOT NULL").distinct()
-    orphans = wanted.join(known, "k", "left_anti").select("n", F.lit(0).alias("nulls"))
-    if not_in:
-        orphans = orphans.unionByName(keys.where("k IS NULL").select(F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("nulls")))
-    total = F.coalesce(F.sum("n"), F.lit(0))
-    return orphans.agg(F.when(F.coalesce(F.max("nulls"), F.lit(0)) == 1, 0).otherwise(total).cast("double").alias("value"))
+    orphans = "coalesce(sum(if(known, 0, n)), 0)"
+    value = f"if(coalesce(bool_or(k IS NULL), false), 0, {orphans})" if not_in else orphans
+    return per_key.agg(F.expr(f"CAST({value} AS DOUBLE) AS value"))
 
 
 def schema_mismatches(df: DataFrame, expected: Mapping[str, str | None]) -> int:

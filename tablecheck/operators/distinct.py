@@ -1,16 +1,19 @@
-"""Exact distinct and duplicate counts for many keys from one scan and one shuffle.
+"""Exact distinct and duplicate counts for many keys at once.
 
 Several ``count(distinct ..)`` in one aggregate make Spark copy each row once per distinct
-column *at full width*, with every other aggregate's buffer in every group. Here each copy is
-narrow: the key's number and its value in the slot of its type. Equal values are combined on
-the map side, so neither a low-cardinality column nor a hot value is shuffled in bulk.
+column *at full width*, with every other aggregate's buffer in every group. Here keys are sorted
+by type, and of each type the columns are turned into rows ``(key number, value)``, which are
+grouped and counted. The copies are narrow, no column is read twice, and equal values are combined
+before the shuffle, so neither a low-cardinality column nor a hot value is shuffled in bulk.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tablecheck.functions.literals import array, name, struct
+from tablecheck.functions.literals import name
 
 _SHORT = 64  # longer texts are compared by their SHA-256 digest, so that wide text is not shuffled
 
@@ -24,26 +27,36 @@ def _text_slot(value: str) -> str:
     return f"if(octet_length({value}) <= {_SHORT}, concat('=', {value}), concat('#', sha2({value}, 256)))"
 
 
-def _slot(df: DataFrame, columns: list[str]) -> tuple[str, str, str]:
-    """(NULL test, slot, expression) of one key."""
+def _comparable(df: DataFrame, columns: list[str]) -> tuple[str, str]:
+    """(type, expression) of a value that is equal exactly when the key is."""
     if len(columns) > 1:
-        record = "to_json(struct(" + ", ".join(name(c) for c in columns) + "))"
-        return "false", "text", _text_slot(record)
+        return "text", _text_slot("to_json(struct(" + ", ".join(name(c) for c in columns) + "))")
     column, kind = name(columns[0]), df.schema[columns[0]].dataType
-    missing = f"{column} IS NULL"
     if isinstance(kind, (T.IntegralType, T.BooleanType)):
-        return missing, "whole", f"CAST({column} AS BIGINT)"
+        return "whole", f"CAST({column} AS BIGINT)"
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return missing, "real", f"CAST({column} AS DOUBLE)"
+        return "real", f"CAST({column} AS DOUBLE)"
     if isinstance(kind, T.DateType):
-        return missing, "whole", f"CAST(unix_date({column}) AS BIGINT)"
+        return "whole", f"CAST(unix_date({column}) AS BIGINT)"
     if isinstance(kind, T.TimestampType) or (isinstance(kind, T.TimestampNTZType) and _utc(df)):
-        return missing, "whole", f"unix_micros(CAST({column} AS TIMESTAMP))"
+        return "whole", f"unix_micros(CAST({column} AS TIMESTAMP))"
     if isinstance(kind, T.BinaryType):
-        return missing, "text", _text_slot(f"base64({column})")
+        return "text", _text_slot(f"base64({column})")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return missing, "text", _text_slot(f"to_json(struct({column}))")
-    return missing, "text", _text_slot(f"CAST({column} AS STRING)")
+        return "text", _text_slot(f"if({column} IS NULL, NULL, to_json(struct({column})))")
+    return "text", _text_slot(f"CAST({column} AS STRING)")
+
+
+def _as_rows(df: DataFrame, values: list[tuple[int, str]]) -> DataFrame:
+    """``key_no, v``: one row per row of the table and key."""
+    cells = [cell for no, value in values for cell in (f"{no} AS k{no}", f"{value} AS v{no}")]
+    wide = df.selectExpr(*cells)
+    if len(values) == 1:
+        return wide.toDF("key_no", "v")
+    pairs = ", ".join(f"(k{no}, v{no}) AS `{no}`" for no, _ in values)
+    return df.sparkSession.sql(
+        f"SELECT key_no, v FROM {{wide}} UNPIVOT INCLUDE NULLS ((key_no, v) FOR label IN ({pairs}))", wide=wide
+    )
 
 
 def key_counts(df: DataFrame, keys: list[list[str]]) -> DataFrame:
@@ -52,16 +65,15 @@ def key_counts(df: DataFrame, keys: list[list[str]]) -> DataFrame:
     ``distinct_count`` leaves NULL out, as SQL does; ``duplicate_groups`` counts the values
     (NULL among them) that occur more than once.
     """
-    found = [_slot(df, columns) for columns in keys]
-    types = {"whole": "BIGINT", "real": "DOUBLE", "text": "STRING"}
-    used = [s for s in types if any(slot == s for _, slot, _ in found)]  # no column for an unused type
-    copies = [
-        struct(key_no=str(no), missing=missing,
-               **{s: value if s == slot else f"CAST(NULL AS {types[s]})" for s in used})
-        for no, (missing, slot, value) in enumerate(found)
+    by_type: dict[str, list[tuple[int, str]]] = {}
+    for no, columns in enumerate(keys):
+        kind, value = _comparable(df, columns)
+        by_type.setdefault(kind, []).append((no, value))
+    parts = [
+        _as_rows(df, values).groupBy("key_no", "v").count().groupBy("key_no").agg(
+            F.expr("sum(count) AS total"), F.expr("count(v) AS distinct_count"),
+            F.expr("count_if(count > 1) AS duplicate_groups"),
+        )
+        for values in by_type.values()
     ]
-    per_value = df.selectExpr(f"inline({array(copies)})").groupBy("key_no", "missing", *used).count()
-    return per_value.groupBy("key_no").agg(
-        F.expr("sum(count) AS total"), F.expr("count_if(NOT missing) AS distinct_count"),
-        F.expr("count_if(count > 1) AS duplicate_groups"),
-    )
+    return reduce(DataFrame.unionByName, parts)

@@ -27,34 +27,34 @@ FIXED = ((0.3, 0.1, 0.1),)
 _COLUMNS = "name string, n bigint, early double, late double, sse double, alpha double, beta double, gamma double, forecast double, std double"
 
 
-def fit(chunked: DataFrame, candidates=GRID, chunk: int = 10_000) -> DataFrame:
-    """``name, n, early, late, sse, alpha, beta, gamma, forecast, std`` of the best candidate."""
-    long = _long(chunked.where(f"n > {chunk}"), tuple(candidates))
-    return _short(chunked.where(f"n <= {chunk}"), candidates).unionByName(long)
+def fold(candidates) -> str:
+    """The best candidate's fit of a whole series ``y``, as one expression.
 
-
-def _short(series: DataFrame, candidates) -> DataFrame:
-    """One row per metric: all candidates are folded in one expression and the least error kept."""
-    week = "aggregate(slice(y, {first}, 7), 0D, (s, v) -> s + v) / 7D"
+    A struct ``sse, alpha, beta, gamma, forecast, std``: all candidates are folded over the array
+    and the one with the least squared error is kept.
+    """
+    week = "(aggregate(slice(y, {first}, 7), 0D, (s, v) -> s + v) / 7D)"
+    m1, m2 = week.format(first=1), week.format(first=8)
     listed = array([f"struct({number(a)} AS a, {number(b)} AS b, {number(g)} AS g)" for a, b, g in candidates])
     level = "(c.a * (v - x.s[0]) + (1D - c.a) * (x.l + x.b))"
     residual = "(v - (x.l + x.b + x.s[0]))"
-    folded = (
-        "aggregate(slice(y, 8, size(y) - 7), "
-        "named_struct('l', m1, 'b', (m2 - m1) / 7D, 's', transform(slice(y, 1, 7), v -> v - m1), 'r', 0D, 'rr', 0D), "
+    return (
+        f"array_min(transform({listed}, c -> aggregate(slice(y, 8, size(y) - 7), "
+        f"named_struct('l', {m1}, 'b', ({m2} - {m1}) / 7D, 's', transform(slice(y, 1, 7), v -> v - {m1}), 'r', 0D, 'rr', 0D), "
         f"(x, v) -> named_struct('l', {level}, 'b', c.b * ({level} - x.l) + (1D - c.b) * x.b, "
         f"'s', concat(slice(x.s, 2, 6), array(c.g * (v - {level}) + (1D - c.g) * x.s[0])), "
         f"'r', x.r + {residual}, 'rr', x.rr + {residual} * {residual}), "
         "x -> struct(x.rr AS sse, c.a AS alpha, c.b AS beta, c.g AS gamma, x.l + x.b + x.s[0] AS forecast, "
-        "sqrt(greatest(x.rr / (size(y) - 7) - pow(x.r / (size(y) - 7), 2), 0D)) AS std))"
-    )
-    return (
-        series.selectExpr("name", "n", "early", "late", "y", f"{week.format(first=1)} AS m1", f"{week.format(first=8)} AS m2")
-        .selectExpr("name", "n", "early", "late", f"array_min(transform({listed}, c -> {folded})) AS best")
-        .selectExpr("name", "n", "early", "late", "best.*")
+        "sqrt(greatest(x.rr / (size(y) - 7) - pow(x.r / (size(y) - 7), 2), 0D)) AS std))))"
     )
 
 
+def fit(chunked: DataFrame, candidates=GRID, chunk: int = 10_000) -> DataFrame:
+    """``name, n, early, late, sse, alpha, beta, gamma, forecast, std`` of the best candidate."""
+    short = chunked.where(f"n <= {chunk}").selectExpr("name", "n", "early", "late", f"{fold(candidates)} AS best")
+    return short.selectExpr("name", "n", "early", "late", "best.*").unionByName(fit_long(chunked, candidates, chunk))
+
+
 def advance(y: np.ndarray, first: bool, candidates) -> dict[str, np.ndarray]:
     """One chunk for all candidates.
 
@@ -98,8 +98,12 @@ def follow(state: np.ndarray, part: dict[str, np.ndarray]) -> tuple[np.ndarray,
     return np.einsum("csi,ci->cs", part["state"], change), total, square
 
 
-def _long(series: DataFrame, candidates: tuple) -> DataFrame:
-    """Chunks are worked out side by side; then each metric and candidate is put together by itself."""
+def fit_long(chunked: DataFrame, candidates, chunk: int) -> DataFrame:
+    """The fit of series of several chunks.
+
+    Chunks are worked out side by side; then each metric and candidate is put together by itself.
+    """
+    series, candidates = chunked.where(f"n > {chunk}"), tuple(candidates)
     fields = ("start", "state", "total", "square")
 
     def work_out(pdf: pd.DataFrame) -> pd.DataFrame:
