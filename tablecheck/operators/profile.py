@@ -19,18 +19,25 @@ def looks_dated(value: str) -> str:
     return f"(length({value}) >= 8 AND {value} RLIKE '[-/:]')"
 
 
+def text_number(value: str) -> str:
+    """The number a text holds in decimal notation. Other texts are told by the pattern, which is
+    far cheaper than the failing parse of each of them."""
+    pattern = r"^\\s*[-+]?(\\d+\\.?\\d*|\\.\\d+)([eE][-+]?\\d+)?\\s*$"
+    return f"if({value} RLIKE '{pattern}', try_cast({value} AS DOUBLE), NULL)"
+
+
 def _stats(column: str, kind: T.DataType, no: int, approximate: bool) -> list[str]:
     """Aggregates of one column. What the type rules out is a NULL, never a failing cast."""
     c = name(column)
     texts, times = isinstance(kind, T.StringType), isinstance(kind, _TIME)
-    number = f"CAST({c} AS DOUBLE)" if isinstance(kind, T.NumericType) else f"try_cast({c} AS DOUBLE)" if texts else None
+    number = f"CAST({c} AS DOUBLE)" if isinstance(kind, T.NumericType) else f"number{no}" if texts else None
     cells = [f"count({c}) AS c{no}_filled"]
     for cell, function in (("min", "min"), ("max", "max"), ("avg", "avg")):
         cells.append(f"{f'{function}({number})' if number else 'CAST(NULL AS DOUBLE)'} AS c{no}_{cell}")
     for cell, function in (("short", "min"), ("long", "max")):
         cells.append(f"{f'{function}(length({c}))' if texts else 'CAST(NULL AS INT)'} AS c{no}_{cell}")
     for cell, function in (("first", "min"), ("last", "max")):
-        value = f"{function}({c})" if texts or times else "CAST(NULL AS STRING)"
+        value = f"{function}({c})" if times else "CAST(NULL AS STRING)"
         if times and not isinstance(kind, T.DateType):
             value = f"date_format({value}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
         cells.append(f"CAST({value} AS STRING) AS c{no}_{cell}")
@@ -41,7 +48,21 @@ def _stats(column: str, kind: T.DataType, no: int, approximate: bool) -> list[st
     return cells
 
 
-def _column_type(kind: T.DataType, no: int) -> str:
+def _text_extremes(df: DataFrame, columns: list[str]) -> DataFrame | None:
+    """``ordinal, first, last`` of the text columns.
+
+    Text buffers have no fixed width, which turns an aggregation from compiled code to interpreted
+    rows; they are therefore kept out of the one that holds all other statistics.
+    """
+    texts = [(no, c) for no, c in enumerate(columns) if isinstance(df.schema[c].dataType, T.StringType)]
+    if not texts:
+        return None
+    cells = ", ".join(f"min({name(c)}) AS first{no}, max({name(c)}) AS last{no}" for no, c in texts)
+    rows = [struct(ordinal=str(no), first=f"first{no}", last=f"last{no}") for no, _ in texts]
+    return df.agg(F.expr(f"struct({cells}) AS measured")).selectExpr("measured.*").selectExpr(f"inline({array(rows)})")
+
+
+def _column_type(kind: T.DataType) -> str:
     """unknown without values; numeric when any value is a number; date when the least text is dated."""
     settled = "'string'"
     if isinstance(kind, _TIME):
@@ -49,24 +70,31 @@ def _column_type(kind: T.DataType, no: int) -> str:
     elif isinstance(kind, T.NumericType):
         settled = "'numeric'"
     elif isinstance(kind, T.StringType):
-        settled = f"CASE WHEN c{no}_avg IS NOT NULL THEN 'numeric' WHEN {looks_dated(f'c{no}_first')} THEN 'date' ELSE 'string' END"
-    return f"CASE WHEN c{no}_filled = 0 THEN 'unknown' ELSE {settled} END"
+        settled = "'text'"
+    return f"CASE WHEN {{filled}} = 0 THEN 'unknown' ELSE {settled} END"
 
 
 def profile_table(df: DataFrame, columns: list[str] | None = None, distinct: str = "exact") -> DataFrame:
-    """One row per column, all statistics of all columns from one aggregation.
+    """One row per column; the statistics of all columns come from one aggregation.
 
-    Exact distinct counts come from one more narrow pass (see ``distinct.key_counts``).
-    ``distinct="approx"`` takes sketches in the first pass instead and shuffles nothing,
-    ``distinct="none"`` leaves the count NULL.
+    Least and greatest texts come from a second one over the text columns. Exact distinct counts come from one more narrow
+    pass (see ``distinct.key_counts``); ``distinct="approx"`` takes sketches in the first pass
+    instead and shuffles nothing, ``distinct="none"`` leaves the count NULL.
     """
     columns = columns or df.columns
     kinds = {f.name: f.dataType for f in df.schema.fields}
     cells = [c for no, column in enumerate(columns) for c in _stats(column, kinds[column], no, distinct == "approx")]
-    measured = df.agg(F.expr(f"struct(count(1) AS total, {', '.join(cells)}) AS measured")).selectExpr("measured.*")
+    texts = [
+        f"{text_number(name(c))} AS number{no}" for no, c in enumerate(columns) if isinstance(kinds[c], T.StringType)
+    ]
+    measured = (
+        df.selectExpr(*[name(c) for c in columns], *texts)
+        .agg(F.expr(f"struct(count(1) AS total, {', '.join(cells)}) AS measured"))
+        .selectExpr("measured.*")
+    )
     rows = [
         struct(
-            ordinal=str(no), column_name=literal(column), col_type=_column_type(kinds[column], no), row_count="total",
+            ordinal=str(no), column_name=literal(column), kind=_column_type(kinds[column]).format(filled=f"c{no}_filled"), row_count="total",
             filled=f"c{no}_filled", min_num=f"c{no}_min", max_num=f"c{no}_max", avg_val=f"c{no}_avg",
             min_text=f"c{no}_first", max_text=f"c{no}_last", min_length=f"c{no}_short", max_length=f"c{no}_long",
             distinct_count=f"c{no}_distinct" if distinct == "approx" else "CAST(NULL AS BIGINT)",
@@ -76,12 +104,19 @@ def profile_table(df: DataFrame, columns: list[str] | None = None, distinct: str
     def only(kind: str, value: str, column: str) -> str:
         return f"if(col_type = '{kind}', {value}, NULL) AS {column}"
 
-    profile = measured.selectExpr(f"inline({array(rows)})").selectExpr(
+    profile = measured.selectExpr(f"inline({array(rows)})")
+    extremes = _text_extremes(df, columns)
+    if extremes is None:
+        profile = profile.selectExpr("*", "CAST(NULL AS STRING) AS first", "CAST(NULL AS STRING) AS last")
+    else:
+        profile = profile.join(extremes, "ordinal", "left")
+    inferred = f"CASE WHEN avg_val IS NOT NULL THEN 'numeric' WHEN {looks_dated('first')} THEN 'date' ELSE 'string' END"
+    profile = profile.selectExpr("*", f"if(kind = 'text', {inferred}, kind) AS col_type").selectExpr(
         "ordinal", "column_name", "col_type", "row_count", "row_count - filled AS null_count",
         "coalesce(round(try_divide((row_count - filled) * 100.0D, row_count), 2), 0.0D) AS null_pct",
         only("numeric", "min_num", "min_num"), only("numeric", "max_num", "max_num"),
-        only("numeric", "round(avg_val, 2)", "avg_val"), only("date", "min_text", "min_text"),
-        only("date", "max_text", "max_text"), only("string", "min_length", "min_length"),
+        only("numeric", "round(avg_val, 2)", "avg_val"), only("date", "coalesce(min_text, first)", "min_text"),
+        only("date", "coalesce(max_text, last)", "max_text"), only("string", "min_length", "min_length"),
         only("string", "max_length", "max_length"), "distinct_count",
     )
     if distinct != "exact":

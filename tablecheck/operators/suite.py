@@ -64,7 +64,8 @@ def _judged(no: int, rule: Rule, cells: list[str], schema: T.StructType) -> str:
 
 
 def _by_scan(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
-    """All measures in one aggregation. A rule that does not resolve is taken out and reported."""
+    """All measures in one aggregation, text-valued ones in another. A rule that does not resolve
+    is taken out and reported."""
     cells: dict[int, list[tuple[str, str]]] = {}
     failures: Failures = []
     for no, rule in items:
@@ -90,7 +91,12 @@ def _by_scan(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
     parts = _broken(df.sparkSession, failures)
     if measured is not None:
         schema = measured.schema
-        parts.append(_rows(measured, [_judged(no, r, [c for c, _ in cells[no]], schema) for no, r in kept]))
+        # text buffers would take the whole aggregation out of compiled code
+        textual = [(no, r) for no, r in kept if any(isinstance(schema[c].dataType, T.StringType) for c, _ in cells[no])]
+        for group in (textual, [item for item in kept if item not in textual]) if textual else (kept,):
+            if group:
+                own = measured if group is kept else _measure(df, [c for no, _ in group for c in cells[no]])
+                parts.append(_rows(own, [_judged(no, r, [c for c, _ in cells[no]], schema) for no, r in group]))
     return parts
 
 
