@@ -8,34 +8,33 @@ from tablecheck.functions import verdicts as V
 from tablecheck.operators.history import recent_values
 
 
-def zscore_check(current: DataFrame, history: DataFrame, max_z: float = 3.0, min_samples: int = 5) -> DataFrame:
-    """``current(name, value)`` against mean and population deviation of the last 100 points."""
-    stats = recent_values(history, 100).groupBy("name").agg(
+def zscore_stats(history: DataFrame) -> DataFrame:
+    """``name, n, mean, std``: mean and population deviation of each metric's last 100 points."""
+    return recent_values(history, 100).groupBy("name").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
     )
-    return current.join(stats, "name", "left").select(
-        "name", "value",
-        F.expr(V.zscore_ok("value", "n", "mean", "std", max_z, min_samples)).alias("passed"),
-    )
 
 
-def trend_points(history: DataFrame, window: int = 7, max_pct: float = 20.0, direction: str = "any") -> DataFrame:
-    """Per metric: mean of the newest ``window`` points, mean of the ``window`` before, verdict."""
+def trend_stats(history: DataFrame, window: int = 7) -> DataFrame:
+    """``name, n, cur, prev``: means of the newest ``window`` points and of those before them."""
     newer = F.col("recency") <= window
-    stats = recent_values(history, 2 * window).groupBy("name").agg(
+    return recent_values(history, 2 * window).groupBy("name").agg(
         F.count("value").alias("n"),
         F.avg(F.when(newer, F.col("value"))).alias("cur"),
         F.avg(F.when(~newer, F.col("value"))).alias("prev"),
     )
-    return stats.withColumn("passed", F.expr(V.trend_ok("n", "prev", "cur", window, max_pct, direction)))
 
 
-def trend_check(current: DataFrame, history: DataFrame, window: int = 7, max_pct: float = 20.0, direction: str = "any") -> DataFrame:
-    """The trend of each metric in ``current(name, value)``; a metric without history passes."""
-    trend = trend_points(history, window, max_pct, direction).select("name", "passed")
-    return current.join(trend, "name", "left").select(
-        "name", "value", F.coalesce("passed", F.lit(True)).alias("passed")
-    )
+def zscore_check(current: DataFrame, history: DataFrame, max_z: float = 3.0, min_samples: int = 5) -> DataFrame:
+    """Verdicts ``name, value, passed`` on current values ``(name, value)``."""
+    passed = V.zscore_ok("value", "n", "mean", "std", max_z, min_samples)
+    return current.join(zscore_stats(history), "name", "left").selectExpr("name", "value", f"{passed} AS passed")
+
+
+def trend_check(history: DataFrame, window: int = 7, max_pct: float = 20.0, direction: str = "any") -> DataFrame:
+    """Verdict on the trend of every metric."""
+    passed = V.trend_ok("n", "prev", "cur", window, max_pct, direction)
+    return trend_stats(history, window).withColumn("passed", F.expr(passed))
 
 
 def volume_by_day(df: DataFrame, time_column: str, max_pct: float = 50.0) -> DataFrame:

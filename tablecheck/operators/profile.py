@@ -133,17 +133,23 @@ def profile_many(tables: dict[str, DataFrame], distinct: str = "exact") -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
-def sample_types(df: DataFrame, sample: int = 10) -> DataFrame:
-    """The type that the first ``sample`` non-null values of each column suggest."""
+def sample_types(df: DataFrame, rows: int = 200, values: int = 10) -> DataFrame:
+    """The type that the first non-null values of each column suggest, in a sample of rows.
+
+    The sample is taken from as few partitions as hold it; a limit inside a larger plan would
+    start a task for every partition of the table.
+    """
+    texts = df.selectExpr(*[f"CAST({name(c)} AS STRING) AS v{no}" for no, c in enumerate(df.columns)])
+    sample = df.sparkSession.createDataFrame(texts.limit(rows).collect(), texts.schema)
+    listed = ", ".join(f"slice(collect_list(v{no}), 1, {values}) AS v{no}" for no in range(len(df.columns)))
     kind = (
-        "CASE WHEN count(v) = 0 THEN 'unknown' WHEN count(try_cast(v AS DOUBLE)) > 0 THEN 'numeric' "
-        f"WHEN count_if({looks_dated('v')}) > 0 THEN 'date' ELSE 'string' END AS sample_type"
+        "CASE WHEN size(v{no}) = 0 THEN 'unknown' WHEN exists(v{no}, v -> try_cast(v AS DOUBLE) IS NOT NULL) THEN 'numeric' "
+        f"WHEN exists(v{{no}}, v -> {looks_dated('v')}) THEN 'date' ELSE 'string' END"
     )
-    parts = []
-    for no, column in enumerate(df.columns):
-        few = df.selectExpr(f"CAST({name(column)} AS STRING) AS v").where("v IS NOT NULL").limit(sample)
-        parts.append(few.agg(F.expr(kind)).selectExpr(f"{no} AS ordinal", f"{literal(column)} AS column_name", "sample_type"))
-    return reduce(DataFrame.unionByName, parts)
+    found = [
+        struct(ordinal=str(no), column_name=literal(c), sample_type=kind.format(no=no)) for no, c in enumerate(df.columns)
+    ]
+    return sample.agg(F.expr(f"struct({listed}) AS s")).selectExpr("s.*").selectExpr(f"inline({array(found)})")
 
 
 # -- personal data -----------------------------------------------------------------------------

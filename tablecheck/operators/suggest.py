@@ -81,19 +81,24 @@ def build_library(events: DataFrame) -> DataFrame:
     ``events`` are ``column_name, column_type, rule_type, event, event_at`` with event one of
     used, accepted, rejected. Use of a free-form rule is not counted; a vote on one is.
     """
-    used = F.col("event") == "used"
-    return (
-        events.where(~used | (F.col("rule_type") != "custom"))
-        .groupBy(name_pattern(F.col("column_name")).alias("pattern"), "rule_type")
+    used = "event = 'used'"
+    typed = (
+        events.where(f"NOT ({used} AND rule_type = 'custom')")
+        .groupBy(name_pattern(F.col("column_name")).alias("pattern"), "rule_type", "column_type")
         .agg(
-            F.max_by(F.when(used, F.col("column_type")), F.when(used, F.struct("event_at", "column_type"))).alias("column_type"),
-            F.count_if(used).alias("times_used"),
-            F.count_if(F.col("event") == "accepted").alias("times_accepted"),
-            F.count_if(F.col("event") == "rejected").alias("times_rejected"),
-            F.max("event_at").alias("last_used_at"),
+            F.expr(f"count_if({used}) AS used"), F.expr("count_if(event = 'accepted') AS accepted"),
+            F.expr("count_if(event = 'rejected') AS rejected"), F.expr("max(event_at) AS last_at"),
+            F.expr(f"max(if({used}, event_at, NULL)) AS last_use"),
         )
-        .withColumn("library_id", F.concat("pattern", F.lit("/"), "rule_type"))
     )
+    # few rows are left; the column type of the last use is a text, which would keep the
+    # aggregation of the events themselves from being a hashed one
+    last = F.struct("last_use", "column_type")
+    return typed.groupBy("pattern", "rule_type").agg(
+        F.max_by(F.when(F.col("last_use").isNotNull(), F.col("column_type")), F.when(F.col("last_use").isNotNull(), last)).alias("column_type"),
+        F.sum("used").alias("times_used"), F.sum("accepted").alias("times_accepted"),
+        F.sum("rejected").alias("times_rejected"), F.max("last_at").alias("last_used_at"),
+    ).withColumn("library_id", F.concat("pattern", F.lit("/"), "rule_type"))
 
 
 def _votes() -> Column:
@@ -106,12 +111,14 @@ def library_listing(library: DataFrame) -> DataFrame:
     return library.withColumn("acceptance_pct", rate).orderBy(F.desc("times_used"), "pattern", "rule_type")
 
 
-def library_suggestions(profile: DataFrame, library: DataFrame) -> DataFrame:
+def library_suggestions(columns: DataFrame, library: DataFrame) -> DataFrame:
     """Rules known for a column's name pattern or its exact name, the most used one per type.
 
+    ``columns`` needs the column names only, so a table's schema rows do as well as its profile.
+
     Rules that at least three votes gave less than 30 % are left out.
     """
-    names = profile.select(
+    names = columns.select(
         "column_name",
         F.explode(F.array_distinct(F.array(name_pattern(F.col("column_name")), F.lower("column_name")))).alias("pattern"),
     )

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
+from tablecheck.functions import verdicts as V
 from tablecheck.functions.literals import array, literal, name, struct
 from tablecheck.functions.predicates import guarded_predicate
 from tablecheck.operators import history_checks as H
@@ -203,26 +204,33 @@ def _by_other(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
 
 
 def _by_history(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
-    """Current values, all from one aggregation, against the stored points of their metrics."""
+    """Current values, all from one aggregation, against the stored points of their metrics.
+
+    Rules that look at the same stretch of history share its statistics.
+    """
     cells = [(f"m{no}", f"CAST(({KINDS[r.kind].measures(r)[0]}) AS DOUBLE)") for no, r in items]
     metric = {no: rule.opt("metric_name", rule.name) for no, rule in items}
     current = _rows(_measure(df, cells), [
         struct(check_no=str(no), name=literal(metric[no]), value=f"m{no}") for no, _ in items
     ])
     points = ctx.history.where(F.col("name").isin(sorted(set(metric.values()))))
-    parts = []
+    groups: dict[int, Numbered] = {}
     for no, rule in items:
-        mine = current.where(F.col("check_no") == no)
-        if rule.kind == "zscore_anomaly":
-            judged = H.zscore_check(
-                mine, points, 3.0 if rule.value is None else float(rule.value), rule.opt("min_samples", 5)
-            )
-        else:
-            judged = H.trend_check(
-                mine, points, rule.opt("window", 7), 20.0 if rule.value is None else float(rule.value),
-                rule.opt("direction", "any"),
-            )
-        parts.append(_rows(judged, [_result(no, rule, "value", "value", "passed")]))
+        groups.setdefault(0 if rule.kind == "zscore_anomaly" else rule.opt("window", 7), []).append((no, rule))
+    parts = []
+    for window, members in groups.items():
+        stats = H.trend_stats(points, window) if window else H.zscore_stats(points)
+        cases = []
+        for no, rule in members:
+            if window:
+                limit = 20.0 if rule.value is None else rule.value
+                passed = V.trend_ok("n", "prev", "cur", window, limit, rule.opt("direction", "any"))
+            else:
+                limit = 3.0 if rule.value is None else rule.value
+                passed = V.zscore_ok("value", "n", "mean", "std", limit, rule.opt("min_samples", 5))
+            cases.append(f"WHEN {no} THEN {_result(no, rule, 'value', 'value', passed)}")
+        mine = current.where(F.col("check_no").isin([no for no, _ in members])).join(stats, "name", "left")
+        parts.append(_rows(mine, [f"CASE check_no {' '.join(cases)} END"]))
     return parts
 
 

@@ -428,7 +428,7 @@ def _(t: Tables) -> DataFrame:
     history = t["metric_history"]
     parts = None
     for direction, window, limit in (("any", 7, 5.0), ("up", 7, 1.0), ("down", 7, 1.0), ("short", 50, 1.0)):
-        judged = H.trend_points(history, window, limit, direction).select(
+        judged = H.trend_check(history, window, limit, direction).select(
             F.concat(F.col("name"), F.lit(f" {direction}")).alias("check_name"), F.round("cur", 6).alias("value"),
             F.lit(f"trend_check({limit})").alias("expected"), "passed",
         )

@@ -14,6 +14,7 @@ from tablecheck.plans.registry import query
 from tablecheck.plans.table_queries import CONTACTS, kinds, profile_sql, _EVENT_COLUMNS
 from tablecheck.plans.tables import Tables, with_tables
 from tablecheck.session import shared_folder
+from tablecheck.sources.readers import schema_rows
 
 # -- suggestions -------------------------------------------------------------------------------
 
@@ -153,7 +154,7 @@ _MERGE_SQL = with_tables(["rule_events", "checks", "contacts"], "", extra={
 @query("library_suggestions", f"""{_MERGE_SQL} SELECT column_name, type, 'used ' || times_used || ' times' AS reason,
  CASE WHEN times_used >= 5 THEN 'high' ELSE 'medium' END AS confidence, library_id FROM known""")
 def _(t: Tables) -> DataFrame:
-    return S.library_suggestions(P.profile_table(t["contacts"]), _library(t)).select("column_name", "type", "reason", "confidence", "library_id")
+    return S.library_suggestions(schema_rows(t["contacts"]), _library(t)).select("column_name", "type", "reason", "confidence", "library_id")
 
 
 @query("suggest_merge", f"""{_MERGE_SQL} SELECT coalesce(s.column_name, k.column_name) AS column_name, coalesce(s.type, k.type) AS type,
@@ -162,7 +163,7 @@ def _(t: Tables) -> DataFrame:
  FROM stat s FULL JOIN known k ON s.column_name = k.column_name AND s.type = k.type""")
 def _(t: Tables) -> DataFrame:
     profile = P.profile_table(t["contacts"])
-    merged = S.merge_suggestions(S.suggest(profile), S.library_suggestions(profile, _library(t)))
+    merged = S.merge_suggestions(S.suggest(profile), S.library_suggestions(schema_rows(t["contacts"]), _library(t)))
     return merged.select("column_name", "type", "assert_value", "reason", "confidence", "library_id")
 
 
