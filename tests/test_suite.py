@@ -128,3 +128,42 @@ def test_contract_names_what_is_broken(orders):
     assert (contract.owner, contract.version, contract.columns[0].nullable) == ("unknown", "0.1", True)
     rows = validate(orders, contract).collect()
     assert [(r.rule, r.target, r.passed) for r in rows] == [("schema", "gone", False), ("row_count", "max", False)]
+
+
+def test_runs_build_their_own_history(spark, orders):
+    from tablecheck.operators.runner import run_and_record
+    from tablecheck.session import shared_folder
+
+    store = shared_folder(spark, "store")
+    rules = [
+        Rule("rows", "row_count_at_least", 1, tags=("a",)), Rule("mean", "between", [0, 1e9], metric="avg(o_totalprice)", tags=("a",)),
+        Rule("skipped", "greater_than", 0, metric="count(*)"),
+    ]
+    for day in range(1, 6):
+        part = orders.where(f"o_orderkey % 100 < {50 + day}")
+        quiet = run_and_record(part, rules, store, f"run-{day}", f"2024-01-0{day} 00:00:00", tags=["a"])
+        assert all(r.passed for r in quiet.collect() if r.method is None)
+    burst = orders.unionByName(orders).unionByName(orders)
+    rows = run_and_record(burst, rules, store, "run-6", "2024-01-06 00:00:00", tags=["a"]).collect()
+    assert len(rows) == 4
+    verdicts = {r.name: (r.passed, r.method) for r in rows if r.method}
+    assert verdicts["rows"] == (False, "ewma") and verdicts["mean"][1] == "ewma"
+    again = run_and_record(burst, rules, store, "run-6", "2024-01-06 00:00:00", tags=["a"])
+    assert again.count() == 4
+
+
+def test_full_report(spark, orders):
+    import json
+
+    from tablecheck.operators import anomaly, ingest
+    from tablecheck.operators.contracts import Contract
+
+    checks = suite.evaluate(orders, [Rule("n", "row_count_at_least", 1), Rule("m", "greater_than", 1e12, metric="avg(o_totalprice)")])
+    current = spark.createDataFrame([("n", 5.0)], "name string, value double")
+    past = spark.sql("SELECT 'n' AS name, CAST(id AS DOUBLE) AS value, timestamp_seconds(id) AS run_at FROM range(4)")
+    report = ingest.json_report(checks, "2024-01-01", anomaly.detect(current, past), validate(orders, Contract("c", min_rows=10**9)))
+    doc = json.loads(report.collect()[0].report)
+    assert doc["summary"] == {"total": 2, "passed": 1, "failed": 1}
+    assert [c["check_name"] for c in doc["checks"]] == ["n", "m"]
+    assert doc["anomalies"]["summary"] == {"total": 1, "flagged": 0}
+    assert doc["contracts"][0]["rule"] == "row_count" and doc["contracts"][0]["passed"] is False
