@@ -194,7 +194,7 @@ def _(t: Tables) -> DataFrame:
     return H.known_metrics(t["metric_history"])
 
 
-@query("recent_values", with_tables(["metric_history"], """SELECT name, value, run_at, rn AS recency FROM (
+@query("recent_values", with_tables(["metric_history"], """SELECT name, value, run_at, CAST(rn AS INTEGER) AS recency FROM (
  SELECT *, row_number() OVER (PARTITION BY name ORDER BY run_at DESC) AS rn FROM metric_history WHERE value IS NOT NULL) WHERE rn <= 7"""))
 def _(t: Tables) -> DataFrame:
     return H.recent_values(t["metric_history"], 7).orderBy("name", "run_at")

@@ -254,8 +254,8 @@ def profile_sql(source: str, columns: list[tuple[str, str]]) -> str:
         "SELECT ordinal, column_name, col_type, row_count, null_count, null_pct, distinct_count, "
         "CASE WHEN col_type = 'numeric' THEN mn END AS min_num, CASE WHEN col_type = 'numeric' THEN mx END AS max_num, "
         "CASE WHEN col_type = 'numeric' THEN round(av, 2) END AS avg_val, CASE WHEN col_type = 'date' THEN f END AS min_text, "
-        "CASE WHEN col_type = 'date' THEN l END AS max_text, CASE WHEN col_type = 'string' THEN sh END AS min_length, "
-        "CASE WHEN col_type = 'string' THEN lo END AS max_length FROM (" + "\nUNION ALL ".join(parts) + ")"
+        "CASE WHEN col_type = 'date' THEN l END AS max_text, CAST(CASE WHEN col_type = 'string' THEN sh END AS INTEGER) AS min_length, "
+        "CAST(CASE WHEN col_type = 'string' THEN lo END AS INTEGER) AS max_length FROM (" + "\nUNION ALL ".join(parts) + ")"
     )
 
 
