@@ -65,6 +65,19 @@ def _text_extremes(df: DataFrame, columns: list[str]) -> DataFrame | None:
     return df.agg(F.expr(f"struct({cells}) AS measured")).selectExpr("measured.*").selectExpr(f"inline({array(rows)})")
 
 
+def _only(kind: str, value: str, column: str) -> str:
+    return f"if(col_type = '{kind}', {value}, NULL) AS {column}"
+
+
+def _by_ordinal(parts: list[DataFrame], optional: str) -> DataFrame:
+    """One row per column of the table from parts that each know some of its fields."""
+    known = [f for p in parts for f in p.schema.fields if f.name != "ordinal"]
+    absent = [f for f in T.StructType.fromDDL(optional).fields if f.name not in {k.name for k in known}]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    merged = whole.groupBy("ordinal").agg(*[F.max(f.name).alias(f.name) for f in known])
+    return merged.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in absent])
+
+
 def _column_type(kind: T.DataType) -> str:
     """unknown without values; numeric when any value is a number; date when the least text is dated."""
     settled = "'string'"
@@ -97,37 +110,28 @@ def profile_table(df: DataFrame, columns: list[str] | None = None, distinct: str
     )
     rows = [
         struct(
-            ordinal=str(no), column_name=literal(column), kind=_column_type(kinds[column]).format(filled=f"c{no}_filled"), row_count="total",
-            filled=f"c{no}_filled", min_num=f"c{no}_min", max_num=f"c{no}_max", avg_val=f"c{no}_avg",
+            ordinal=str(no), column_name=literal(column),
+            kind=_column_type(kinds[column]).format(filled=f"c{no}_filled"), row_count="total", filled=f"c{no}_filled", min_num=f"c{no}_min", max_num=f"c{no}_max", avg_val=f"c{no}_avg",
             min_text=f"c{no}_first", max_text=f"c{no}_last", min_length=f"c{no}_short", max_length=f"c{no}_long",
             distinct_count=f"c{no}_distinct" if distinct == "approx" else "CAST(NULL AS BIGINT)",
         )
         for no, column in enumerate(columns)
     ]
-    def only(kind: str, value: str, column: str) -> str:
-        return f"if(col_type = '{kind}', {value}, NULL) AS {column}"
-
-    profile = measured.selectExpr(f"inline({array(rows)})")
-    extremes = _text_extremes(df, columns)
-    if extremes is None:
-        profile = profile.selectExpr("*", "CAST(NULL AS STRING) AS first", "CAST(NULL AS STRING) AS last")
-    else:
-        profile = profile.join(extremes, "ordinal", "left")
+    parts = [measured.selectExpr(f"inline({array(rows)})"), _text_extremes(df, columns)]
+    if distinct == "exact":
+        parts[0] = parts[0].drop("distinct_count")
+        parts.append(key_counts(df, [[c] for c in columns]).selectExpr("key_no AS ordinal", "distinct_count"))
+    profile = _by_ordinal([p for p in parts if p is not None], "first string, last string")
     inferred = f"CASE WHEN avg_val IS NOT NULL THEN 'numeric' WHEN {looks_dated('first')} THEN 'date' ELSE 'string' END"
-    profile = profile.selectExpr("*", f"if(kind = 'text', {inferred}, kind) AS col_type").selectExpr(
+    return profile.selectExpr("*", f"if(kind = 'text', {inferred}, kind) AS col_type").selectExpr(
         "ordinal", "column_name", "col_type", "row_count", "row_count - filled AS null_count",
         "coalesce(round(try_divide((row_count - filled) * 100.0D, row_count), 2), 0.0D) AS null_pct",
-        only("numeric", "min_num", "min_num"), only("numeric", "max_num", "max_num"),
-        only("numeric", "round(avg_val, 2)", "avg_val"), only("date", "coalesce(min_text, first)", "min_text"),
-        only("date", "coalesce(max_text, last)", "max_text"), only("string", "min_length", "min_length"),
-        only("string", "max_length", "max_length"), "distinct_count",
+        _only("numeric", "min_num", "min_num"), _only("numeric", "max_num", "max_num"),
+        _only("numeric", "round(avg_val, 2)", "avg_val"), _only("date", "coalesce(min_text, first)", "min_text"),
+        _only("date", "coalesce(max_text, last)", "max_text"), _only("string", "min_length", "min_length"),
+        _only("string", "max_length", "max_length"),
+        "distinct_count" if distinct == "none" else "coalesce(distinct_count, 0L) AS distinct_count",
     )
-    if distinct != "exact":
-        return profile
-    counts = key_counts(df, [[c] for c in columns]).selectExpr("key_no AS ordinal", "distinct_count AS counted")
-    return profile.join(counts, "ordinal", "left").withColumn(
-        "distinct_count", F.coalesce("counted", F.lit(0))
-    ).drop("counted")
 
 
 def profile_many(tables: dict[str, DataFrame], distinct: str = "exact") -> DataFrame:
