@@ -17,7 +17,7 @@ def run_and_record(
     ``checks/``   one row per check; its value is also the point of the metric with its name
     ``results/``  checks and anomaly verdicts in one shape
 
-    Returns the run's combined results as stored. The table under test is read once: history and
+    Returns the run's combined results as stored. Only the suite reads the table under test: history and
     anomaly verdicts come from the stored check rows. A repeated run replaces its own rows, also
     in the history.
     """
