@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecheck.llm import minhash
+from tablecheck.llm import minhash, ppm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op4_ppm_scores")
+def ppm_scores(table) -> DataFrame:
+    return ppm.score(table("documents"))
+
+
 @query("op10_bbit_minhash")
 def bbit_minhash(table) -> DataFrame:
     return minhash.near_duplicates(table("documents"), minhash.MinHash(width=4, percent=80))
