@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecheck.llm import minhash, ppm
+from tablecheck.llm import minhash, ppm, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,11 @@ def ppm_scores(table) -> DataFrame:
     return ppm.score(table("documents"))
 
 
+@query("op5_grid_order_join")
+def grid_order_join(table) -> DataFrame:
+    return vector_dedup.near_duplicates(table("embeddings"), vector_dedup.GridOrder(least=0.98))
+
+
 @query("op10_bbit_minhash")
 def bbit_minhash(table) -> DataFrame:
     return minhash.near_duplicates(table("documents"), minhash.MinHash(width=4, percent=80))
