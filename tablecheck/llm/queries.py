@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecheck.llm import minhash, ppm, vector_dedup
+from tablecheck.llm import minhash, packing, ppm, token_counts, vector_dedup
+
+TOKENIZERS = "/opt/tokenizers"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +26,25 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file, of the installed package or else of the folder it is linked from."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
+@query("op2_hierarchical_packing")
+def hierarchical_packing(table) -> DataFrame:
+    return packing.pack(table("documents"), tokenizer("word_bpe_49k.json"), packing.Tiers(window=4096, end=2))
+
+
+@query("op3_token_counts")
+def longest_match_counts(table) -> DataFrame:
+    return token_counts.count_pieces(table("documents"), tokenizer("byte_bpe_50k.json"))
+
+
 @query("op4_ppm_scores")
 def ppm_scores(table) -> DataFrame:
     return ppm.score(table("documents"))
