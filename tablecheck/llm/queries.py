@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecheck.llm import minhash, packing, ppm, token_counts, vector_dedup
+from tablecheck.llm import minhash, packing, ppm, token_counts, url_reputation, vector_dedup
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -55,6 +55,17 @@ def grid_order_join(table) -> DataFrame:
     return vector_dedup.near_duplicates(table("embeddings"), vector_dedup.GridOrder(least=0.98))
 
 
+URL_RULES = [
+    url_reputation.Rule("allow", "org", "/"), url_reputation.Rule("block", "example.org", "/es/"), url_reputation.Rule("block", "example.org", "/en/1"),
+    url_reputation.Rule("allow", "com", "/fr/"), url_reputation.Rule("block", "com", "/de/"),
+]
+
+
+@query("op7_host_reputation")
+def host_reputation(table) -> DataFrame:
+    return url_reputation.judge(table("pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "n", "n_bad")
+
+
 @query("op10_bbit_minhash")
 def bbit_minhash(table) -> DataFrame:
     return minhash.near_duplicates(table("documents"), minhash.MinHash(width=4, percent=80))
