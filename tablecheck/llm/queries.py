@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecheck.llm import minhash, packing, ppm, token_counts, url_reputation, vector_dedup
+from tablecheck.llm import license_scan, minhash, packing, ppm, token_counts, url_reputation, vector_dedup
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -35,6 +35,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_license_scan")
+def license_scan_summary(table) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table("documents")))
+
+
 @query("op2_hierarchical_packing")
 def hierarchical_packing(table) -> DataFrame:
     return packing.pack(table("documents"), tokenizer("word_bpe_49k.json"), packing.Tiers(window=4096, end=2))
