@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecheck.llm import license_scan, minhash, packing, ppm, token_counts, url_reputation, vector_dedup
+from tablecheck.llm import language_quality, license_scan, minhash, packing, ppm, token_counts, url_reputation, vector_dedup
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -71,6 +71,11 @@ def host_reputation(table) -> DataFrame:
     return url_reputation.judge(table("pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "n", "n_bad")
 
 
+@query("op8_language_divergence")
+def language_divergence(table) -> DataFrame:
+    return language_quality.judge(table("documents"))
+
+
 @query("op10_bbit_minhash")
 def bbit_minhash(table) -> DataFrame:
     return minhash.near_duplicates(table("documents"), minhash.MinHash(width=4, percent=80))
