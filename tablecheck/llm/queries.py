@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecheck.llm import language_quality, license_scan, minhash, packing, ppm, token_counts, url_reputation, vector_dedup
+from tablecheck.llm import language_quality, license_scan, minhash, packing, ppm, token_counts, toxicity, url_reputation, vector_dedup
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -76,6 +76,11 @@ def language_divergence(table) -> DataFrame:
     return language_quality.judge(table("documents"))
 
 
+@query("op9_counterfactual_toxicity")
+def counterfactual_toxicity(table) -> DataFrame:
+    return toxicity.score(table("documents"), table("labels"))
+
+
 @query("op10_bbit_minhash")
 def bbit_minhash(table) -> DataFrame:
     return minhash.near_duplicates(table("documents"), minhash.MinHash(width=4, percent=80))
