@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecheck.llm import language_quality, license_scan, minhash, packing, ppm, token_counts, toxicity, url_reputation, vector_dedup
+from tablecheck.llm import language_quality, license_scan, minhash, mixing, oracles, packing, ppm, token_counts, toxicity, url_reputation, vector_dedup
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -55,18 +55,25 @@ def ppm_scores(table) -> DataFrame:
     return ppm.score(table("documents"))
 
 
-@query("op5_grid_order_join")
+@query("op5_grid_order_join", oracles.vector_links(0.98))
 def grid_order_join(table) -> DataFrame:
     return vector_dedup.near_duplicates(table("embeddings"), vector_dedup.GridOrder(least=0.98))
 
 
+@query("op6_raked_mixing", oracles.mixing(mixing.Targets()))
+def raked_mixing(table) -> DataFrame:
+    """The added columns; ratios rounded, as sums of doubles differ in their last digits."""
+    mixed = mixing.mix(table("documents"), mixing.Targets())
+    return mixed.select("doc_id", "n_tokens", "source_group", "lang_group", "topic_group", F.round("probability", 9).alias("probability"), F.round("weight", 9).alias("weight"), "chosen")
+
+
 URL_RULES = [
     url_reputation.Rule("allow", "org", "/"), url_reputation.Rule("block", "example.org", "/es/"), url_reputation.Rule("block", "example.org", "/en/1"),
     url_reputation.Rule("allow", "com", "/fr/"), url_reputation.Rule("block", "com", "/de/"),
 ]
 
 
-@query("op7_host_reputation")
+@query("op7_host_reputation", oracles.host_reputation(URL_RULES, url_reputation.Prior()))
 def host_reputation(table) -> DataFrame:
     return url_reputation.judge(table("pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "n", "n_bad")
 
