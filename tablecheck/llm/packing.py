@@ -196,6 +196,6 @@ def pack(docs: DataFrame, vocabulary: str, tiers: Tiers = Tiers(), with_ids: boo
     id are packed each; other columns are not read; an empty table gives no rows.
     """
     with open(vocabulary, "rb") as file:
-        words = docs.sparkSession.sparkContext.broadcast(WordIds(file.read()))
+        words = docs.sparkSession.sparkContext.broadcast({"content": file.read()})
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window bigint, step_group bigint"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _packed(batches, words.value, tiers, with_ids), schema + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _packed(batches, WordIds.of(words.value), tiers, with_ids), schema + ", ids binary" * with_ids)

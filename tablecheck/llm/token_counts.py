@@ -58,8 +58,17 @@ class LongestMatch(dict):
                 fails[node], pops[node] = edges[at << 8 | byte], popped
         self.edges, self.fails, self.pops = edges, fails, pops
 
-    def __reduce__(self):
-        return _restored, (self.edges, self.fails, self.pops, self.limit)  # without the words met
+    def parts(self) -> dict:
+        """What a broadcast takes to the tasks; without the words met."""
+        return {"edges": self.edges, "fails": self.fails, "pops": self.pops, "limit": self.limit}
+
+    @classmethod
+    def of(cls, held: dict) -> "LongestMatch":
+        """That of broadcast parts: a worker process makes and fills it once for all its tasks."""
+        if "made" not in held:
+            made = held["made"] = cls([], held["limit"])
+            made.edges, made.fails, made.pops = held["edges"], held["fails"], held["pops"]
+        return held["made"]
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -86,12 +95,6 @@ class LongestMatch(dict):
         return 1 if node < 0 else count
 
 
-def _restored(edges, fails, pops, limit) -> LongestMatch:
-    made = LongestMatch([], limit)
-    made.edges, made.fails, made.pops = edges, fails, pops
-    return made
-
-
 def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per row of ``docs (doc_id, text)``: ``doc_id, n_bytes, n_words, n_pieces``.
 
@@ -103,10 +106,10 @@ def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     other columns are not read, and an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(LongestMatch(byte_pieces(vocabulary)))
+    held = docs.sparkSession.sparkContext.broadcast(LongestMatch(byte_pieces(vocabulary)).parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = held.value.__getitem__
+        count = LongestMatch.of(held.value).__getitem__
         for batch in batches:
             sizes, words, pieces = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():

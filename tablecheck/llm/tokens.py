@@ -26,18 +26,19 @@ class WordIds:
     """
 
     def __init__(self, content: bytes, limit: int = 600_000):
-        self.content, self.limit = content, limit
-        self.tokenizer, self.known = None, {}
-
-    def __reduce__(self):
-        return WordIds, (self.content, self.limit)  # as a broadcast value, a worker process fills it for all its tasks
-
-    def _start(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(self.content.decode())
+        self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.limit, self.known = limit, {}
+
+    @classmethod
+    def of(cls, held: dict) -> "WordIds":
+        """That of a broadcast ``{"content": ..}``: a worker process makes and fills it once for all its tasks."""
+        if "made" not in held:
+            held["made"] = cls(held["content"])
+        return held["made"]
 
     def _learn(self, words: Iterable[str]) -> None:
         needed = set(words)
@@ -58,8 +59,6 @@ class WordIds:
                 known[word] = b"".join([known.get(part) or part_ids(part) for part in _PARTS.findall(word)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.tokenizer is None:
-            self._start()
         out: list[bytes | None] = [None] * len(texts)
         plain = {i: text.lower().split() for i, text in enumerate(texts) if _PLAIN.fullmatch(text)}
         self._learn(word for words in plain.values() for word in words)
