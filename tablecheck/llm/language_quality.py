@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Common words of the languages that references are made for (fixed values).
 COMMON = {
@@ -137,14 +137,15 @@ def references(docs: DataFrame, p: Limits = Limits()) -> dict[str, tuple[np.ndar
     return out
 
 
-def judge(docs: DataFrame, p: Limits = Limits()) -> DataFrame:
+def judge(docs: DataFrame, p: Limits = Limits(), carry: list[str] | None = None) -> DataFrame:
     """Per row of ``docs (doc_id, text, lang)``: counts, distances and whether the document is kept.
 
     ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, character_distance,
     word_distance, kept``. Words are split at ASCII white space. ``base_failed`` is for too few words, or too many of
     them in repeated three-word windows. Distances are to the nearest language reference; references are the mean
     histograms of the documents of each listed language, and, where there are none of those, of all documents. A
-    text of fewer words than ``least_words`` has no distances (null): it is not judged by them.
+    text of fewer words than ``least_words`` has no distances (null): it is not judged by them. ``carry`` names the
+    columns to keep instead of ``doc_id``; those named like the added ones are replaced.
 
     ``lang`` only says which documents make a reference; null and unknown languages make none. A null or empty text
     has no words. Rows are judged one by one, repeated rows too; other columns are not read.
@@ -152,14 +153,16 @@ def judge(docs: DataFrame, p: Limits = Limits()) -> DataFrame:
     known = references(docs, p)
     rows = [v for k, v in known.items() if k is not None] or list(known.values())
     characters, words = (np.stack([r[i] for r in rows]) if rows else np.zeros((0, 0)) for i in (0, 1))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    carried = [c for c in (carry or ["doc_id"]) if c not in NAMES]
+    kinds = [T.LongType()] * 5 + [T.BooleanType()] + [T.DoubleType()] * 2 + [T.BooleanType()]
+    schema = T.StructType([*(docs.schema[c] for c in carried), *(T.StructField(n, k) for n, k in zip(NAMES, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, listed = _classes(), p.listed()
         symbols, spaces = list(_SYMBOLS), list(_SPACE)
         for batch in batches:
             rows = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(len(carried)).cast(pa.binary()).to_pylist():
                 text = text or b""
                 found = _Text(text)
                 n, repeated = found.n, found.repeated()
@@ -175,9 +178,9 @@ def judge(docs: DataFrame, p: Limits = Limits()) -> DataFrame:
                 rows.append((n, counted, int(found.bytes[symbols].sum()), duplicate_lines(text), repeated, failed, *far, kept))
             columns = list(zip(*rows)) or [()] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 2 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", *NAMES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*carried, *NAMES])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {'boolean' if n in ('base_failed', 'kept') else 'double' if 'distance' in n else 'bigint'}" for n in NAMES))
+    return docs.select(*carried, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "character_distance", "word_distance", "kept"]
