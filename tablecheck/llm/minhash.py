@@ -22,16 +22,18 @@ _SLOTS = 1 << 24
 class MinHash:
     """``width`` words per shingle, links at ``percent``; ``bands`` of ``rows`` minima, of each the low ``bits``.
 
-    64 bands of 6 miss a pair at 0.8 with a probability of 4e-9. ``slack`` is how many standard deviations the
-    estimate may lie under the limit before a candidate is not confirmed on its full sets.
+    80 bands of 8 miss a pair at 0.8 with a probability of 4e-7. ``slack`` is how many standard deviations the
+    estimate may lie under the limit before a candidate is not confirmed on its full sets (5: 3e-7). Buckets are
+    worked on in chunks of ``chunk`` documents on average.
     """
 
     width: int = 5
     percent: int = 80
-    bands: int = 64
-    rows: int = 6
-    bits: int = 2
-    slack: float = 6.0
+    bands: int = 80
+    rows: int = 8
+    bits: int = 4
+    slack: float = 5.0
+    chunk: int = 256
 
     @property
     def minima(self) -> int:
@@ -117,25 +119,87 @@ def signatures(docs: DataFrame, p: MinHash) -> DataFrame:
     )
 
 
-def estimate(a: Column, b: Column, p: MinHash) -> Column:
-    """Similarity from packed bits by bit counts, corrected for minima that agree in their low bits by chance."""
-    ones = sum(1 << (i * p.bits) for i in range(64 // p.bits))
-    mask = F.lit(ones - (1 << 64) if ones >= 1 << 63 else ones)
-    differing = []
-    for i in range(-(-p.minima * p.bits // 64)):
-        x = a[i].bitwiseXOR(b[i])
-        differing.append(F.bit_count(reduce(lambda y, k: y.bitwiseOR(F.shiftrightunsigned(x, k)), range(1, p.bits), x).bitwiseAND(mask)))
-    same = 1 - reduce(lambda x, y: x + y, differing) / F.lit(float(p.minima))
+def estimate(a: np.ndarray, b: np.ndarray, p: MinHash) -> np.ndarray:
+    """Similarity of packed minima, row by row: by bit counts of their difference, corrected for chance.
+
+    Minima that differ agree in their low bits with a probability of 2 to the power of minus ``bits``.
+    """
+    ones = np.uint64(sum(1 << i for i in range(0, 64, p.bits)))
+    x = a ^ b
+    folded = x.copy()
+    for k in range(1, p.bits):
+        folded |= x >> np.uint64(k)
+    differing = np.bitwise_count(folded & ones).sum(axis=-1)
     chance = 2.0**-p.bits
-    return (same - chance) / (1 - chance)
+    return (1 - differing / p.minima - chance) / (1 - chance)
+
+
+def _likely_in(group: list[dict], p: MinHash, forest: bool) -> list[tuple]:
+    """Pairs of one chunk or chunk pair whose estimate does not rule them out.
+
+    With ``forest`` a spanning forest of them, most similar first. Without, each pair of different components, in
+    the first band that both documents share only, so that it is met once.
+    """
+    group.sort(key=lambda row: row["doc_id"])
+    packed = np.array([row["packed"] for row in group], np.int64).view(np.uint64)
+    sides = np.array([row["side"] for row in group])
+    found = []
+    if not forest:
+        component, bands = np.array([row["component"] for row in group]), np.array([row["bands"] for row in group])
+    for i in range(len(group) - 1):
+        near = estimate(packed[i + 1 :], packed[i], p)
+        passed = near >= p.least_estimate()
+        if not forest:
+            passed &= component[i + 1 :] != component[i]
+            passed &= (sides[i + 1 :] != sides[i]) | (group[i]["i"] == group[i]["j"])
+            at = np.flatnonzero(passed)
+            if len(at):
+                first = (bands[i + 1 :][at] == bands[i]).argmax(axis=1)
+                passed[at] = bands[i][first] == group[i]["band"]
+        found += [(-near[j], i, i + 1 + int(j)) for j in np.flatnonzero(passed)]
+    if forest:
+        root, kept = list(range(len(group))), []
+
+        def top(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for pair in sorted(found):
+            u, v = top(pair[1]), top(pair[2])
+            if u != v:
+                root[v] = u
+                kept.append(pair)
+        found = kept
+    return [(group[i]["doc_id"], group[j]["doc_id"]) for _, i, j in found if group[i]["doc_id"] != group[j]["doc_id"]]
+
+
+def _likely(placed: DataFrame, marks: DataFrame, p: MinHash, forest: bool) -> DataFrame:
+    """``u, v``, with u below v, of ``placed (band, i, j, side, doc_id[, component])``, which has each group's rows.
+
+    Groups have bounded size: a bucket of many documents is dealt over chunks by the hash of their ids.
+    """
+    more = [] if forest else ["component", "bands"]
+    rows = placed.join(marks.select("doc_id", "packed", *more[1:]), "doc_id").select("band", "i", "j", "side", "doc_id", "packed", *more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        for batch in batches:
+            pairs = []
+            for row in batch.to_pylist():
+                if group and (row["band"], row["i"], row["j"]) != (group[0]["band"], group[0]["i"], group[0]["j"]):
+                    pairs += _likely_in(group, p, forest)
+                    group = []
+                group.append(row)
+            yield _pairs(pairs)
+        yield _pairs(_likely_in(group, p, forest))
+
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _likely(pairs: DataFrame, marks: DataFrame, p: MinHash) -> DataFrame:
-    """The pairs whose estimated similarity does not rule them out."""
-    left = marks.select(F.col("doc_id").alias("u"), F.col("packed").alias("pu"))
-    right = marks.select(F.col("doc_id").alias("v"), F.col("packed").alias("pv"))
-    joined = pairs.join(left, "u").join(right, "v")
-    return joined.where(estimate(F.col("pu"), F.col("pv"), p) >= p.least_estimate()).select("u", "v")
+def _pairs(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
 def _slot(name: str) -> Column:
@@ -148,7 +212,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, p: MinHash) -> DataFrame:
     The ids are hashed to a bitmap of fixed size (2 MB), so that no text is shuffled to find them; documents that
     pass by collision meet no pair later.
     """
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).select((_slot("id") + 1).alias("slot"))
+    ids = pairs.select(F.col("u").alias("id")).distinct().unionByName(pairs.select(F.col("v").alias("id")).distinct()).select((_slot("id") + 1).alias("slot"))
     rows = ids.groupBy(F.expr("bitmap_bucket_number(slot)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
     bitmap = np.zeros(_SLOTS // 8, np.uint8)
     for part, bits in rows:
@@ -182,10 +246,10 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """Per row of ``docs (doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
 
     Words are split at ASCII white space after A-Z are lower-cased. Documents with the same shingle set are one
-    class; classes meet in band buckets. First each member of a bucket is held against the bucket's smallest
-    member, so a bucket of any size gives as many candidates as it has members. Candidates whose b-bit estimate is
-    too low are left, the others are confirmed on their full sets. Then members of one bucket that are still in
-    different components are paired, so no link is lost by the first step.
+    class; classes meet in band buckets. First each chunk of a bucket, with the bucket's smallest document, gives a
+    spanning forest of its pairs by b-bit estimates; these are confirmed on the full sets. Then all members of one
+    bucket that are still in different components are estimated, and those that may be similar enough are confirmed,
+    so no link between components is lost by the first step. Pairs within a component are never listed.
 
     A null or empty text has no shingles, is linked with nothing and kept. A row without ``doc_id`` is linked only with
     rows of the same set. Rows that repeat a ``doc_id`` share
@@ -196,20 +260,24 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     classes = stored(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     marks = filled.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_key")), ["doc_id", "set_key"], "left_semi")
     placed = marks.select(F.explode("bands").alias("band"), "doc_id")
-    first = placed.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    shared = stored(placed.join(first.select("band", "low"), "band"), "shared-buckets")
-    stars = shared.where("low < doc_id").select(F.col("low").alias("u"), F.col("doc_id").alias("v")).distinct()
-    likely = stored(_likely(stars, marks, p), "candidates")
+    sizes = placed.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("all")).where("low < high")
+    sizes = stored(sizes, "buckets")
+    shared = stored(placed.join(sizes.select("band", "n"), "band"), "shared-buckets")
+    chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / p.chunk)).cast("int")
+    # buckets of the same documents are worked on once; the smallest document joins every chunk
+    once = sizes.groupBy("low", "high", "n", "all").agg(F.min("band").alias("band"))
+    chunks = F.expr(f"if(doc_id = low, sequence(0, CAST(ceil(n / {p.chunk}) AS INT) - 1), array(CAST(pmod(xxhash64(doc_id), ceil(n / {p.chunk})) AS INT)))")
+    near = shared.join(once.select("band", "low"), "band").select("band", "doc_id", F.explode(chunks).alias("i")).select("band", "i", F.col("i").alias("j"), F.col("i").alias("side"), "doc_id")
+    likely = stored(_likely(near, marks, p, forest=True), "candidates")
     links = stored(_confirmed(docs, likely, p), "confirmed")
-    # members of a bucket that the stars have left in different components
+    # members of a bucket that the forests have left in different components
     found = components(links)
-    placed = shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("band")
-    placed = placed.join(mixed, "band", "left_semi")
-    left = placed.select("band", F.col("doc_id").alias("u"), F.col("component").alias("cu"))
-    right = placed.select("band", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
-    rest = left.join(right, "band").where("u < v AND cu <> cv").select("u", "v").distinct()
-    rest = stored(_likely(rest.join(likely, ["u", "v"], "left_anti"), marks, p), "candidates")
+    apart = shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = apart.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("band")
+    apart = apart.join(mixed, "band", "left_semi").select("band", "doc_id", "component", chunk.alias("side"), F.ceil(F.col("n") / p.chunk).cast("int").alias("k"))
+    apart = apart.select("band", "doc_id", "component", "side", F.explode(F.expr("sequence(0, k - 1)")).alias("other"))
+    apart = apart.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "component")
+    rest = stored(_likely(apart, marks, p, forest=False).join(likely, ["u", "v"], "left_anti"), "candidates")
     links = links.unionByName(_confirmed(docs, rest, p))
     of_class = components(links).select(F.col("id").alias("rep"), "component")
     member = classes.join(of_class, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
