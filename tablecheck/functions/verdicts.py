@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from tablecheck.functions.literals import literal, number, text
 
 
@@ -29,13 +31,21 @@ def within(v: str, low, high) -> str:
     return settled(f"{v} BETWEEN {number(low)} AND {number(high)}")
 
 
+def _equals_number(v: str, expected) -> str:
+    """Equality with a number; whole numbers are compared in full, also where a DOUBLE would round them."""
+    equal = f"try_cast({v} AS DOUBLE) <=> {number(expected)}"
+    if float(expected).is_integer() and abs(float(expected)) < 1e37:
+        equal += f" AND coalesce(try_cast({v} AS DECIMAL(38, 0)) = {int(expected)}BD, true)"
+    return f"({equal})"
+
+
 def same(v: str, expected, is_text: bool) -> str:
     """No coercion: a text never equals a number. Only an expected None equals NULL."""
     if expected is None:
         return f"{v} IS NULL"
     if isinstance(expected, str) != is_text:
         return "false"
-    return f"{v} <=> {text(expected)}" if is_text else f"CAST({v} AS DOUBLE) <=> {number(expected)}"
+    return f"{v} <=> {text(expected)}" if is_text else _equals_number(v, expected)
 
 
 def count_at_least(v: str, n: int) -> str:
@@ -55,8 +65,15 @@ def text_filled(v: str) -> str:
 
 
 def text_in(v: str, allowed: list) -> str:
-    known = ", ".join(text(str(a)) for a in allowed if a is not None)
-    hit = settled(f"CAST({v} AS STRING) IN ({known})") if known else "false"
+    """Membership by the value's type: texts as texts, numbers and flags also by their number."""
+    listed = [a for a in allowed if a is not None]
+    spelled = ", ".join(dict.fromkeys(text(t) for a in listed for t in ([str(a), str(a).lower()] if isinstance(a, bool) else [str(a)])))
+    hits = [f"CAST({v} AS STRING) IN ({spelled})"] if listed else []
+    numbers = [a for a in listed if isinstance(a, (int, float, Decimal))]
+    if numbers:
+        equal = " OR ".join(_equals_number(v, a) for a in numbers)
+        hits.append(f"(typeof({v}) <> 'string' AND ({equal}))")
+    hit = settled(" OR ".join(f"coalesce({h}, false)" for h in hits)) if hits else "false"
     return f"({hit} OR {v} IS NULL)" if None in allowed else hit
 
 

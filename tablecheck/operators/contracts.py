@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -98,14 +98,16 @@ def _planned(df: DataFrame, contract: Contract, as_of: str | None) -> tuple[list
     return known, measured
 
 
-def validate(df: DataFrame, contract: Contract, as_of: str | None = None, **context) -> DataFrame:
-    """``contract, rule, target, value, passed, detail``: one row per promise.
+def validate(df: DataFrame, contract: Contract, as_of: str | None = None, only: Collection[str] | None = None, **context) -> DataFrame:
+    """``contract, rule, target, value, passed, detail``: one row per promise, or per promise of the kinds in ``only``.
 
     Null counts, embedded checks, freshness and row counts share one aggregation, all
     uniqueness promises share one shuffle.
     """
     spark = df.sparkSession
     known, measured = _planned(df, contract, as_of)
+    if only is not None:  # left out before anything is planned
+        known, measured = [k for k in known if k[0] in only], [m for m in measured if m[0] in only]
     parts = []
     if known:
         rows = [

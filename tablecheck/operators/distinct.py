@@ -27,10 +27,39 @@ def _text_slot(value: str) -> str:
     return f"if(octet_length({value}) <= {_SHORT}, concat('=', {value}), concat('#', sha2({value}, 256)))"
 
 
+def _canonical(value: str, kind: T.DataType, depth: int = 0) -> str:
+    """A text that is equal exactly when the values are; NULL where the value is.
+
+    Instants keep their microseconds, -0.0 is 0.0, and the parts of nested values carry their length.
+    """
+    x = f"x{depth}"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return f"if({value} = 0, '0', CAST(CAST({value} AS DOUBLE) AS STRING))"
+    if isinstance(kind, T.TimestampType):
+        return f"CAST(unix_micros({value}) AS STRING)"
+    if isinstance(kind, T.BinaryType):
+        return f"base64({value})"
+    if isinstance(kind, T.ArrayType):
+        return f"array_join(transform({value}, {x} -> {_part(x, kind.elementType, depth + 1)}), '')"
+    if isinstance(kind, T.MapType):
+        entry = f"concat({_part(f'{x}.key', kind.keyType, depth + 1)}, {_part(f'{x}.value', kind.valueType, depth + 1)})"
+        return f"array_join(array_sort(transform(map_entries({value}), {x} -> {entry})), '')"
+    if isinstance(kind, T.StructType):
+        fields = [_part(f"{value}.{name(f.name)}", f.dataType, depth + 1) for f in kind.fields]
+        return f"if({value} IS NULL, NULL, concat({', '.join(fields) or chr(39) * 2}))"
+    return f"CAST({value} AS STRING)"
+
+
+def _part(value: str, kind: T.DataType, depth: int = 0) -> str:
+    """A part of a longer text: its length and itself, a dash for NULL."""
+    text = _canonical(value, kind, depth)
+    return f"coalesce(concat(length({text}), ':', {text}), '-')"
+
+
 def _comparable(df: DataFrame, columns: list[str]) -> tuple[str, str]:
     """(type, expression) of a value that is equal exactly when the key is."""
     if len(columns) > 1:
-        return "text", _text_slot("to_json(struct(" + ", ".join(name(c) for c in columns) + "))")
+        return "text", _text_slot("concat(" + ", ".join(_part(name(c), df.schema[c].dataType) for c in columns) + ")")
     column, kind = name(columns[0]), df.schema[columns[0]].dataType
     if isinstance(kind, (T.IntegralType, T.BooleanType)):
         return "whole", f"CAST({column} AS BIGINT)"
@@ -40,11 +69,7 @@ def _comparable(df: DataFrame, columns: list[str]) -> tuple[str, str]:
         return "whole", f"CAST(unix_date({column}) AS BIGINT)"
     if isinstance(kind, T.TimestampType) or (isinstance(kind, T.TimestampNTZType) and _utc(df)):
         return "whole", f"unix_micros(CAST({column} AS TIMESTAMP))"
-    if isinstance(kind, T.BinaryType):
-        return "text", _text_slot(f"base64({column})")
-    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return "text", _text_slot(f"if({column} IS NULL, NULL, to_json(struct({column})))")
-    return "text", _text_slot(f"CAST({column} AS STRING)")
+    return "text", _text_slot(_canonical(column, kind))
 
 
 def _as_rows(df: DataFrame, values: list[tuple[int, str]]) -> DataFrame:

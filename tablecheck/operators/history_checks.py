@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablecheck.functions import verdicts as V
+from tablecheck.functions.literals import literal, number
 from tablecheck.operators.history import recent_values
 
 
-def zscore_stats(history: DataFrame) -> DataFrame:
-    """``name, n, mean, std``: mean and population deviation of each metric's last 100 points."""
-    return recent_values(history, 100).groupBy("name").agg(
+def zscore_stats(history: DataFrame, points: int = 100) -> DataFrame:
+    """``name, n, mean, std``: mean and population deviation of each metric's last points."""
+    return recent_values(history, points).groupBy("name").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
     )
 
@@ -37,6 +38,27 @@ def trend_check(history: DataFrame, window: int = 7, max_pct: float = 20.0, dire
     return trend_stats(history, window).withColumn("passed", F.expr(passed))
 
 
+def trend_checks(history: DataFrame, cases: list[tuple[int, float, str]]) -> DataFrame:
+    """Verdicts ``name, direction, max_pct, cur, passed`` of every metric for each ``(window, max_pct, direction)``.
+
+    The history is read and ranked once, up to the longest window; shorter ones are averages of the same rows.
+    """
+    windows = sorted({window for window, _, _ in cases})
+    at = F.col("recency")
+    sums = [
+        column for w in windows for column in (
+            F.count(F.when(at <= 2 * w, F.col("value"))).alias(f"n{w}"), F.avg(F.when(at <= w, F.col("value"))).alias(f"cur{w}"),
+            F.avg(F.when((at > w) & (at <= 2 * w), F.col("value"))).alias(f"prev{w}"),
+        )
+    ]
+    stats = recent_values(history, 2 * windows[-1]).groupBy("name").agg(*sums)
+    rows = ", ".join(
+        f"struct({literal(direction)} AS direction, {number(limit)} AS max_pct, cur{w} AS cur, {V.trend_ok(f'n{w}', f'prev{w}', f'cur{w}', w, limit, direction)} AS passed)"
+        for w, limit, direction in cases
+    )
+    return stats.selectExpr("name", f"inline(array({rows}))")
+
+
 def volume_by_day(df: DataFrame, time_column: str, max_pct: float = 50.0) -> DataFrame:
     """Rows per day against the day before that has rows."""
     days = df.groupBy(F.to_date(time_column).alias("day")).agg(F.count("*").cast("double").alias("value"))

@@ -11,7 +11,7 @@ Listings order by time, newest first; ties are broken by all key columns so that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Check names that a listing page shows.
 ANOMALY_NAMES = "anomal|zscore|volume|trend|distribution"
@@ -21,6 +21,9 @@ DISTRIBUTION_NAMES = "distrib"
 # Tags that a detector puts in front of its message.
 ANOMALY_TAGS = r"\[(zscore|ewma|holt_winters)\]"
 
+# What detectors write after their tag.
+TREND_TEXT, SCORE_TEXT = r"trend=(\w+)", r"(?:z|norm_score)=([0-9.]+)"
+
 _KEY = ("run_id", "check_no", "check_id")
 
 
@@ -41,12 +44,12 @@ LIGHT = "CASE WHEN score IS NULL THEN 'grey' WHEN score >= 80 THEN 'green' WHEN
 def latest_runs(runs: DataFrame) -> DataFrame:
     """The newest run of each source; of runs at the same time the one with the greater id.
 
-    Time and id are packed into one decimal: with buffers of fixed width Spark aggregates by hash
-    in each task, so a source with most of the runs is one row there and nothing is sorted.
+    Numeric ids are packed with the time into one decimal: with buffers of fixed width Spark aggregates by hash in each
+    task, so a source with most of the runs is one row there and nothing is sorted. Text ids are compared as texts.
     """
-    order = F.expr(
-        "CAST(unix_micros(CAST(run_at AS TIMESTAMP)) AS DECIMAL(18, 0)) * 10000000000000000000BD + CAST(run_id AS DECIMAL(19, 0))"
-    )
+    packed = "CAST(unix_micros(CAST(run_at AS TIMESTAMP)) AS DECIMAL(18, 0)) * 10000000000000000000BD + CAST(run_id AS DECIMAL(19, 0))"
+    numeric = isinstance(runs.schema["run_id"].dataType, T.IntegralType)
+    order = F.expr(packed if numeric else "struct(CAST(run_at AS TIMESTAMP), run_id)")
     ordered = runs.select("source_id", "run_id", "total", "passed", "run_at", order.alias("k"))
     return ordered.groupBy("source_id").agg(*[F.max_by(c, "k").alias(c) for c in ("run_id", "total", "passed", "run_at")])
 
@@ -132,10 +135,11 @@ def results_with_runs(results: DataFrame, runs: DataFrame) -> DataFrame:
     return results.join(runs.select("run_id", "source_id", "dag_id", "run_at"), "run_id")
 
 
-def list_results(results: DataFrame, runs: DataFrame, passed: bool | None = None, limit: int = 500, offset: int = 0) -> DataFrame:
+def list_results(results: DataFrame, runs: DataFrame, passed: bool | None = None, limit: int | None = 500, offset: int = 0) -> DataFrame:
     chosen = results if passed is None else results.where(F.col("passed") == int(passed))
     ordered = results_with_runs(chosen, runs).orderBy(F.desc("run_at"), *_KEY)
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    ordered = ordered.offset(offset) if offset else ordered
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def matching_results(
@@ -153,7 +157,7 @@ def matching_results(
 
 def bi_results(
     stored: DataFrame, runs: DataFrame, name: str | None = None, passed: bool | None = None,
-    dag_id: str | None = None, limit: int = 500, offset: int = 0,
+    dag_id: str | None = None, limit: int | None = 500, offset: int = 0,
 ) -> DataFrame:
     """Stored results with their run's pipeline, also those whose run is gone.
 
@@ -169,7 +173,8 @@ def bi_results(
 
     def page(df: DataFrame) -> DataFrame:
         ordered = df.orderBy(F.desc("run_at"), *_KEY, "value", "passed")
-        return (ordered.offset(offset) if offset else ordered).limit(limit)
+        ordered = ordered.offset(offset) if offset else ordered
+        return ordered if limit is None else ordered.limit(limit)
 
     if dag_id is not None:
         return page(chosen.join(header.where(F.col("dag_id") == dag_id), "run_id"))
@@ -189,8 +194,8 @@ def parse_messages(results: DataFrame) -> DataFrame:
         return F.nullif(F.regexp_extract(message, pattern, 1), F.lit(""))
 
     return results.withColumn("method", found(ANOMALY_TAGS)).withColumn(
-        "trend", F.coalesce(found(r"trend=(\w+)"), F.lit("stable"))
-    ).withColumn("score", found(r"(?:z|norm_score)=([0-9.]+)").try_cast("double"))
+        "trend", F.coalesce(found(TREND_TEXT), F.lit("stable"))
+    ).withColumn("score", found(SCORE_TEXT).try_cast("double"))
 
 
 def _two(text: str, mean: str | None = None, std: str | None = None) -> tuple[str, str]:
@@ -228,10 +233,10 @@ def pass_fail(listed: DataFrame) -> DataFrame:
 # -- runs --------------------------------------------------------------------------------------
 
 
-def recent_runs(runs: DataFrame, sources: DataFrame, limit: int = 100, dag_id: str | None = None) -> DataFrame:
+def recent_runs(runs: DataFrame, sources: DataFrame, limit: int | None = 100, dag_id: str | None = None) -> DataFrame:
     """The newest runs with their source's name, looked up after the cut."""
     chosen = runs if dag_id is None else runs.where(F.col("dag_id") == dag_id)
-    newest = chosen.orderBy(F.desc("run_at"), "run_id").limit(limit)
+    newest = chosen if limit is None else chosen.orderBy(F.desc("run_at"), "run_id").limit(limit)
     names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     return newest.join(names, "source_id", "left").orderBy(F.desc("run_at"), "run_id")
 
@@ -300,12 +305,12 @@ def alert_digest(results: DataFrame, runs: DataFrame, sources: DataFrame) -> Dat
     )
     headers = counts.join(alerted, "run_id").selectExpr(
         "run_id", "0 AS part", "CAST(NULL AS INT) AS check_no", "CAST(NULL AS BIGINT) AS check_id", "anomalies", "rules",
-        "concat('run #', run_id, ', source: ', coalesce(dag_id, ''), ', failed: ', anomalies + rules, ' checks') AS line",
+        "concat('run #', coalesce(CAST(run_id AS STRING), '?'), ', source: ', coalesce(dag_id, ''), ', failed: ', anomalies + rules, ' checks') AS line",
     )
     lines = failed.join(alerted.select("run_id"), "run_id", "left_semi").selectExpr(
         "run_id", "if(anomaly, 1, 2) AS part", "check_no", "check_id", "CAST(NULL AS BIGINT) AS anomalies",
         "CAST(NULL AS BIGINT) AS rules",
-        "if(anomaly, concat(check_name, ': ', message), concat(check_name, ': value ', value_actual, ', expected ', expected)) AS line",
+        "concat(coalesce(check_name, '?'), if(anomaly, concat(': ', coalesce(message, '?')), concat(': value ', coalesce(CAST(value_actual AS STRING), '?'), ', expected ', coalesce(expected, '?')))) AS line",
     )
     return headers.unionByName(lines)
 

@@ -30,7 +30,7 @@ def run_and_record(
         stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "run_id").parquet(path)
         return spark.read.parquet(path).where((F.col("run_date") == F.to_date(at)) & (F.col("run_id") == run_id))
 
-    found = keep(suite.evaluate(df, with_tags(rules, tags), **context), stored)
+    found = keep(suite.settled(df, with_tags(rules, tags), **context), stored)
     current = found.selectExpr("check_name AS name", "value")
     points = spark.read.parquet(stored).selectExpr("check_name AS name", "value", "run_at", "run_date")
     verdicts = anomaly.detect_all(current, points, run_at, threshold, history_days)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
@@ -16,6 +17,8 @@ from tablecheck.operators import history_checks as H
 from tablecheck.operators.checks import KINDS, Rule, orphan_count, schema_mismatches
 from tablecheck.operators.distinct import key_counts
 
+RESULT = "check_no int, check_name string, value double, value_text string, expected string, passed boolean, message string"
+
 Numbered = list[tuple[int, Rule]]
 Failures = list[tuple[int, Rule, str]]
 
@@ -28,7 +31,7 @@ class Context:
 
 def _result(no: int, rule: Rule, value: str, shown: str, passed: str, message: str | None = None) -> str:
     return struct(
-        check_no=str(no), check_name=literal(rule.name), value=f"round(CAST({value} AS DOUBLE), 6)",
+        check_no=str(no), check_name=literal(rule.name), value=f"CAST({value} AS DOUBLE)",
         value_text=f"CAST({shown} AS STRING)", expected=literal(rule.expected), passed=passed,
         message=f"CAST({literal(message)} AS STRING)",
     )
@@ -45,7 +48,7 @@ def _broken(spark: SparkSession, failures: Failures) -> list[DataFrame]:
 
 
 def _reason(error: Exception) -> str:
-    return f"{type(error).__name__}: {str(error).strip().splitlines()[0]}"
+    return f"{type(error).__name__}: {(str(error).strip().splitlines() or ['no message'])[0]}"
 
 
 def _measure(df: DataFrame, cells: list[tuple[str, str]]) -> DataFrame:
@@ -112,27 +115,77 @@ def _by_python(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
     return parts
 
 
+def _answer(query: str, df: DataFrame) -> DataFrame:
+    """A scalar query over ``source``, which is ``df`` in this query only: no view is left behind."""
+    named = re.sub(r"(?i)\b(from|join)(\s+)source\b", r"\1\2{source}", query.replace("{source}", "source").replace("{", "{{").replace("}", "}}"))
+    return df.sparkSession.sql(named, source=df) if "{source}" in named else df.sparkSession.sql(query)
+
+
 def _by_query(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
-    """Whole scalar queries over the view ``source``, as scalar subqueries of one statement."""
-    spark = df.sparkSession
-    df.createOrReplaceTempView("source")
-    answers, good, failures = [], [], []
+    """Whole scalar queries over ``source``, as scalar subqueries of one statement.
+
+    A second column counts too where a kind compares two values. A cross-table rule has its second query in the option
+    ``other_query``, over the table that the option ``table`` names. History kinds go on with their answers.
+    """
+    answers, good, cells, failures = [], [], {}, []
+
+    def ask(cell: str, answer: DataFrame, columns: int) -> list[str]:
+        names = [f"{cell}_{j}" for j in range(len(answer.columns))]
+        first = answer.toDF(*names).limit(1)
+        answers.extend(first.select(n).scalar().alias(n) for n in names[:columns])
+        return names[:columns]
+
     for no, rule in items:
+        before = len(answers)
         try:
-            answer = spark.sql(rule.query)
-            first = answer.toDF(*[f"m{no}_{j}" for j in range(len(answer.columns))]).select(f"m{no}_0").limit(1)
-            answers.append(first.scalar().alias(f"m{no}_0"))
+            found = ask(f"m{no}", _answer(rule.query, df), 2 if rule.kind == "distribution_check" else 1)
+            if rule.kind == "cross_table_check":
+                other = ctx.tables[rule.opt("table")] if rule.opt("table") is not None else df
+                found += ask(f"o{no}", _answer(rule.opt("other_query") or rule.query, other), 1)
+            cells[no] = found
             good.append((no, rule))
-        except PySparkException as error:
+        except Exception as error:
+            del answers[before:]
             failures.append((no, rule, _reason(error)))
-    parts = _broken(spark, failures)
+    parts = _broken(df.sparkSession, failures)
     if good:
-        measured = spark.sql("SELECT 1").select(*answers)
+        measured = df.sparkSession.sql("SELECT 1").select(*answers)
         schema = measured.schema
-        parts.append(_rows(measured, [_judged(no, r, [f"m{no}_0"], schema) for no, r in good]))
+        plain = [(no, r) for no, r in good if KINDS[r.kind].family != "history"]
+        past = [(no, r) for no, r in good if KINDS[r.kind].family == "history"]
+        if plain:
+            rows = []
+            for no, rule in plain:
+                try:
+                    rows.append(_answered(no, rule, cells[no], schema))
+                except Exception as error:
+                    parts += _broken(df.sparkSession, [(no, rule, _reason(error))])
+            parts += [_rows(measured, rows)] if rows else []
+        if past:
+            current = _rows(measured, [struct(check_no=str(no), name=literal(r.opt("metric_name", r.name)), value=f"try_cast({cells[no][0]} AS DOUBLE)") for no, r in past])
+            parts += _against_history(df.sparkSession, current, past, ctx)
     return parts
 
 
+def _answered(no: int, rule: Rule, cells: list[str], schema: T.StructType) -> str:
+    """The result of a queried value; a time's age and a text of two numbers are worked out first."""
+    if rule.kind == "freshness_hours":
+        age = f"try_cast({V.age_hours(f'try_cast({cells[0]} AS TIMESTAMP)', rule.opt('as_of'))} AS DOUBLE)"
+        return _result(no, rule, age, cells[0], KINDS[rule.kind].verdict(rule, [age], False))
+    if rule.kind == "distribution_check" and isinstance(schema[cells[0]].dataType, T.StringType) and len(cells) == 1:
+        two = [f"try_cast(get(split({cells[0]}, ','), {j}) AS DOUBLE)" for j in (0, 1)]
+        if rule.value[1] is None:
+            two = two[:1]
+        return _result(no, rule, two[0], cells[0], KINDS[rule.kind].verdict(rule, two, False))
+    if rule.kind == "distribution_check":
+        shown = f"concat_ws(',', {', '.join(f'CAST({c} AS STRING)' for c in cells)})"
+        return _result(no, rule, f"try_cast({cells[0]} AS DOUBLE)", shown, KINDS[rule.kind].verdict(rule, [f"try_cast({c} AS DOUBLE)" for c in cells], False))
+    if rule.kind == "cross_table_check":
+        two = [c if isinstance(schema[c].dataType, T.NumericType) else f"try_cast({c} AS DOUBLE)" for c in cells]
+        return _result(no, rule, two[0], f"concat_ws(',', {', '.join(cells)})", KINDS[rule.kind].verdict(rule, two, False))
+    return _judged(no, rule, cells, schema)
+
+
 def _by_keys(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
     sets, wanted, failures = [], [], []
     for no, rule in items:
@@ -172,7 +225,7 @@ def _by_parent(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
         try:
             found = orphan_count(df, rule.column, ctx.tables[table], parent_column, rule.opt("not_in", False))
             parts.append(_rows(found, [_judged(no, rule, ["value"], found.schema)]))
-        except (PySparkException, KeyError) as error:
+        except Exception as error:
             parts += _broken(df.sparkSession, [(no, rule, _reason(error))])
     return parts
 
@@ -183,13 +236,14 @@ def _by_other(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
     for no, rule in items:
         table, metric = rule.opt("table"), rule.opt("other_metric", rule.metric)
         try:
-            _measure(df, [("a", rule.metric)])
-            _measure(ctx.tables[table], [("b", metric)])
-        except (PySparkException, KeyError) as error:
+            kinds = _measure(df, [("a", rule.metric)]).schema, _measure(ctx.tables[table], [("b", metric)]).schema
+            if not all(isinstance(kind[0].dataType, T.NumericType) for kind in kinds):
+                raise TypeError("both measures must be numbers")
+        except Exception as error:
             failures.append((no, rule, _reason(error)))
             continue
-        here.append((f"a{no}", f"CAST(({rule.metric}) AS DOUBLE)"))
-        there.setdefault(table, []).append((f"b{no}", f"CAST(({metric}) AS DOUBLE)"))
+        here.append((f"a{no}", f"({rule.metric})"))
+        there.setdefault(table, []).append((f"b{no}", f"({metric})"))
         good.append((no, rule))
     parts = _broken(df.sparkSession, failures)
     if good:
@@ -204,27 +258,32 @@ def _by_other(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
 
 
 def _by_history(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
-    """Current values, all from one aggregation, against the stored points of their metrics.
-
-    Rules that look at the same stretch of history share its statistics.
-    """
+    """Current values, all from one aggregation, against the stored points of their metrics."""
     cells = [(f"m{no}", f"CAST(({KINDS[r.kind].measures(r)[0]}) AS DOUBLE)") for no, r in items]
-    metric = {no: rule.opt("metric_name", rule.name) for no, rule in items}
     current = _rows(_measure(df, cells), [
-        struct(check_no=str(no), name=literal(metric[no]), value=f"m{no}") for no, _ in items
+        struct(check_no=str(no), name=literal(r.opt("metric_name", r.name)), value=f"m{no}") for no, r in items
     ])
+    return _against_history(df.sparkSession, current, items, ctx)
+
+
+def _against_history(spark: SparkSession, current: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
+    """Verdicts on ``current (check_no, name, value)``; rules that look at the same stretch share its statistics."""
+    if ctx.history is None:
+        return _broken(spark, [(no, rule, "no history given") for no, rule in items])
+    metric = {no: rule.opt("metric_name", rule.name) for no, rule in items}
     points = ctx.history.where(F.col("name").isin(sorted(set(metric.values()))))
-    groups: dict[int, Numbered] = {}
+    groups: dict[tuple, Numbered] = {}
     for no, rule in items:
-        groups.setdefault(0 if rule.kind == "zscore_anomaly" else rule.opt("window", 7), []).append((no, rule))
+        key = ("z", rule.opt("points", 100)) if rule.kind == "zscore_anomaly" else ("trend", rule.opt("window", 7))
+        groups.setdefault(key, []).append((no, rule))
     parts = []
-    for window, members in groups.items():
-        stats = H.trend_stats(points, window) if window else H.zscore_stats(points)
+    for (kind, size), members in groups.items():
+        stats = H.zscore_stats(points, size) if kind == "z" else H.trend_stats(points, size)
         cases = []
         for no, rule in members:
-            if window:
+            if kind == "trend":
                 limit = 20.0 if rule.value is None else rule.value
-                passed = V.trend_ok("n", "prev", "cur", window, limit, rule.opt("direction", "any"))
+                passed = V.trend_ok("n", "prev", "cur", size, limit, rule.opt("direction", "any"))
             else:
                 limit = 3.0 if rule.value is None else rule.value
                 passed = V.zscore_ok("value", "n", "mean", "std", limit, rule.opt("min_samples", 5))
@@ -259,23 +318,45 @@ def evaluate(
         if rule.metric and family in ("keys", "schema", "parent"):
             family = "scan"  # the caller brings the measure, only the verdict is the kind's
         families.setdefault(family, []).append((no, rule))
+    if not families:
+        return df.sparkSession.createDataFrame([], RESULT)
     context = Context(tables or {}, history)
-    parts = [part for family, items in families.items() for part in _BUILDERS[family](df, items, context)]
+    parts = [part for family, items in families.items() for part in _built(df, family, items, context)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def run(df: DataFrame, rules: list[Rule], **context) -> list[Row]:
-    """Results as rows, one per rule. If the fused job fails, each rule is run by itself."""
+def _built(df: DataFrame, family: str, items: Numbered, ctx: Context) -> list[DataFrame]:
+    """The family's plans; where they cannot be built, each rule's own, or the reason why it has none."""
     try:
-        return evaluate(df, rules, **context).orderBy("check_no").collect()
-    except PySparkException:
-        rows = []
-        for no, rule in enumerate(rules, 1):
-            try:
-                rows += evaluate(df, [rule], **context).withColumn("check_no", F.lit(no)).collect()
-            except PySparkException as error:
-                rows += _broken(df.sparkSession, [(no, rule, _reason(error))])[0].collect()
-        return rows
+        return _BUILDERS[family](df, items, ctx)
+    except Exception as error:
+        if len(items) == 1:
+            return _broken(df.sparkSession, [(*items[0], _reason(error))])
+        return [part for item in items for part in _built(df, family, [item], ctx)]
+
+
+def run(df: DataFrame, rules: list[Rule], **context) -> list[Row]:
+    """Results as rows, one per rule. If the fused job fails, halves of the rules are run, and so on: a rule that fails
+    while it runs costs a logarithm of further scans, and is a failed row with the reason."""
+
+    def part(numbered: Numbered) -> list[Row]:
+        try:
+            rows = evaluate(df, [rule for _, rule in numbered], **context).collect()
+            return [Row(**row.asDict() | {"check_no": numbered[row.check_no - 1][0]}) for row in rows]
+        except PySparkException as error:
+            if len(numbered) == 1:
+                return _broken(df.sparkSession, [(*numbered[0], _reason(error))])[0].collect()
+            half = len(numbered) // 2
+            return part(numbered[:half]) + part(numbered[half:])
+
+    numbered = list(enumerate(rules, 1))
+    return sorted(part(numbered), key=lambda row: row.check_no) if numbered else []
+
+
+def settled(df: DataFrame, rules: list[Rule], **context) -> DataFrame:
+    """``run`` as a table of one row per rule, for those who store results: no rule can end the job."""
+    rows = [tuple(row[part.split()[0]] for part in RESULT.split(", ")) for row in run(df, rules, **context)]
+    return df.sparkSession.createDataFrame(rows, RESULT)
 
 
 def summary(results: DataFrame) -> DataFrame:

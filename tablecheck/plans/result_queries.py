@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablecheck.operators import ingest as I
 from tablecheck.operators import results as R
-from tablecheck.operators import suite
+from tablecheck.operators import runner, suite
 from tablecheck.operators.checks import Rule
 from tablecheck.plans.check_queries import ORDER_RULES, expect, order_suite, _ORDER_SQL
 from tablecheck.operators.checks import rule_from_dict
@@ -253,11 +253,32 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("results_union", anomaly_sql(
-    f"SELECT check_name AS name, passed, value, expected, NULL AS method, NULL AS trend, CAST(NULL AS DOUBLE) AS score FROM ({expect(*_ORDER_SQL.values())})"
-    f""" UNION ALL SELECT metric_name, NOT is_anomaly, current, CASE WHEN lower_bound IS NULL THEN '-' ELSE lower_bound || ' - ' || upper_bound END, method, trend_direction, score
+    f"SELECT check_name AS name, passed, value, expected, NULL AS method, NULL AS trend, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS tag FROM ({expect(*_ORDER_SQL.values())})"
+    f""" UNION ALL SELECT metric_name, NOT is_anomaly, current, CASE WHEN lower_bound IS NULL THEN '-' ELSE lower_bound || ' - ' || upper_bound END, method, trend_direction, score, '[' || method || '] trend=' || coalesce(trend_direction, 'stable')
  FROM ({judged_sql('metric_current', 'picked', _PICKED_METHOD)})""", source="metric_history_mixed", where=_BEFORE, **_ALL))
 def _(t: Tables) -> DataFrame:
-    return I.combined_results(order_suite(t), anomalies(t))
+    both = I.combined_results(order_suite(t), anomalies(t))
+    return both.withColumn("tag", F.nullif(F.regexp_extract("message", r"^\[\w+\] trend=\w+", 0), F.lit(""))).drop("message")
+
+
+@query("run_pipeline", f"""WITH r AS ({expect(*_ORDER_SQL.values())}), f AS (SELECT count(*) AS total, count(*) FILTER (WHERE passed) AS ok FROM r)
+SELECT 'label' AS kind, check_name AS name, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS shown, CAST(NULL AS DOUBLE) AS score FROM r
+UNION ALL SELECT 'alert', check_name, 'part 2', NULL FROM r WHERE NOT passed
+UNION ALL SELECT 'alert', NULL, 'part 0', NULL FROM f WHERE ok < total
+UNION ALL SELECT 'score', '7', CASE WHEN ok * 100.0 / total >= 80 THEN 'green' WHEN ok * 100.0 / total >= 50 THEN 'yellow' ELSE 'red' END, round(ok * 100.0::DOUBLE / total, 1) FROM f""")
+def _(t: Tables) -> DataFrame:
+    """A suite is run and stored; labels, alerts and scores are read from what it has stored, under a text run id."""
+    stored = runner.run_and_record(t["orders"], [rule_from_dict(r) for r in ORDER_RULES], shared_folder(t.spark, "store"), "nightly/1", ORDERS_AS_OF)
+    stored = stored.where("method IS NULL")  # the first run of a store has no past to judge by
+    headers = shared_folder(t.spark, "runs")
+    I.run_rows(stored, source_id=7, dag_id="nightly").write.parquet(headers)
+    results, runs = I.result_rows(stored), t.spark.read.parquet(headers)
+    sources = t["sources"].select("id", "name").withColumn("alert_enabled", F.lit(1))
+    labels = R.run_details(results, runs, sources).selectExpr("'label' AS kind", "check_name AS name", "label AS shown", "CAST(NULL AS DOUBLE) AS score")
+    digest = R.alert_digest(results, runs, sources).where("line IS NOT NULL")
+    alerts = digest.selectExpr("'alert' AS kind", "if(part = 0, NULL, split(line, ': value ')[0]) AS name", "concat('part ', part) AS shown", "CAST(NULL AS DOUBLE) AS score")
+    scores = R.health_scores(runs).selectExpr("'score' AS kind", "CAST(source_id AS STRING) AS name", "light AS shown", "score")
+    return labels.unionByName(alerts).unionByName(scores)
 
 
 @query("results_csv_export", _sql(f"""SELECT {_BI.replace('s.check_no, s.check_id, ', '')} FROM stored_results s LEFT JOIN runs u USING (run_id) {_BI_ORDER} LIMIT 500""", "stored_results", "runs"))
@@ -277,7 +298,8 @@ def _(t: Tables) -> DataFrame:
     report = I.json_report(found, ORDERS_AS_OF)
     shape = "run_at STRING, summary STRUCT<total: BIGINT, passed: BIGINT>, checks ARRAY<STRUCT<check_name: STRING, value: DOUBLE, expected: STRING, passed: BOOLEAN>>"
     doc = report.select(F.from_json("report", shape).alias("d"))
-    return doc.select(F.col("d.summary.total").alias("total"), F.col("d.summary.passed").alias("ok"), F.inline("d.checks"))
+    rows = doc.select(F.col("d.summary.total").alias("total"), F.col("d.summary.passed").alias("ok"), F.inline("d.checks"))
+    return rows.withColumn("value", F.round("value", 6))
 
 
 # -- streams -----------------------------------------------------------------------------------
@@ -285,12 +307,13 @@ def _(t: Tables) -> DataFrame:
 _ARRIVALS = {0: "ts < TIMESTAMP '2024-01-11'", 1: "ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-21'", 2: "ts >= TIMESTAMP '2024-01-21'"}
 
 
-def _arriving(t: Tables) -> DataFrame:
-    """Events as three arrivals in time order, read as a stream one file set at a time."""
+def _arrive(t: Tables, start) -> None:
+    """Events arrive in three lots, in time order, each as the files its tasks write; after each, ``start`` a stream over
+    all of them works off what is new."""
     path = shared_folder(t.spark, "arrivals")
     for condition in _ARRIVALS.values():
-        t["events"].where(condition).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(t["events"].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        t["events"].where(condition).write.mode("append").parquet(path)
+        start(t.spark.readStream.schema(t["events"].schema).parquet(path)).awaitTermination()
 
 
 @query("stream_suite", " UNION ALL ".join(
@@ -305,16 +328,15 @@ def _(t: Tables) -> DataFrame:
         Rule("values filled", "completeness_ratio", 0.99, column="value"),
         Rule("ids unique", "duplicate_row", 0, column="event_id"),
     ]
-    path = shared_folder(t.spark, "stream-results")
-    suites.check_stream(_arriving(t), rules, path, shared_folder(t.spark, "stream-checkpoint")).awaitTermination()
-    return t.spark.read.parquet(path).select("batch_id", "check_name", "value", "expected", "passed")
+    path, checkpoint = shared_folder(t.spark, "stream-results"), shared_folder(t.spark, "stream-checkpoint")
+    _arrive(t, lambda stream: suites.check_stream(stream, rules, path, checkpoint))
+    return t.spark.read.parquet(path).select("batch_id", "check_name", F.round("value", 6).alias("value"), "expected", "passed")
 
 
 @query("stream_window_metrics", """SELECT event_type AS name, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS run_at, CAST(count(*) AS DOUBLE) AS value, round(sum(value), 4) AS total
- FROM events WHERE ts < TIMESTAMP '2024-01-30' GROUP BY 1, 2""")
+ FROM events GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
-    """One-day windows; the last day is still open when the stream ends."""
-    points = suites.windowed_points(_arriving(t), "ts", "event_type", "1 day")
-    path = shared_folder(t.spark, "stream-points")
-    suites.append_points(points, path, shared_folder(t.spark, "stream-checkpoint")).awaitTermination()
-    return t.spark.read.parquet(path)
+    """One-day windows; the last day is still open when the stream ends, and is given all the same."""
+    path, checkpoint = shared_folder(t.spark, "stream-points"), shared_folder(t.spark, "stream-checkpoint")
+    _arrive(t, lambda stream: suites.update_points(suites.windowed_points(stream, "ts", "event_type", "1 day"), path, checkpoint))
+    return suites.newest_points(t.spark.read.parquet(path))

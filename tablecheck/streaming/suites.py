@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablecheck.operators import suite
 from tablecheck.operators.checks import Rule
 
+AVAILABLE = {"availableNow": True}
+
 
 def check_stream(
-    stream: DataFrame, rules: list[Rule], results_path: str, checkpoint: str, **context
+    stream: DataFrame, rules: list[Rule], results_path: str, checkpoint: str, trigger: Mapping[str, Any] = AVAILABLE, **context
 ) -> StreamingQuery:
     """Runs the suite on every micro-batch and appends its results with the batch's number.
 
     Results are partitioned by batch and overwritten per partition, so a batch that is repeated
-    after a failure replaces its own rows instead of adding them twice.
+    after a failure replaces its own rows instead of adding them twice. ``trigger`` says when batches start:
+    ``{"processingTime": "30 seconds"}`` goes on, without it what has arrived is worked off.
     """
     def check(batch: DataFrame, batch_id: int) -> None:
-        found = suite.evaluate(batch, rules, **context).withColumn("batch_id", F.lit(batch_id))
+        found = suite.settled(batch, rules, **context).withColumn("batch_id", F.lit(batch_id))
         found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(results_path)
 
     return (
-        stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
@@ -40,8 +46,24 @@ def windowed_points(
     ).select("name", F.col("window.start").alias("run_at"), "value", "total")
 
 
-def append_points(points: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def append_points(points: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, Any] = AVAILABLE) -> StreamingQuery:
+    """Closed windows only, each once."""
     return (
         points.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
+
+
+def update_points(points: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, Any] = AVAILABLE) -> StreamingQuery:
+    """Every window that a batch has changed, open ones too, under the batch's number; ``newest_points`` reads them."""
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("batch_id", F.lit(batch_id))
+        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    return points.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def newest_points(kept: DataFrame) -> DataFrame:
+    """The last state of each window and name; replaced ones are combined in each task."""
+    last = F.max_by(F.struct("value", "total"), "batch_id").alias("p")
+    return kept.groupBy("name", "run_at").agg(last).select("name", "run_at", "p.value", "p.total")

@@ -137,3 +137,26 @@ def test_stream_suite_replaces_a_repeated_batch(spark, small):
         stream = spark.readStream.schema(schema).parquet(path)
         suites.check_stream(stream, [Rule("n", "row_count_at_least", 1)], out, shared_folder(spark, "cp")).awaitTermination()
     assert [(r.batch_id, r.value) for r in spark.read.parquet(out).collect()] == [(0, 50.0)]
+
+
+def test_payloads_keep_what_was_sent(spark):
+    from tablecheck.operators import ingest, results
+
+    sent = [
+        (1, '{"run_id": "r1", "source_id": 5, "run_at": "2024-01-01T00:00:00", "results": [{"name": "a", "passed": true, "value": "25.5,6.5"}, {"name": "b", "passed": false}]}'),
+        (2, '{"run_id": "r1", "source_id": 5, "run_at": "2024-01-02T00:00:00", "results": [{"name": "a", "passed": false, "value": 3}]}'),
+        (3, '{"run_id": "r2", "run_at": "not a time", "results": []}'),
+    ]
+    payloads = spark.createDataFrame(sent, "sent int, payload string").withColumn("received", F.lit("2024-02-01 00:00:00"))
+    headers = {r.run_id: r for r in ingest.run_headers(payloads, "sent").collect()}
+    assert headers["r1"].source_id == 5 and str(headers["r1"].run_at) == "2024-01-02 00:00:00" and str(headers["r2"].run_at) == "2024-02-01 00:00:00"
+    everything = ingest.run_result_rows(payloads)
+    assert {(r.value_actual, r.value) for r in everything.where("name = 'a'").collect()} == {("25.5,6.5", None), ("3", 3.0)}
+    assert [r.name for r in ingest.run_result_rows(payloads, "sent").collect()] == ["a"]
+    scores = results.health_scores(ingest.run_headers(payloads, "sent")).collect()
+    assert {r.source_id for r in scores} == {5, None}
+    lines = results.alert_digest(
+        spark.createDataFrame([("r1", 1, 1, "a", 0, None, None, None)], "run_id string, check_no int, check_id bigint, check_name string, passed int, value_actual string, expected string, message string"),
+        ingest.run_headers(payloads, "sent"), spark.createDataFrame([(5, 1)], "id bigint, alert_enabled int"),
+    ).collect()
+    assert {r.line for r in lines} == {"run #r1, source: , failed: 1 checks", "a: value ?, expected ?"}

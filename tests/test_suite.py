@@ -167,3 +167,50 @@ def test_full_report(spark, orders):
     assert [c["check_name"] for c in doc["checks"]] == ["n", "m"]
     assert doc["anomalies"]["summary"] == {"total": 1, "flagged": 0}
     assert doc["contracts"][0]["rule"] == "row_count" and doc["contracts"][0]["passed"] is False
+
+
+def test_keys_are_exact(spark):
+    from tablecheck.operators.distinct import key_counts
+
+    df = spark.sql("""SELECT * FROM VALUES
+      (1, timestamp'2024-01-01 00:00:00.000001', 0.0D, array(1, 2), map('a', 1, 'b', 2), named_struct('p', 'x:1', 'q', 'y'), 'ab', 'c'),
+      (1, timestamp'2024-01-01 00:00:00.000002', -0.0D, array(1, 2), map('b', 2, 'a', 1), named_struct('p', 'x', 'q', '1:y'), 'a', 'bc'),
+      (1, timestamp'2024-01-01 00:00:00.000002', double('nan'), array(12), null, null, null, 'abc') AS t(a, ts, d, arr, m, st, s1, s2)""")
+    keys = [["a", "ts"], ["a", "d"], ["arr"], ["m"], ["st"], ["s1", "s2"], ["m", "a"], ["d"]]
+    found = {r.key_no: (r.distinct_count, r.duplicate_groups) for r in key_counts(df, keys).collect()}
+    assert found == {0: (2, 1), 1: (2, 1), 2: (2, 1), 3: (1, 1), 4: (2, 0), 5: (3, 0), 6: (2, 1), 7: (2, 1)}
+
+
+def test_no_rule_ends_a_suite(spark):
+    df = spark.range(4).withColumn("v", F.col("id") - 2)
+    broken = [
+        Rule("limit", "less_than", "abc", metric="count(*)"), Rule("list", "schema_check", [1, 2]), Rule("parent", "referential_integrity", None, column="id"),
+        Rule("past", "trend_check", metric="count(*)"), Rule("runs", "greater_than", 0, metric="sum(1 / v)"), Rule("other", "cross_table_check", query="SELECT 1", options={"table": "absent"}),
+    ]
+    rules = [Rule("first", "greater_than", 0, metric="count(*)"), *broken, Rule("last", "equals", 4, query="SELECT count(*) FROM source")]
+    rows = suite.run(df, rules)
+    assert [r.check_no for r in rows] == list(range(1, len(rules) + 1))
+    assert [r.check_name for r in rows if r.passed] == ["first", "last"] and all(r.message for r in rows if not r.passed)
+    assert suite.settled(df, rules).count() == len(rules) and suite.evaluate(df, []).count() == 0
+    assert not spark.catalog.tableExists("source")
+
+
+def test_queried_values_of_every_kind(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "x double")
+    past = spark.createDataFrame([("n", 2.0 + i % 3, f"2024-01-{i + 1:02} 00:00:00") for i in range(20)], "name string, value double, run_at string").withColumn("run_at", F.col("run_at").cast("timestamp"))
+    rules = [
+        Rule("text", "distribution_check", [2.0, 1.0], query="SELECT '2.0,1.0'"), Rule("text, off", "distribution_check", [2.0, 99.0], query="SELECT '2.0,1.0'"),
+        Rule("two", "distribution_check", [2.0, 99.0], query="SELECT avg(x), stddev(x) FROM source"), Rule("mean", "distribution_check", [2.0, None], query="SELECT avg(x) FROM source"),
+        Rule("fresh", "freshness_hours", 2, query="SELECT timestamp'2024-01-01 00:00:00'", options={"as_of": "2024-01-01 01:00:00"}),
+        Rule("old", "freshness_hours", 2, query="SELECT '2024-01-01 00:00:00'", options={"as_of": "2024-01-02 01:00:00"}),
+        Rule("same", "cross_table_check", query="SELECT count(*) FROM source", options={"table": "t", "other_query": "SELECT count(*) FROM {source}"}),
+        Rule("n", "zscore_anomaly", 3.0, query="SELECT count(*) FROM source"), Rule("far", "zscore_anomaly", 3.0, query="SELECT 900", options={"metric_name": "n"}),
+        Rule("trend", "trend_check", 90.0, query="SELECT count(*) FROM source", options={"metric_name": "n"}),
+    ]
+    found = {r.check_name: r.passed for r in suite.evaluate(df, rules, tables={"t": df}, history=past).collect()}
+    assert found == {"text": True, "text, off": False, "two": False, "mean": True, "fresh": True, "old": False, "same": True, "n": True, "far": False, "trend": True}
+
+
+def test_stored_values_are_not_rounded(spark):
+    df = spark.range(1, 4_000_001)
+    assert suite.evaluate(df, [Rule("share", "less_than", 1, metric="count_if(id = 1) / count(*)")]).first().value == pytest.approx(2.5e-7)
