@@ -33,7 +33,7 @@ def _stats(column: str, kind: T.DataType, no: int, approximate: bool) -> list[st
     """Aggregates of one column. What the type rules out is a NULL, never a failing cast."""
     c = name(column)
     texts, times = isinstance(kind, T.StringType), isinstance(kind, _TIME)
-    number = f"CAST({c} AS DOUBLE)" if isinstance(kind, T.NumericType) else f"number{no}" if texts else None
+    number = f"CAST({c} AS DOUBLE)" if isinstance(kind, (T.NumericType, T.BooleanType)) else f"number{no}" if texts else None
     cells = [f"count({c}) AS c{no}_filled"]
     for cell, function in (("min", "min"), ("max", "max"), ("avg", "avg")):
         cells.append(f"{f'{function}({number})' if number else 'CAST(NULL AS DOUBLE)'} AS c{no}_{cell}")
@@ -79,11 +79,14 @@ def _by_ordinal(parts: list[DataFrame], optional: str) -> DataFrame:
 
 
 def _column_type(kind: T.DataType) -> str:
-    """unknown without values; numeric when any value is a number; date when the least text is dated."""
-    settled = "'string'"
+    """unknown without values; numeric when any value is a number; date when the least text is dated.
+
+    Flags count as the numbers 0 and 1; binary and nested values are no texts.
+    """
+    settled = "'nested'" if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else "'binary'" if isinstance(kind, T.BinaryType) else "'string'"
     if isinstance(kind, _TIME):
         settled = "'date'"
-    elif isinstance(kind, T.NumericType):
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
         settled = "'numeric'"
     elif isinstance(kind, T.StringType):
         settled = "'text'"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablecheck.functions.literals import text
@@ -25,17 +27,18 @@ def _rounded(value: str) -> str:
     return f"coalesce(CAST(try_cast({value} AS DECIMAL(38, 2)) AS STRING), CAST({value} AS STRING))"
 
 
-def suggest(profile: DataFrame) -> DataFrame:
+def suggest(profile: DataFrame, types: Collection[str] | None = None) -> DataFrame:
     """``column_name, type, title, assert_type, assert_value, reason, confidence, regex_pattern``.
 
     A projection of the profile: each column's rules are built side by side and the ones whose
-    condition does not hold are left out.
+    condition does not hold are left out, as are those of other types than ``types``. Only ``duplicate`` and ``enum`` need
+    distinct counts in the profile.
     """
     low = "CASE WHEN min_num > 0 THEN greatest(0.0D, min_num * 0.8D) ELSE min_num * 1.2D END"
     rules = {
-        "null_pct = 0": _suggestion(
+        "null_count = 0": _suggestion(
             "null", "concat(column_name, ' is never null')", "equals", "'0'", "'there are no nulls now'", "high"),
-        "null_pct > 0 AND null_pct < 5": _suggestion(
+        "null_count > 0 AND null_count * 20 < row_count": _suggestion(
             "null", "concat(column_name, ' has less than 5 % nulls')", "less_than", "'5'",
             f"concat({_rounded('null_pct')}, ' % are null now')", "medium"),
         "col_type = 'numeric' AND min_num <> max_num": _suggestion(
@@ -44,7 +47,7 @@ def suggest(profile: DataFrame) -> DataFrame:
             f"concat('now from ', {_rounded('min_num')}, ' to ', {_rounded('max_num')})", "medium"),
         "distinct_count = row_count AND row_count > 0": _suggestion(
             "duplicate", "concat(column_name, ' is unique')", "equals", "'0'", "'all values are distinct now'", "high"),
-        "col_type = 'string' AND null_pct = 0": _suggestion(
+        "col_type = 'string' AND null_count = 0": _suggestion(
             "empty", "concat(column_name, ' is never an empty text')", "equals", "'0'",
             "'an empty text can be as bad as a null'", "medium"),
         "distinct_count BETWEEN 1 AND 10 AND row_count >= 50": _suggestion(
@@ -54,7 +57,8 @@ def suggest(profile: DataFrame) -> DataFrame:
             "regex", "concat(column_name, ' has its format')", "equals", "'0'",
             "concat('the name contains ', format.keyword)", "high", "format.pattern"),
     }
-    built = ", ".join(f"if({condition}, {rule}, NULL)" for condition, rule in rules.items())
+    wanted = [(c, r) for c, r in rules.items() if types is None or any(r.startswith(f"struct({text(t)} AS type") for t in types)]
+    built = ", ".join(f"if({condition}, {rule}, NULL)" for condition, rule in wanted)
     return profile.withColumn("format", content_format(F.col("column_name"))).selectExpr(
         "column_name", f"inline(filter(array({built}), s -> s IS NOT NULL))"
     )

@@ -23,8 +23,8 @@ _PROFILE_SQL = with_tables(["contacts", "events_gaps"], "", extra={
 }).rstrip()
 
 
-def _profile(t: Tables) -> DataFrame:
-    return P.profile_table(t["contacts"]).unionByName(P.profile_table(t["events_gaps"]))
+def _profile(t: Tables, distinct: str = "exact") -> DataFrame:
+    return P.profile_table(t["contacts"], distinct=distinct).unionByName(P.profile_table(t["events_gaps"], distinct=distinct))
 
 
 def _dec(v: str) -> str:
@@ -59,8 +59,8 @@ def _suggest_query(key: str, *types: str) -> None:
 
     @query(key, f"{_PROFILE_SQL}\n{sql}")
     def _(t: Tables) -> DataFrame:
-        found = S.suggest(_profile(t)).select(*_SHOWN)
-        return found.where(F.col("type").isin(*types)) if types else found
+        counted = not types or {"duplicate", "enum"} & set(types)
+        return S.suggest(_profile(t, "exact" if counted else "none"), types or None).select(*_SHOWN)
 
 
 _suggest_query("suggest_null", "null")

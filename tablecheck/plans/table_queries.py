@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablecheck.operators import contracts as C
 from tablecheck.operators import profile as P
@@ -286,6 +286,7 @@ def _(t: Tables) -> DataFrame:
 @query("profile_infer_type", with_tables(["events_gaps", "contacts"], f"""
 SELECT 'contacts' AS table_name, column_name, col_type FROM ({profile_sql("contacts", CONTACTS)})
 UNION ALL SELECT 'events', column_name, col_type FROM ({profile_sql("events_gaps", _EVENTS)})
+UNION ALL SELECT 'kinds', c, CASE WHEN n > 0 THEN k END FROM (SELECT count(*) AS n FROM lineitem), (VALUES ('flag', 'numeric'), ('bytes', 'binary'), ('list', 'nested')) AS v(c, k)
 UNION ALL SELECT 'no values', 'nothing', 'unknown' FROM (SELECT count(*) FROM region)"""))
 def _(t: Tables) -> DataFrame:
     """The inferred type needs no distinct values."""
@@ -293,7 +294,8 @@ def _(t: Tables) -> DataFrame:
         return P.profile_table(df, distinct="none").select(F.lit(name).alias("table_name"), "column_name", "col_type")
 
     blank = t["region"].select(F.lit(None).cast("string").alias("nothing"))
-    return of(t["contacts"], "contacts").unionByName(of(t["events_gaps"], "events")).unionByName(of(blank, "no values"))
+    kinds = t["lineitem"].selectExpr("l_quantity > 10 AS flag", "CAST(l_returnflag AS BINARY) AS bytes", "array(l_linenumber) AS list")
+    return of(t["contacts"], "contacts").unionByName(of(t["events_gaps"], "events")).unionByName(of(blank, "no values")).unionByName(of(kinds, "kinds"))
 
 
 @query("profile_sample_type", with_tables(["events_gaps", "contacts"], """
@@ -333,7 +335,7 @@ CONTACTS_SQL = (
 
 @query("pii_tag_columns", with_tables(["contacts"], f"SELECT column_name, row_count, pii_type, is_pii FROM ({CONTACTS_SQL})"))
 def _(t: Tables) -> DataFrame:
-    return contacts_profile(t).select("column_name", "row_count", "pii_type", "is_pii")
+    return P.tag_personal(P.profile_table(t["contacts"], distinct="none")).select("column_name", "row_count", "pii_type", "is_pii")
 
 
 def _all_profiles(t: Tables) -> DataFrame:
@@ -341,7 +343,7 @@ def _all_profiles(t: Tables) -> DataFrame:
     parts = {1: t["contacts"], 2: t["customer"].select("c_custkey", F.col("c_name").alias("adres_line"), F.col("c_acctbal").alias("account_balance")), 3: t["pages"]}
     whole = None
     for source, df in parts.items():
-        one = P.tag_personal(P.profile_table(df)).withColumn("source_id", F.lit(source))
+        one = P.tag_personal(P.profile_table(df, distinct="none")).withColumn("source_id", F.lit(source))
         whole = one if whole is None else whole.unionByName(one)
     return whole
 
@@ -363,8 +365,8 @@ def _(t: Tables) -> DataFrame:
 SELECT column_name, pii_type, null_pct, distinct_count, count(*) OVER () AS n FROM ({CONTACTS_SQL}) WHERE is_pii"""))
 def _(t: Tables) -> DataFrame:
     found = contacts_profile(t).where("is_pii").select("column_name", "pii_type", "null_pct", "distinct_count")
-    total = found.agg(F.count("*").alias("n")).scalar()
-    return found.withColumn("n", total).orderBy("column_name")
+    # one row per flagged column is left here
+    return found.withColumn("n", F.count("*").over(Window.partitionBy())).orderBy("column_name")
 
 
 @query("glossary_merge", with_tables(["contacts"], f"""

@@ -110,3 +110,12 @@ def test_dominant_run_and_source(spark):
     lines = digest.where("part > 0 AND run_id = 7").count()
     assert header.anomalies + header.rules == lines > 1000
     assert digest.where("run_id = 3").count() == 0  # its source has alerts switched off
+
+
+def test_only_what_is_asked_is_planned(spark, small):
+    def exchanges(key):
+        return physical(catalog.QUERIES[key](spark, small)).count("Exchange hashpartitioning")
+
+    assert exchanges("contract_columns") == exchanges("contract_types") == exchanges("contract_freshness") == 0
+    assert exchanges("suggest_range") < exchanges("suggest_all") and exchanges("pii_tag_columns") < exchanges("profile_table")
+    assert physical(catalog.QUERIES["chk_trend"](spark, small)).count("Scan parquet") == physical(catalog.QUERIES["recent_values"](spark, small)).count("Scan parquet")
