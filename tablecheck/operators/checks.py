@@ -13,6 +13,7 @@ A kind belongs to a family that says how its measure is obtained:
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -184,6 +185,24 @@ def rule_from_dict(raw: Mapping[str, Any]) -> Rule:
     )
 
 
+def registered_value(written: str | None) -> Any:
+    """An expectation as the registry keeps it, in text: a number, a list, a flag, nothing, or else a text."""
+    if written is None or written.strip() in ("", "None", "null"):
+        return None
+    try:
+        return ast.literal_eval({"true": "True", "false": "False"}.get(written.strip(), written.strip()))
+    except (ValueError, SyntaxError):
+        return written
+
+
+def rule_from_registry(row: Mapping[str, Any]) -> Rule:
+    """A rule from a row ``name, query, assert_type, assert_value, tags`` of the registry."""
+    return rule_from_dict({
+        "name": row["name"], "assert": row["assert_type"], "value": registered_value(row["assert_value"]),
+        "query": row["query"], "tags": tuple(row["tags"] or ()),
+    })
+
+
 def with_tags(rules: list[Rule], tags: list[str] | None) -> list[Rule]:
     """Rules that carry any of the tags; all of them when no tag is asked for."""
     return [r for r in rules if set(tags) & set(r.tags)] if tags else list(rules)

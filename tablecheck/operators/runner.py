@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Mapping
+from typing import Any
 
-from tablecheck.operators import anomaly, ingest, suite
-from tablecheck.operators.checks import Rule, with_tags
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tablecheck.operators import anomaly, ingest, results, suite
+from tablecheck.operators.checks import Rule, rule_from_dict, rule_from_registry, with_tags
+from tablecheck.sources.readers import read_source
+
+
+def run_from_dict(spark: SparkSession, config: Mapping[str, Any], tags: list[str] | None = None, **context) -> DataFrame:
+    """From configuration to results: ``source`` is read, ``checks`` (those with a tag) are run on it."""
+    rules = [rule_from_dict(check) for check in config.get("checks", ())]
+    return suite.settled(read_source(spark, config["source"]), with_tags(rules, tags), **context)
+
+
+def run_registered(df: DataFrame, checks: DataFrame, sources: DataFrame, source_id: int, tags: list[str] | None = None, **context) -> DataFrame:
+    """The registry's active checks of one source on its table. Their number is bounded by what people write for a source."""
+    rows = results.rules_of_sources(checks.where(F.col("source_id") == source_id), sources).orderBy("check_id").collect()
+    return suite.settled(df, with_tags([rule_from_registry(row.asDict()) for row in rows], tags), **context)
 
 
 def run_and_record(

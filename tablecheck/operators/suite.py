@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
@@ -16,6 +15,7 @@ from tablecheck.functions.predicates import guarded_predicate
 from tablecheck.operators import history_checks as H
 from tablecheck.operators.checks import KINDS, Rule, orphan_count, schema_mismatches
 from tablecheck.operators.distinct import key_counts
+from tablecheck.sources.readers import query_source
 
 RESULT = "check_no int, check_name string, value double, value_text string, expected string, passed boolean, message string"
 
@@ -115,12 +115,6 @@ def _by_python(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
     return parts
 
 
-def _answer(query: str, df: DataFrame) -> DataFrame:
-    """A scalar query over ``source``, which is ``df`` in this query only: no view is left behind."""
-    named = re.sub(r"(?i)\b(from|join)(\s+)source\b", r"\1\2{source}", query.replace("{source}", "source").replace("{", "{{").replace("}", "}}"))
-    return df.sparkSession.sql(named, source=df) if "{source}" in named else df.sparkSession.sql(query)
-
-
 def _by_query(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
     """Whole scalar queries over ``source``, as scalar subqueries of one statement.
 
@@ -138,10 +132,10 @@ def _by_query(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
     for no, rule in items:
         before = len(answers)
         try:
-            found = ask(f"m{no}", _answer(rule.query, df), 2 if rule.kind == "distribution_check" else 1)
+            found = ask(f"m{no}", query_source(df, rule.query), 2 if rule.kind == "distribution_check" else 1)
             if rule.kind == "cross_table_check":
                 other = ctx.tables[rule.opt("table")] if rule.opt("table") is not None else df
-                found += ask(f"o{no}", _answer(rule.opt("other_query") or rule.query, other), 1)
+                found += ask(f"o{no}", query_source(other, rule.opt("other_query") or rule.query), 1)
             cells[no] = found
             good.append((no, rule))
         except Exception as error:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from typing import Any
 
@@ -91,9 +92,11 @@ def read_source(spark: SparkSession, config: Mapping[str, Any]) -> DataFrame:
 
 
 def query_source(df: DataFrame, sql: str) -> DataFrame:
-    """Runs a statement in which the table under test is called ``source``."""
-    df.createOrReplaceTempView("source")
-    return df.sparkSession.sql(sql)
+    """Runs a statement in which the table under test is called ``source``, in this statement only: no view is left
+    behind, and suites of one session do not meet. ``{source}`` is the same name."""
+    plain = sql.replace("{source}", "source").replace("{", "{{").replace("}", "}}")
+    named = re.sub(r"(?i)\b(from|join)(\s+)source\b", r"\1\2{source}", plain)
+    return df.sparkSession.sql(named, source=df) if "{source}" in named else df.sparkSession.sql(sql)
 
 
 def schema_rows(df: DataFrame) -> DataFrame:

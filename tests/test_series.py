@@ -124,3 +124,12 @@ def test_current_point_is_not_its_own_history(spark):
     as_of = "1970-01-05 00:00:00"
     assert A.detect_all(current, df, as_of).collect()[0].is_anomaly
     assert not A.detect_all(current, df, as_of, include_current=True).collect()[0].is_anomaly
+
+
+def test_positions_of_a_crowded_hour(spark):
+    points = spark.range(60_000).selectExpr(
+        "'m' AS name", "CAST((id * 7919) % 60000 AS DOUBLE) AS value", "timestampadd(MICROSECOND, (id * 7919) % 60000 * 50, timestamp'2024-01-01 00:59:58') AS run_at"
+    )
+    found = series.positions(points.unionByName(points.withColumn("name", F.lit("other")).where("value < 10")))
+    assert found.where("name = 'm' AND (pos <> value OR n <> 60000)").count() == 0 and found.count() == 60_010
+    assert found.where("name = 'other' AND pos = value AND n = 10").count() == 10

@@ -160,3 +160,20 @@ def test_payloads_keep_what_was_sent(spark):
         ingest.run_headers(payloads, "sent"), spark.createDataFrame([(5, 1)], "id bigint, alert_enabled int"),
     ).collect()
     assert {r.line for r in lines} == {"run #r1, source: , failed: 1 checks", "a: value ?, expected ?"}
+
+
+def test_configuration_to_results(spark, small):
+    from tablecheck.operators.checks import registered_value
+    from tablecheck.operators.runner import run_from_dict
+
+    config = {
+        "source": {"type": "parquet", "path": f"{small}/orders.parquet"},
+        "checks": [
+            {"name": "rows", "assert": "greater_than", "value": 0, "query": "SELECT count(*) FROM source", "tags": ["a"]},
+            {"name": "bad", "assert": "equals", "value": 0, "query": "SELECT nothing FROM source", "tags": ["a"]},
+            {"name": "left out", "assert": "not_empty", "column": "o_orderstatus"},
+        ],
+    }
+    found = {r.check_name: (r.passed, r.message is None) for r in run_from_dict(spark, config, tags=["a"]).collect()}
+    assert found == {"rows": (True, True), "bad": (False, False)}
+    assert [registered_value(x) for x in ("[1, 100]", "24", "0.5", "true", "", None, "abc", "a, b")] == [[1, 100], 24, 0.5, True, None, None, "abc", "a, b"]
