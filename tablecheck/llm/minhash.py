@@ -24,7 +24,7 @@ class MinHash:
 
     80 bands of 8 miss a pair at 0.8 with a probability of 4e-7. ``slack`` is how many standard deviations the
     estimate may lie under the limit before a candidate is not confirmed on its full sets (5: 3e-7). Buckets are
-    worked on in chunks of ``chunk`` documents on average.
+    worked on in chunks of ``chunk`` documents on average. The first step looks at ``first`` bands, the second at all.
     """
 
     width: int = 5
@@ -34,6 +34,7 @@ class MinHash:
     bits: int = 4
     slack: float = 5.0
     chunk: int = 256
+    first: int = 16
 
     @property
     def minima(self) -> int:
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """Per row of ``docs (doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
 
     Words are split at ASCII white space after A-Z are lower-cased. Documents with the same shingle set are one
-    class; classes meet in band buckets. First each chunk of a bucket, with the bucket's smallest document, gives a
+    class; classes meet in band buckets. First each chunk of a bucket of some bands, with the bucket's smallest document, gives a
     spanning forest of its pairs by b-bit estimates; these are confirmed on the full sets. Then all members of one
     bucket that are still in different components are estimated, and those that may be similar enough are confirmed,
     so no link between components is lost by the first step. Pairs within a component are never listed.
@@ -259,13 +260,13 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     filled = signed.where("n_shingles > 0")
     classes = stored(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     marks = filled.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_key")), ["doc_id", "set_key"], "left_semi")
-    placed = marks.select(F.explode("bands").alias("band"), "doc_id")
-    sizes = placed.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("all")).where("low < high")
+    placed = marks.select(F.posexplode("bands").alias("no", "band"), "doc_id")
+    sizes = placed.groupBy("band").agg(F.min("no").alias("no"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("all")).where("low < high")
     sizes = stored(sizes, "buckets")
-    shared = stored(placed.join(sizes.select("band", "n"), "band"), "shared-buckets")
+    shared = stored(placed.select("band", "doc_id").join(sizes.select("band", "n"), "band"), "shared-buckets")
     chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / p.chunk)).cast("int")
     # buckets of the same documents are worked on once; the smallest document joins every chunk
-    once = sizes.groupBy("low", "high", "n", "all").agg(F.min("band").alias("band"))
+    once = sizes.where(F.col("no") < p.first).groupBy("low", "high", "n", "all").agg(F.min("band").alias("band"))
     chunks = F.expr(f"if(doc_id = low, sequence(0, CAST(ceil(n / {p.chunk}) AS INT) - 1), array(CAST(pmod(xxhash64(doc_id), ceil(n / {p.chunk})) AS INT)))")
     near = shared.join(once.select("band", "low"), "band").select("band", "doc_id", F.explode(chunks).alias("i")).select("band", "i", F.col("i").alias("j"), F.col("i").alias("side"), "doc_id")
     likely = stored(_likely(near, marks, p, forest=True), "candidates")
