@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tablecheck.llm import language_quality, minhash, mixing, packing, toxicity
 from tablecheck.llm.queries import tokenizer
-from tablecheck.llm.store import stored
+from tablecheck.llm.store import fold, stored
 
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.7
@@ -14,7 +14,7 @@ TOXIC = 0.7
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the limit. The classifier learns from two thirds of the labels."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fold("doc_id", 1, 3))
     return docs.where(toxicity.train(docs, labels).column("text") < TOXIC)
 
 

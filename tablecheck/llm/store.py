@@ -22,6 +22,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), LETTERS, LETTERS.lower())
 
 
-def fold(hashed: Column | str, rest: int, modulus: int) -> Column:
-    """Whether ``crc32(id as text) mod modulus`` is ``rest``."""
-    return F.crc32(F.col(hashed).cast("string") if isinstance(hashed, str) else hashed.cast("string")) % modulus == rest
+def fold(column: str, rest: int, modulus: int) -> Column:
+    """Whether ``crc32(column as text) mod modulus`` is ``rest``; a null belongs to that fold, so nothing is learned from it."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == rest, F.lit(True))

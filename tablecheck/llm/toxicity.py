@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablecheck.llm.store import stored
+from tablecheck.llm.store import fold, stored
 
 #: Terms of one kind of group; one may stand for another without changing what a sentence says about people.
 IDENTITY = [
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Training = Training()) -> Model
     terms = sorted({term for group in p.identity for term in group})
     names = [row.word for row in chosen] + [t for t in terms if t not in {row.word for row in chosen}]
     number = {word: i for i, word in enumerate(names)}
-    listed = F.array(*(F.lit(w) for w in names)) if len(names) <= 64 else F.split(F.lit(" ".join(names)), " ")
+    listed = F.split(F.lit(" ".join(names)), " ")
     rows = texts.select("toxic", F.array_intersect("words", listed).alias("words")).toArrow()
     x = [np.array([number[w] for w in words], np.int64) for words in rows.column("words").to_pylist()]
     y = rows.column("toxic").to_numpy().astype(np.float64)
@@ -167,7 +167,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, l
     or empty text has the score of a text without telling words; a row without ``doc_id`` is held out. Rows are scored
     one by one, repeated rows too; other columns are not read.
     """
-    folded = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held, F.lit(True))
-    model = train(docs, labels.where(~folded()), p)
-    scored = docs.select("doc_id", folded().alias("held_out"), model.column("text").alias("score"))
+    folded = fold("doc_id", held, modulus)
+    model = train(docs, labels.where(~folded), p)
+    scored = docs.select("doc_id", folded.alias("held_out"), model.column("text").alias("score"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= least).cast("int").alias("predicted"))
