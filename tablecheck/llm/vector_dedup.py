@@ -34,10 +34,9 @@ class GridOrder:
         return (2 - 2 * self.least) ** 0.5 * (1 + 1e-9) + 1e-9
 
 
-def _valid(vectors: DataFrame) -> DataFrame:
-    """Rows that can be linked: with a label, and a vector of finite components that are not all zero."""
-    finite = F.expr("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
-    return vectors.where("label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0").where(finite & F.expr("exists(embedding, x -> x <> 0)"))
+#: Rows that can be linked: with an id, a label, and a vector of finite components that are not all zero.
+_VALID = """coalesce(vec_id IS NOT NULL AND label IS NOT NULL AND size(embedding) > 0 AND exists(embedding, x -> x <> 0)
+  AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')), false)"""
 
 
 def _units(column: pa.Array) -> list[np.ndarray]:
@@ -208,7 +207,7 @@ def near_duplicates(vectors: DataFrame, p: GridOrder = GridOrder()) -> DataFrame
     taken as unique; rows that repeat an id and vector count as copies. Other columns are not read.
     """
     own = vectors.select("vec_id", "embedding", "label")
-    valid = _valid(own)
+    valid = own.where(_VALID)
     distinct = stored(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("size", F.size("embedding")), "vectors")
     basis = principal(distinct, p)
     ordered = grid_order(distinct, basis, p).repartitionByRange("label", "size", "cell").sortWithinPartitions("label", "size", "cell")
@@ -230,5 +229,5 @@ def near_duplicates(vectors: DataFrame, p: GridOrder = GridOrder()) -> DataFrame
     classes = distinct.join(links, "rep", "left").join(of_class, "rep", "left").select(
         "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     member = valid.join(classes, ["label", "embedding"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
-    alone = own.join(valid.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = own.where(f"NOT {_VALID}").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return member.unionByName(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))

@@ -223,3 +223,14 @@ def test_mixing_edges(edges, clashing, nothing):
     assert {r.source_group for r in mixed.where("source IS NULL OR source = 'src9'").collect()} == {"other"}
     twice = mixed.where("doc_id = 7").collect()
     assert twice[0] == twice[1]
+
+
+def test_slices_of_any_size_give_the_same():
+    texts = [bytes(random) for random in np.random.default_rng(1).integers(97, 101, (40, 30)).astype(np.uint8)] + [b"x" * 5000, b"", b"y"]
+    table = np.random.default_rng(2).random(1 << 24, np.float32)
+    stream = lambda t: np.frombuffer(b"\xff\xff" + t + b"\xff", np.uint8).astype(np.int64)
+    want = [float(table[s[:-2] << 16 | s[1:-1] << 8 | s[2:]].sum(dtype=np.float64)) for s in map(stream, texts)]
+    assert np.allclose(ppm.byte_scores(texts, table), want)
+    assert [sum(parts, []) for parts in [list(ppm._slices(texts, 100))]] == [texts]
+    pieces = np.concatenate(list(ppm._contexts(texts[:3], step=7)))
+    assert (pieces == np.concatenate(list(ppm._contexts(texts[:3])))).all()
