@@ -33,7 +33,7 @@ class MinHash:
     rows: int = 8
     bits: int = 4
     slack: float = 5.0
-    chunk: int = 256
+    chunk: int = 1024
     first: int = 16
 
     @property
