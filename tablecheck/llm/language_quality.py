@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tablecheck.llm.store import text_bytes
+
 #: Common words of the languages that references are made for (fixed values).
 COMMON = {
     "en": "the of and to in a is that for it as was with be by on not he this are or from at which but have an they you one all we can her has there been if more when will",
@@ -118,8 +120,8 @@ def references(docs: DataFrame, p: Limits = Limits()) -> dict[str, tuple[np.ndar
         classes, listed = _classes(), p.listed()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                found = _Text(text or b"")
+            for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                found = _Text(text)
                 if found.n >= p.least_words:
                     row = np.concatenate([[1.0], *found.histograms(classes, listed)])
                     for key in {lang if lang in p.common else "", ""}:
@@ -162,8 +164,7 @@ def judge(docs: DataFrame, p: Limits = Limits(), carry: list[str] | None = None)
         symbols, spaces = list(_SYMBOLS), list(_SPACE)
         for batch in batches:
             rows = []
-            for text in batch.column(len(carried)).cast(pa.binary()).to_pylist():
-                text = text or b""
+            for text in text_bytes(batch.column(len(carried))):
                 found = _Text(text)
                 n, repeated = found.n, found.repeated()
                 failed = n < p.least_words or 100 * repeated > p.repeat_percent * n

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablecheck.llm.components import components
-from tablecheck.llm.store import stored
+from tablecheck.llm.store import stored, text_bytes
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _SLOTS = 1 << 24
@@ -47,10 +47,10 @@ class MinHash:
 
 
 class _Hashes(dict):
-    """64-bit hashes of words, worked out once; emptied when it holds a million."""
+    """64-bit hashes of words, worked out once; emptied when it holds a quarter of a million."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -91,8 +91,8 @@ def _signed(batches: Iterator[pa.RecordBatch], p: MinHash) -> Iterator[pa.Record
     padded = -(-p.minima // per) * per
     for batch in batches:
         sizes, sets, keys, packed = [], [], [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            found = shingles((text or b"").lower().split(), p.width, hashes)
+        for text in text_bytes(batch.column(1)):
+            found = shingles(text.lower().split(), p.width, hashes)
             sizes.append(len(found))
             sets.append(xxhash.xxh3_128_digest(found.tobytes()))
             if not len(found):
@@ -225,7 +225,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, p: MinHash) -> DataFrame:
         for batch in batches:
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            found = [shingles((t or b"").lower().split(), width, hashes).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [shingles(t.lower().split(), width, hashes).view(np.int64) for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "found"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

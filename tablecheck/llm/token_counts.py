@@ -8,6 +8,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tablecheck.llm.store import text_bytes
+
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies spell as themselves
 
 
@@ -112,9 +114,9 @@ def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
         count = LongestMatch.of(held.value).__getitem__
         for batch in batches:
             sizes, words, pieces = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                found = (text or b"").split()
-                sizes.append(len(text or b""))
+            for text in text_bytes(batch.column(1)):
+                found = text.split()
+                sizes.append(len(text))
                 words.append(len(found))
                 pieces.append(sum(map(count, found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, words, pieces))], names=["doc_id", "n_bytes", "n_words", "n_pieces"])
