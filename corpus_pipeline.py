@@ -33,8 +33,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that tokens meet the targets of sources, languages and topics."""
-    return mixing.mix(docs).where("chosen").select(*docs.columns)
+    """Documents drawn, those of scarce categories repeatedly, so that tokens meet the targets of sources, languages and topics."""
+    return mixing.sample(docs).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

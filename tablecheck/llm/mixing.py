@@ -85,7 +85,7 @@ def fit_cells(documents: DataFrame, targets: Targets) -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: Targets = Targets(), topic: Column | None = None) -> DataFrame:
-    """``docs (doc_id, text, source, lang)`` with ``n_tokens, source_group, lang_group, topic_group, probability, weight, chosen`` added.
+    """``docs (doc_id, text, source, lang)`` with ``n_tokens, source_group, lang_group, topic_group, probability, weight, chosen, copies`` added.
 
     Token sums of the cells of source, language and topic are raked until their margins are the targets. A document's
     ``probability`` is the cell's fitted tokens over its tokens there are, times ``rate`` of all, at most 1; ``weight`` is
@@ -93,10 +93,13 @@ def mix(docs: DataFrame, targets: Targets = Targets(), topic: Column | None = No
     ``chosen`` when a number that is made from its id only (from the text, where the id is null) lies under its
     probability: repeated rows share their fate, and a rerun chooses the same.
 
+    ``copies`` is for samples without weights: the whole part of probability times weight, and one more where the same
+    number lies under the rest. Where no ratio passes 1 it is 1 for the chosen documents.
+
     A null or unlisted source or language belongs to ``other``. A cell whose target is 0, and a text without tokens in
     a cell without tokens, have probability 0. Columns of ``docs`` named like the added ones are replaced.
     """
-    added = ["n_tokens", "source_group", "lang_group", "topic_group", "probability", "weight", "chosen"]
+    added = ["n_tokens", "source_group", "lang_group", "topic_group", "probability", "weight", "chosen", "copies"]
     own = [c for c in docs.columns if c not in added]
     marked = docs.select(*own, token_count(F.col("text")).alias("n_tokens"))
     marked = marked.select(
@@ -112,5 +115,16 @@ def mix(docs: DataFrame, targets: Targets = Targets(), topic: Column | None = No
     ratio = F.coalesce("ratio", F.lit(0.0))
     probability = F.least(ratio, F.lit(1.0))
     return joined.select(
-        *own, "n_tokens", "source_group", "lang_group", "topic_group", probability.alias("probability"), F.greatest(ratio, F.lit(1.0)).alias("weight"), (uniform < probability).alias("chosen")
+        *own, "n_tokens", "source_group", "lang_group", "topic_group", probability.alias("probability"), F.greatest(ratio, F.lit(1.0)).alias("weight"), (uniform < probability).alias("chosen"),
+        (F.floor(ratio) + (uniform < ratio - F.floor(ratio)).cast("bigint")).alias("copies"),
     )
+
+
+def sample(docs: DataFrame, targets: Targets = Targets(), topic: Column | None = None, at_once: int = 4096) -> DataFrame:
+    """``mix(docs)`` with each row repeated ``copies`` times: tokens of the rows themselves meet the targets.
+
+    Scarce categories are repeated as often as their targets ask for. A row is repeated ``at_once`` at a time, so that no
+    long list is built.
+    """
+    firsts = mix(docs, targets, topic).where("copies > 0").withColumn("_first", F.explode(F.expr(f"sequence(1L, copies, {at_once}L)")))
+    return firsts.withColumn("_copy", F.explode(F.expr(f"sequence(_first, least(_first + {at_once - 1}, copies))"))).drop("_first", "_copy")

@@ -225,6 +225,29 @@ def test_mixing_edges(edges, clashing, nothing):
     assert twice[0] == twice[1]
 
 
+def test_chosen_rows_meet_the_margins_without_weights(spark):
+    import corpus_pipeline
+
+    sources, langs = ["src0"] * 4 + ["src1"] * 10 + ["src7"] * 186, ["en"] * 19 + ["de"]
+    docs = spark.createDataFrame(
+        [(i, f"w{i} " * (60 if i % 10 else 30), langs[i // 7 % 20], sources[i % 200]) for i in range(20_000)], "doc_id bigint, text string, lang string, source string"
+    )
+    targets = mixing.Targets()
+    total = mixing.mix(docs).groupBy().sum("n_tokens").first()[0]
+    found = corpus_pipeline.sample_to_targets(spark, docs, "")
+    assert found.columns == docs.columns
+    of = mixing.mix(found.select("doc_id", "text", "lang", "source")).groupBy("source_group", "lang_group", "topic_group").sum("n_tokens").collect()
+    kept = sum(r[3] for r in of)
+    assert kept / total == pytest.approx(targets.rate, abs=0.03)
+    for at, listed in enumerate(targets.margins().values()):
+        got = collections.Counter()
+        for r in of:
+            got[r[at]] += r[3] / kept
+        there = sum(listed[k] for k in got)
+        assert all(v == pytest.approx(listed[k] / there, abs=0.02) for k, v in got.items())
+    assert rows(mixing.sample(docs.limit(500), at_once=2)) == rows(mixing.sample(docs.limit(500)))
+
+
 def test_slices_of_any_size_give_the_same():
     texts = [bytes(random) for random in np.random.default_rng(1).integers(97, 101, (40, 30)).astype(np.uint8)] + [b"x" * 5000, b"", b"y"]
     table = np.random.default_rng(2).random(1 << 24, np.float32)
