@@ -1,7 +1,7 @@
 """Signature rules of licenses: hand-written patterns over normalised words, with keywords and priorities.
 
 A text is matched as its words (letters and digits, A-Z lower-cased) joined by single spaces, so patterns hold words
-and single spaces only. Each pattern is bounded: it matches at most ``REACH`` words, and one of its words is an anchor.
+and single spaces only. Each pattern is bounded: it matches at most ``REACH`` words, and every match holds its keyword.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 REACH = 24
+#: Words of most statements of licensing; not of all, so nothing is gated by them.
 ANCHORS = ["license", "licence", "licenses", "licences", "licensed", "licensing", "spdx", "copyright", "copyrighted", "copyleft", "unlicense", "domain", "warranty", "warranties", "redistribution", "permission", "gpl", "gplv2", "gplv3", "lgpl", "agpl"]
 
 NOTICE, NAME, HINT = 3, 2, 1  # priorities: a statement of licensing, a license's name, words that only hint at one

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablecheck.functions.literals import literal
-from tablecheck.llm.license_rules import ANCHORS, HINT, NOTICE, REACH, Signature, signatures
+from tablecheck.llm.license_rules import HINT, NOTICE, REACH, Signature, signatures
 from tablecheck.llm.store import lower_ascii
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -20,14 +23,24 @@ def _rules(rules: list[Signature]) -> str:
     return f"array({listed})"
 
 
+def _keyword_starts(rules: list[Signature]) -> str:
+    """A pattern of width zero where any rule's keyword starts, within words too; tried by the first character."""
+    rests = defaultdict(list)
+    for keyword in sorted({r.keyword for r in rules}):
+        rests[keyword[:1]].append(re.escape(keyword[1:]))
+    return "(?=" + "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in rests.items()) + ")"
+
+
 def _detections(rules: list[Signature]) -> str:
     """All matches in a text's ``words``, sorted by start, then priority, length and rule order.
 
-    Only stretches of words around an anchor are read, a reach on either side. In a stretch the rules whose keyword
-    occurs mark the first and last word of each of their matches, and the marked words' places are the spans.
+    Only stretches of words around a keyword are read, a reach on either side; as every match holds its rule's keyword,
+    none is outside. In a stretch the rules whose keyword occurs mark the first and last word of each of their
+    matches, and the marked words' places are the spans.
     """
-    anchors = ", ".join(literal(a) for a in ANCHORS)
-    places = f"filter(transform(words, (w, i) -> if(w IN ({anchors}), i, NULL)), i -> i IS NOT NULL)"
+    marks = f"regexp_replace(array_join(words, ' '), {literal(_keyword_starts(rules))}, '\\u0001')"
+    held = "filter(transform(split(m, ' '), (w, i) -> if(contains(w, '\\u0001'), i, NULL)), i -> i IS NOT NULL)"
+    places = f"transform(array({marks}), m -> if(contains(m, '\\u0001'), {held}, filter(array(0), i -> false)))[0]"
     apart = 2 * REACH
     first = f"filter(transform(at, (a, k) -> if(k = 0 OR a - at[greatest(k - 1, 0)] > {apart}, a, NULL)), a -> a IS NOT NULL)"
     last = f"filter(transform(at, (a, k) -> if(k = size(at) - 1 OR at[least(k + 1, size(at) - 1)] - a > {apart}, a, NULL)), a -> a IS NOT NULL)"
@@ -35,13 +48,13 @@ def _detections(rules: list[Signature]) -> str:
         f"transform(arrays_zip({first}, {last}), s -> named_struct('start', greatest(s.`0` - {REACH}, 0), "
         f"'text', concat(' ', array_join(slice(words, greatest(s.`0` - {REACH}, 0) + 1, s.`1` + {REACH} + 1 - greatest(s.`0` - {REACH}, 0)), ' '), ' ')))"
     )
-    marked = "split(trim(both ' ' FROM regexp_replace(s.text, r.pattern, '\\u0001$1\\u0002')), ' ')"
+    marked = "split(trim(both ' ' FROM t), ' ')"
     spans = (
-        "transform(array({marked}), m -> transform(arrays_zip("
+        "transform(array(regexp_replace(s.text, r.pattern, '\\u0001$1\\u0002')), t -> if(contains(t, '\\u0001'), transform(array({marked}), m -> transform(arrays_zip("
         "filter(transform(m, (w, i) -> if(startswith(w, '\\u0001'), i, NULL)), i -> i IS NOT NULL), "
         "filter(transform(m, (w, i) -> if(endswith(w, '\\u0002'), i, NULL)), i -> i IS NOT NULL)), "
-        "p -> named_struct('start', s.start + p.`0`, 'end', s.start + p.`1`, 'no', r.no, 'label', r.label, 'priority', r.priority, 'score', r.score, 'base', r.base)))[0]"
-    ).format(marked=marked)
+        "p -> named_struct('start', s.start + p.`0`, 'end', s.start + p.`1`, 'no', r.no, 'label', r.label, 'priority', r.priority, 'score', r.score, 'base', r.base)))[0], CAST(array() AS {kind})))[0]"
+    ).format(marked=marked, kind="array<struct<start: int, end: int, no: int, label: string, priority: int, score: double, base: boolean>>")
     found = f"flatten(transform({stretch}, s -> flatten(transform(filter({_rules(rules)}, r -> contains(s.text, r.keyword)), r -> {spans}))))"
     ordered = (
         f"array_sort(flatten(transform(array({places}), at -> {found})), (a, b) -> CASE "
@@ -71,7 +84,7 @@ def scan(docs: DataFrame, rules: list[Signature] | None = None, text: Column | N
 
     A detection is ``start, end`` (first and last word, from 0), ``no`` and ``label`` of its rule, ``priority``, ``score``
     and ``base``. Everything is worked out within a row: nothing is shuffled, whole texts are read, and a text
-    without an anchor word costs its split into words only. A null or empty text has no words and no detections;
+    without a keyword costs its split into words and one search. A null or empty text has no words and no detections;
     repeated rows are scanned each. Columns of ``docs`` named like the added ones are replaced.
     """
     rules = signatures() if rules is None else rules

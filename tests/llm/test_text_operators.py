@@ -77,6 +77,28 @@ def test_license_priority_beats_length(spark):
     assert [d.label for d in row.kept] == ["long", "short"]  # a longer one of lower priority holds, but does not suppress
 
 
+BARE = {"available under Apache 2.0": "apache", "BSD 3-Clause": "bsd", "Mozilla Public 2.0": "mpl", "released under CC0": "cc0", "Creative Commons Attribution 4.0 International": "cc-by"}
+
+
+def test_license_names_need_no_other_word_nearby(spark):
+    far, rules = " x" * 60, signatures()
+    texts = [*BARE, "use freebsd 3-clause or GPLv3 or apache2", *(f"{t}{far} license{far} {t}" for t in BARE)]
+    scanned = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    labels = {r.text: {d.label for d in r.kept} for r in scanned}
+    assert all(labels[t] == {label} for t, label in BARE.items()) and labels[texts[len(BARE)]] == {"bsd", "gpl", "apache"}
+    for r in scanned[len(BARE) + 1 :]:  # the plain scan reads texts with this word whole
+        found, kept = plain_detections(r.text, rules)[1]
+        assert {d[3].label for d in kept} >= {BARE[t] for t in BARE if t in r.text}
+        assert sorted((d.start, d.end, d.no) for d in r.found) == sorted(d[:3] for d in found)
+        assert sorted((d.start, d.end, d.no) for d in r.kept) == sorted(d[:3] for d in kept)
+
+
+def test_license_patterns_hold_their_keywords():
+    for r in signatures():  # optional parts left out, the keyword's words are still there
+        bare = re.sub(r"\(\?:[^()]*\)[?*]", "", re.sub(r"\(\?:[^()]*\)[?*]", "", r.pattern))
+        assert r.keyword in bare.replace("(?:", "").replace("?", ""), r
+
+
 def test_license_edges(edges, clashing, nothing):
     found = license_scan.summary(license_scan.scan(edges))
     assert found.count() == 10 and license_scan.summary(license_scan.scan(nothing)).count() == 0
