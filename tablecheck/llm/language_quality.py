@@ -8,11 +8,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablecheck.llm.store import text_bytes
 
-#: Common words of the languages that references are made for (fixed values).
+#: Common words of some languages (fixed values); other languages are told apart by their shares of these and by characters.
 COMMON = {
     "en": "the of and to in a is that for it as was with be by on not he this are or from at which but have an they you one all we can her has there been if more when will",
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem",
@@ -39,7 +39,8 @@ class Limits:
     """A document of ``least_words`` or more is rejected when a Jensen-Shannon distance to its nearest language passes a limit.
 
     ``characters`` limits the distance of character classes, ``words`` that of common words. Short texts vary more, so
-    a limit is raised by ``slack`` over the square root of the number of words.
+    a limit is raised by ``slack`` over the square root of the number of words. A language has a reference from
+    ``least_documents`` long documents on.
     """
 
     least_words: int = 50
@@ -47,6 +48,7 @@ class Limits:
     words: float = 0.3
     slack: float = 1.0
     repeat_percent: int = 50
+    least_documents: int = 20
     common: dict = field(default_factory=lambda: COMMON, hash=False)
 
     def listed(self) -> dict[bytes, int]:
@@ -110,32 +112,47 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def references(docs: DataFrame, p: Limits = Limits()) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms of each listed language over all documents that are long enough; ``None`` over those of any.
+def _lang(docs: DataFrame) -> Column:
+    return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string")
 
-    Each task gives one row per listed language, so what the driver receives does not grow with the documents.
+
+def references(docs: DataFrame, p: Limits = Limits()) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+    """Mean histograms of each language over its long documents, where there are enough; where no long document names a language, under ``None`` of all.
+
+    Tasks give one row of sums per language, which are added up on the executors; the driver receives the languages
+    with enough documents only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, listed = _classes(), p.listed()
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str | None, np.ndarray] = {}
+
+        def rows():
+            found = [(k, i, x) for k, v in sums.items() for i, x in enumerate(v)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.int32()), pa.array([r[2] for r in found], pa.float64())], names=["lang", "i", "x"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 found = _Text(text)
                 if found.n >= p.least_words:
                     row = np.concatenate([[1.0], *found.histograms(classes, listed)])
-                    for key in {lang if lang in p.common else "", ""}:
-                        sums[key] = sums[key] + row if key in sums else row
-        rows = [(k, i, x) for k, v in sums.items() for i, x in enumerate(v)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())], names=["lang", "i", "x"])
-
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    found = docs.select(lang.cast("string").alias("lang"), "text").mapInArrow(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()
+                    sums[lang] = sums[lang] + row if lang in sums else row
+                    if len(sums) >= 1000:
+                        yield rows()
+                        sums.clear()
+        yield rows()
+
+    found = docs.select(_lang(docs).alias("lang"), "text").mapInArrow(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    n = F.max(F.when(F.col("i") == 0, F.col("x"))).over(Window.partitionBy("lang"))
+    named = F.max(F.col("lang").isNotNull()).over(Window.partitionBy("i"))
+    enough = found.withColumns({"n": n, "named": named}).where(F.when(F.col("lang").isNull(), ~F.col("named")).otherwise(F.col("n") >= p.least_documents))
+    sums: dict[str | None, dict[int, float]] = defaultdict(dict)
+    for row in enough.select("lang", "i", "x").collect():
+        sums[row.lang][row.i] = row.x
     out = {}
-    for key in {row.lang for row in found}:
-        values = np.array([row.x for row in sorted((r for r in found if r.lang == key), key=lambda r: r.i)])
-        shares = values[1:] / values[0]
-        out[key or None] = shares[: len(CLASSES)], shares[len(CLASSES) :]
+    for key, values in sums.items():
+        shares = np.array([values[i] for i in range(1, len(values))]) / values[0]
+        out[key] = shares[: len(CLASSES)], shares[len(CLASSES) :]
     return out
 
 
@@ -145,15 +162,15 @@ def judge(docs: DataFrame, p: Limits = Limits(), carry: list[str] | None = None)
     ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, character_distance,
     word_distance, kept``. Words are split at ASCII white space. ``base_failed`` is for too few words, or too many of
     them in repeated three-word windows. Distances are to the nearest language reference; references are the mean
-    histograms of the documents of each listed language, and, where there are none of those, of all documents. A
-    text of fewer words than ``least_words`` has no distances (null): it is not judged by them. ``carry`` names the
+    histograms of the documents of each ``lang`` that has enough of them, or of all documents where none names a
+    language. A text of fewer words than ``least_words``, and one whose ``lang`` has no reference, has no distances
+    (null): it is not judged by them. ``carry`` names the
     columns to keep instead of ``doc_id``; those named like the added ones are replaced.
 
-    ``lang`` only says which documents make a reference; null and unknown languages make none. A null or empty text
-    has no words. Rows are judged one by one, repeated rows too; other columns are not read.
+    ``lang`` says which documents make a reference, and which can be judged by one. A null or empty text has no words. Rows are judged one by one, repeated rows too; other columns are not read.
     """
     known = references(docs, p)
-    rows = [v for k, v in known.items() if k is not None] or list(known.values())
+    rows = list(known.values())
     characters, words = (np.stack([r[i] for r in rows]) if rows else np.zeros((0, 0)) for i in (0, 1))
     carried = [c for c in (carry or ["doc_id"]) if c not in NAMES]
     kinds = [T.LongType()] * 5 + [T.BooleanType()] + [T.DoubleType()] * 2 + [T.BooleanType()]
@@ -164,12 +181,13 @@ def judge(docs: DataFrame, p: Limits = Limits(), carry: list[str] | None = None)
         symbols, spaces = list(_SYMBOLS), list(_SPACE)
         for batch in batches:
             rows = []
-            for text in text_bytes(batch.column(len(carried))):
+            langs = batch.column(len(carried)).to_pylist()
+            for lang, text in zip(langs, text_bytes(batch.column(len(carried) + 1))):
                 found = _Text(text)
                 n, repeated = found.n, found.repeated()
                 failed = n < p.least_words or 100 * repeated > p.repeat_percent * n
                 far = (None, None)
-                if n >= p.least_words and len(characters):
+                if n >= p.least_words and lang in known:
                     own = found.histograms(classes, listed)
                     both = np.stack([distance(own[0], characters), distance(own[1], words)])
                     far = tuple(both[:, both.sum(axis=0).argmin()].tolist())
@@ -179,9 +197,9 @@ def judge(docs: DataFrame, p: Limits = Limits(), carry: list[str] | None = None)
                 rows.append((n, counted, int(found.bytes[symbols].sum()), duplicate_lines(text), repeated, failed, *far, kept))
             columns = list(zip(*rows)) or [()] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 2 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*carried, *NAMES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*carried, *NAMES])
 
-    return docs.select(*carried, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carried, _lang(docs).alias("_lang"), F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "character_distance", "word_distance", "kept"]

@@ -260,6 +260,23 @@ def test_quality_distances_against_entropies(documents, spark, folder):
     assert np.mean([found[k].kept for k in judged if labels[k] == 0]) < 0.6
 
 
+def test_quality_of_other_languages(spark, documents):
+    """Clean texts of a language that no list names are kept, with a reference of their own or without one."""
+    words = "в и на не что он я с как это по но они мы все она так его за был бы только если время дом работа город человек книга вода утро день".split()
+    random = np.random.default_rng(4)
+    texts = [" ".join(f"{a} {b}." for a, b in random.choice(words, (200, 2))) for _ in range(40)]
+    own = [(10**9 + i, t, "ru") for i, t in enumerate(texts)] + [(2 * 10**9, texts[0], "uk"), (2 * 10**9 + 1, texts[0], None), (2 * 10**9 + 2, "#$ %& " * 5 + " ".join("#$%" + str(x) + "|" for x in range(300)), "ru")]
+    docs = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(own, "doc_id bigint, text string, lang string"))
+    assert set(language_quality.references(docs)) == {"en", "de", "fr", "es", "ru"}
+    found = {r.doc_id: r for r in language_quality.judge(docs).where("doc_id >= 1000000000").collect()}
+    assert all(found[i].kept and found[i].character_distance < 0.15 for i in range(10**9, 10**9 + 40))
+    for i in (2 * 10**9, 2 * 10**9 + 1):
+        assert found[i].kept and found[i].character_distance is None and found[i].word_distance is None
+    assert not found[2 * 10**9 + 2].kept and not found[2 * 10**9 + 2].base_failed
+    unnamed = language_quality.judge(documents.drop("lang"))
+    assert set(language_quality.references(documents.drop("lang"))) == {None} and unnamed.where("n_words >= 50 AND word_distance IS NULL").count() == 0
+
+
 def test_quality_edges(edges, clashing, nothing):
     assert rows(language_quality.judge(edges)) == rows(language_quality.judge(clashing))
     assert language_quality.judge(nothing).count() == 0
