@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     signed = stored(signatures(docs, p), "signatures")
     filled = signed.where("n_shingles > 0")
     classes = stored(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    marks = filled.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_key")), ["doc_id", "set_key"], "left_semi")
+    marks = filled.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_key")), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     placed = marks.select(F.posexplode("bands").alias("no", "band"), "doc_id")
     sizes = placed.groupBy("band").agg(F.min("no").alias("no"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("all")).where("low < high")
     sizes = stored(sizes, "buckets")

@@ -186,3 +186,18 @@ def test_pipeline_edges(spark, edges, folder):
         for _, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, folder), "edges")
         assert docs.count() >= 0
+
+
+def test_repeated_rows_are_placed_once(spark, monkeypatch):
+    texts = ["a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y z zz"]
+    docs = spark.createDataFrame([(1, texts[0])] * 30 + [(2, texts[1])] * 20, "doc_id bigint, text string")
+    likely, met = minhash._likely, []
+
+    def spy(placed, marks, p, forest):
+        met.append((placed.groupBy("band", "i", "j", "doc_id").count().agg({"count": "max"}).first()[0], marks.count()))
+        return likely(placed, marks, p, forest)
+
+    monkeypatch.setattr(minhash, "_likely", spy)
+    found = minhash.near_duplicates(docs).collect()
+    assert met[0] == (1, 2)
+    assert len(found) == 50 and {r.component_id for r in found} == {1}
