@@ -103,7 +103,7 @@ def _signed(batches: Iterator[pa.RecordBatch], p: MinHash) -> Iterator[pa.Record
             for column in least.reshape(p.bands, p.rows).T:
                 banded = _mixed(banded * _ODD[2] + column)
             low = np.zeros(padded, np.uint64)
-            low[: p.minima] = least & np.uint64((1 << p.bits) - 1)
+            low[: p.minima] = _mixed(least) & np.uint64((1 << p.bits) - 1)  # a minimum's own low bits hang on the shingle's alone
             keys.append(banded.view(np.int64))
             packed.append(np.bitwise_or.reduce(low.reshape(-1, per) << shifts, axis=1).view(np.int64))
         yield pa.RecordBatch.from_arrays(

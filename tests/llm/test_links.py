@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import difference, reference_db
 from pyspark.sql import functions as F
@@ -201,3 +202,12 @@ def test_repeated_rows_are_placed_once(spark, monkeypatch):
     found = minhash.near_duplicates(docs).collect()
     assert met[0] == (1, 2)
     assert len(found) == 50 and {r.component_id for r in found} == {1}
+
+
+def test_low_bits_agree_by_chance_in_each_function():
+    p = minhash.MinHash()
+    texts = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([f"word{i}" for i in range(60)])], names=["doc_id", "text"])
+    (signed,) = minhash._signed(iter([texts]), p)
+    packed = np.array(signed.column(4).to_pylist(), np.int64).view(np.uint64)
+    found = np.concatenate([minhash.estimate(packed[i + 1 :], packed[i], p) for i in range(59)])
+    assert abs(found).max() < 0.08 and abs(found.mean()) < 0.005
