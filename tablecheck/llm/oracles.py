@@ -106,3 +106,62 @@ WITH counted AS (
 )
 SELECT doc_id, n_tokens, source_group, lang_group, topic_group, round(least(ratio, 1.0), 9) AS probability, round(greatest(ratio, 1.0), 9) AS weight, uniform < least(ratio, 1.0) AS chosen FROM final
 """
+
+
+def hard_negatives(p) -> str:
+    """Every anchor against every row."""
+    return f"""
+WITH own AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+), whole AS (
+  SELECT vec_id, label, list_transform(e, lambda x: floor({p.scale} * x)) AS v FROM own
+  WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), one AS (
+  SELECT vec_id, label, v FROM whole QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM one a JOIN one b ON a.vec_id <> b.vec_id WHERE a.vec_id % {p.every} = 0
+), positive AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {p.positives}
+), ranked AS (
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank, other_id AS negative_id,
+    positive_score, score AS negative_score
+  FROM positive JOIN scored USING (anchor_id) WHERE NOT alike AND {p.low} * positive_score <= 100 * score AND 100 * score <= {p.high} * positive_score
+)
+SELECT * FROM ranked WHERE rank <= {p.negatives}
+"""
+
+
+def filter_audit(limits) -> str:
+    """Every order applied from left to right."""
+    space = r"[^\x20\x09-\x0D]+"
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{space}') AS w FROM documents
+), failed AS (
+  SELECT doc_id, part, [
+    len(w) < {limits.words}, 100 * len(list_distinct(w)) < {limits.distinct} * len(w),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {limits.upper} * length(text), regexp_matches(text, '[{limits.symbols}]'),
+    coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)] AS f FROM words
+), marks AS (
+  SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id
+), rows AS (
+  SELECT part, f, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM failed LEFT JOIN marks USING (doc_id) GROUP BY part, f
+), orders(o) AS (
+  SELECT '' UNION ALL SELECT o || c FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) t(c) WHERE strpos(o, c) = 0
+), steps AS (
+  SELECT o AS filter_order, CAST(s AS INTEGER) AS step, strpos('ABCDE', substr(o, s, 1)) AS own, list_filter([1, 2, 3, 4, 5], lambda i: strpos(substr(o, 1, s - 1), substr('ABCDE', i, 1)) > 0) AS gone
+  FROM orders, unnest([1, 2, 3, 4, 5]) t(s) WHERE length(o) = 5
+), applied AS (
+  SELECT part, filter_order, step, own, n, good, toxic, f[own] AS fails, len(list_filter(f, lambda x: x)) AS n_fails,
+    len(list_filter(gone, lambda i: f[i])) > 0 AS earlier FROM rows, steps
+), counted AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (NOT fails AND NOT earlier) AS kept, sum(n) FILTER (fails AND NOT earlier) AS removed, sum(n) FILTER (fails AND earlier) AS redundant,
+    sum(n) FILTER (fails AND n_fails = 1) AS unique_fails, sum(good) FILTER (fails AND NOT earlier) AS good_lost, sum(toxic) FILTER (fails AND NOT earlier) AS toxic_lost
+  FROM applied GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted
+"""

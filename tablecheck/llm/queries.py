@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecheck.llm import language_quality, license_scan, minhash, mixing, oracles, packing, ppm, token_counts, toxicity, url_reputation, vector_dedup
+from tablecheck.llm import byte_bpe, filter_audit, hard_negatives, language_quality, license_scan, minhash, mixing, oracles, packing, ppm, token_counts, toxicity, url_reputation, vector_dedup
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -35,6 +35,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def split_pattern() -> str:
+    """The pattern that parts words for the rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 @query("op1_license_scan")
 def license_scan_summary(table) -> DataFrame:
     return license_scan.summary(license_scan.scan(table("documents")))
@@ -91,3 +98,23 @@ def counterfactual_toxicity(table) -> DataFrame:
 @query("op10_bbit_minhash")
 def bbit_minhash(table) -> DataFrame:
     return minhash.near_duplicates(table("documents"), minhash.MinHash(width=4, percent=80))
+
+
+@query("op11_hard_negatives", oracles.hard_negatives(hard_negatives.Mining()))
+def mined_negatives(table) -> DataFrame:
+    """The embeddings with every seventh label moved on by one."""
+    vectors = table("embeddings").select("vec_id", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"), "embedding")
+    return hard_negatives.mine(vectors, hard_negatives.Mining())
+
+
+@query("op12_filter_audit", oracles.filter_audit(filter_audit.Limits()))
+def filter_interactions(table) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table("documents")), table("labels"))
+
+
+@query("op13_byte_bpe")
+def byte_bpe_round_trip(table) -> DataFrame:
+    """Digests of the ids and of what they decode to."""
+    content = byte_bpe.read_ranks(tokenizer("byte_bpe_50k.tiktoken"))
+    there_and_back = byte_bpe.decode(byte_bpe.encode(table("documents"), content, split_pattern()), content)
+    return there_and_back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
