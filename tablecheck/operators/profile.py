@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablecheck.functions.literals import array, literal, name, struct, text
 from tablecheck.functions.naming import format_for, personal_tag
@@ -143,23 +146,38 @@ def profile_many(tables: dict[str, DataFrame], distinct: str = "exact") -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
-def sample_types(df: DataFrame, rows: int = 200, values: int = 10) -> DataFrame:
-    """The type that the first non-null values of each column suggest, in a sample of rows.
+def _first_values(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[pa.RecordBatch]:
+    """``ordinal, at, v``: the first non-null values of every column of a task; it stops reading once all have enough."""
+    from pyspark import TaskContext
 
-    The sample is taken from as few partitions as hold it; a limit inside a larger plan would
-    start a task for every partition of the table.
+    at, found = TaskContext.get().partitionId() << 40, None
+    for batch in batches:
+        found = found or [[] for _ in batch.columns]
+        for column, held in zip(batch.columns, found):
+            if len(held) < values and column.null_count < len(column):
+                for i in pc.indices_nonzero(column.is_valid())[: values - len(held)].to_pylist():
+                    held.append((at + i, column[i].as_py()))
+        at += batch.num_rows
+        if all(len(held) >= values for held in found):
+            break
+    rows = [(no, i, v) for no, held in enumerate(found or []) for i, v in held]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["ordinal", "at", "v"])
+
+
+def sample_types(df: DataFrame, values: int = 10) -> DataFrame:
+    """The type that the first non-null values of each column suggest, wherever in the table they stand.
+
+    Each task gives its first ``values`` per column and then stops, so full columns cost the first rows of each task, and
+    only a column that stays empty is read to its end. Of those the first by task and row count.
     """
     texts = df.selectExpr(*[f"CAST({name(c)} AS STRING) AS v{no}" for no, c in enumerate(df.columns)])
-    sample = df.sparkSession.createDataFrame(texts.limit(rows).collect(), texts.schema)
-    listed = ", ".join(f"slice(collect_list(v{no}), 1, {values}) AS v{no}" for no in range(len(df.columns)))
-    kind = (
-        "CASE WHEN size(v{no}) = 0 THEN 'unknown' WHEN exists(v{no}, v -> try_cast(v AS DOUBLE) IS NOT NULL) THEN 'numeric' "
-        f"WHEN exists(v{{no}}, v -> {looks_dated('v')}) THEN 'date' ELSE 'string' END"
-    )
-    found = [
-        struct(ordinal=str(no), column_name=literal(c), sample_type=kind.format(no=no)) for no, c in enumerate(df.columns)
-    ]
-    return sample.agg(F.expr(f"struct({listed}) AS s")).selectExpr("s.*").selectExpr(f"inline({array(found)})")
+    found = texts.mapInArrow(lambda batches: _first_values(batches, values), "ordinal int, at bigint, v string")
+    first = found.withColumn("rank", F.row_number().over(Window.partitionBy("ordinal").orderBy("at"))).where(F.col("rank") <= values)
+    kind = f"CASE WHEN bool_or(try_cast(v AS DOUBLE) IS NOT NULL) THEN 'numeric' WHEN bool_or({looks_dated('v')}) THEN 'date' ELSE 'string' END"
+    known = first.groupBy("ordinal").agg(F.expr(kind).alias("sample_type"))
+    columns = constant_rows(df.sparkSession, list(enumerate(df.columns)), "ordinal int, column_name string")
+    return columns.join(known, "ordinal", "left").select("ordinal", "column_name", F.coalesce("sample_type", F.lit("unknown")).alias("sample_type"))
 
 
 # -- personal data -----------------------------------------------------------------------------

@@ -33,16 +33,18 @@ _HEADER_SQL = """SELECT 'r' || o_custkey AS run_id, o_orderpriority AS dag_id, C
  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1"""
 
 
-@query("run_ingest", f"""WITH hd AS ({_HEADER_SQL}), rs AS (
- SELECT 'r' || o_custkey AS run_id, 'total' AS name, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS passed, o_totalprice AS value, 'greater_than(100000)' AS expected FROM orders
- UNION ALL SELECT 'r' || o_custkey, 'status', CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END, 0.0, '' FROM orders)
+@query("run_ingest", f"""WITH hd AS ({_HEADER_SQL}), lt AS (
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1), rs AS (
+ SELECT 'r' || o_custkey AS run_id, 'total' AS name, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS passed, o_totalprice AS value, 'greater_than(100000)' AS expected FROM lt
+ UNION ALL SELECT 'r' || o_custkey, 'status', CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END, 0.0, '' FROM lt)
 SELECT 'run' AS kind, run_id, dag_id AS name, total, passed, total - passed AS failed, CASE WHEN total = passed THEN 'pass' ELSE 'fail' END AS status, CAST(NULL AS DOUBLE) AS value FROM hd
 UNION ALL SELECT 'result', run_id, name, count(*), CAST(sum(passed) AS BIGINT), CAST(count(*) - sum(passed) AS BIGINT), max(expected), round(sum(value), 2) FROM rs GROUP BY run_id, name""")
 def _(t: Tables) -> DataFrame:
-    """Payloads are stored as run headers and result rows; both tables are read back."""
+    """Payloads are stored as run headers and result rows; both tables are read back. A run that is sent again replaces its
+    header and its results."""
     headers, rows = shared_folder(t.spark, "runs"), shared_folder(t.spark, "run-results")
     I.run_headers(t["payloads"], "sent").write.parquet(headers)
-    I.run_result_rows(t["payloads"]).write.parquet(rows)
+    I.run_result_rows(t["payloads"], "sent").write.parquet(rows)
     runs = t.spark.read.parquet(headers).selectExpr(
         "'run' AS kind", "run_id", "dag_id AS name", "total", "passed", "failed", "status", "CAST(NULL AS DOUBLE) AS value")
     results = t.spark.read.parquet(rows).groupBy("run_id", "name").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablecheck.operators import contracts as C
@@ -22,6 +24,24 @@ def _(t: Tables) -> DataFrame:
     return readers.query_source(t["orders"], _BY_STATUS.format(t="source"))
 
 
+_FORMS = {
+    "text": ("SELECT 'read from source' AS what, count(*) AS n FROM source", "SELECT 'read from source' AS what, count(*) AS n FROM orders"),
+    "comma": ("SELECT max(a.o_orderstatus), count(*) FROM source a, source b WHERE a.o_orderkey = b.o_orderkey AND b.o_totalprice > 2000",
+              "SELECT max(o_orderstatus), count(*) FROM orders WHERE o_totalprice > 2000"),
+    "quoted": ("SELECT max(o_orderstatus), count(*) FROM `source` WHERE o_orderstatus <> '{source}'", "SELECT max(o_orderstatus), count(*) FROM orders"),
+    "brackets": ("SELECT min(o_orderstatus), count(*) FROM (source) WHERE o_totalprice > 1000;", "SELECT min(o_orderstatus), count(*) FROM orders WHERE o_totalprice > 1000"),
+    "own names": ("WITH dear AS (SELECT * FROM source WHERE o_totalprice > 5000) SELECT min(a.o_orderstatus), count(*) FROM dear a JOIN {source} b USING (o_orderkey) -- both",
+                  "SELECT min(o_orderstatus), count(*) FROM orders WHERE o_totalprice > 5000"),
+}
+
+
+@query("src_bound_names", " UNION ALL ".join(f"SELECT '{form}' AS form, * FROM ({sql}) AS t(what, n)" for form, (_, sql) in _FORMS.items()))
+def _(t: Tables) -> DataFrame:
+    """The table's name wherever a statement may have it: after a comma, quoted, in brackets, in a text, below names of its own."""
+    asked = [readers.query_source(t["orders"], sql).toDF("what", "n").withColumn("form", F.lit(form)) for form, (sql, _) in _FORMS.items()]
+    return reduce(DataFrame.unionByName, asked)
+
+
 def _written(t: Tables, name: str, kind: str) -> str:
     path = shared_folder(t.spark, f"{name}-{kind}")
     rows = t[name].withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
@@ -304,10 +324,14 @@ SELECT 'events' AS table_name, o AS ordinal, c AS column_name, k AS sample_type
   (4, 'value', 'numeric'), (5, 'props', 'date')) AS v(o, c, k)
 UNION ALL SELECT 'contacts', o, c, k FROM (SELECT count(*) FROM contacts),
  (VALUES (0, 'customer_id', 'numeric'), (1, 'full_name', 'string'), (2, 'email', 'string'), (3, 'phone', 'numeric'),
-  (4, 'segment', 'string'), (5, 'created_at', 'date')) AS v(o, c, k)"""))
+  (4, 'segment', 'string'), (5, 'created_at', 'date')) AS v(o, c, k)
+UNION ALL SELECT 'late', o, c, CASE WHEN n > 300 THEN k ELSE 'unknown' END FROM (SELECT count(*) AS n FROM events),
+ (VALUES (0, 'from_300', 'numeric'), (1, 'at_end', 'date'), (2, 'never', 'unknown')) AS v(o, c, k)"""))
 def _(t: Tables) -> DataFrame:
-    parts = [P.sample_types(t[n]).withColumn("table_name", F.lit(label)) for n, label in (("events_gaps", "events"), ("contacts", "contacts"))]
-    return parts[0].unionByName(parts[1])
+    """Also columns that are filled late, in one row, or never."""
+    late = t["events"].selectExpr("if(event_id >= 300, value, NULL) AS from_300", "if(event_id = 300, ts, NULL) AS at_end", "CAST(NULL AS STRING) AS never")
+    parts = [P.sample_types(df).withColumn("table_name", F.lit(label)) for df, label in ((t["events_gaps"], "events"), (t["contacts"], "contacts"), (late, "late"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("profile_many", f"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from typing import Any
 
@@ -93,10 +92,13 @@ def read_source(spark: SparkSession, config: Mapping[str, Any]) -> DataFrame:
 
 def query_source(df: DataFrame, sql: str) -> DataFrame:
     """Runs a statement in which the table under test is called ``source``, in this statement only: no view is left
-    behind, and suites of one session do not meet. ``{source}`` is the same name."""
-    plain = sql.replace("{source}", "source").replace("{", "{{").replace("}", "}}")
-    named = re.sub(r"(?i)\b(from|join)(\s+)source\b", r"\1\2{source}", plain)
-    return df.sparkSession.sql(named, source=df) if "{source}" in named else df.sparkSession.sql(sql)
+    behind, and suites of one session do not meet. ``{source}`` is the same name.
+
+    The name is bound around the statement, which is not searched: its texts stay as they are, and every place
+    where a table may stand can name it.
+    """
+    own = sql.replace("{source}", "source").strip().rstrip(";").replace("{", "{{").replace("}", "}}")
+    return df.sparkSession.sql(f"WITH source AS (SELECT * FROM {{bound}}) (\n{own}\n)", bound=df)
 
 
 def schema_rows(df: DataFrame) -> DataFrame:
