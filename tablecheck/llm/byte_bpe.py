@@ -25,7 +25,10 @@ class Shuffle:
 
     block: int = 32 << 20
     slots: int = 2048
-    chunk: int = 1 << 16
+    chunk: int = 1 << 20
+
+
+_OFTEN = 0xFFFF  # so many of a block's most frequent words are told by their rank, in two bytes
 
 
 # --- rows: lists of byte strings or numbers, compressed
@@ -41,9 +44,9 @@ def _numbers(planes: bytes) -> np.ndarray:
 
 
 def packed(sizes: np.ndarray, body: bytes) -> bytes:
-    """A list of ``sizes`` and what it divides."""
+    """A list of ``sizes`` and what it divides. Rows are shuffled, so they are compressed well."""
     raw = len(sizes).to_bytes(8, "little") + _planes(sizes) + body
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(raw, asbytes=True)
 
 
 def unpacked(row: bytes) -> tuple[np.ndarray, bytes]:
@@ -56,7 +59,8 @@ def unpacked(row: bytes) -> tuple[np.ndarray, bytes]:
 
 
 def _split(batches: Iterator[pa.RecordBatch], pattern: str, p: Shuffle) -> Iterator[pa.RecordBatch]:
-    """Rows of blocks: per slot its distinct words, and under negative slots the documents' words as numbers in that list."""
+    """Rows of blocks: per slot its distinct words; under slot -1 where the most frequent words stand among them, and under
+    the slots below it the documents' words, as ranks of frequent words and places of others."""
     import regex
     from pyspark import TaskContext
 
@@ -67,27 +71,39 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, p: Shuffle) -> Itera
         return rule.findall(text) if len(text) < 1 << 22 else (m[0] for m in rule.finditer(text))
 
     def row(slot: int, ids: list | None, body: bytes) -> pa.RecordBatch:
-        dealt = slot if slot >= 0 else (key - slot) % p.slots
+        dealt = slot if slot >= 0 else zlib.crc32(b"%d %d" % (key, slot)) % p.slots
         columns = [pa.array([dealt], pa.int32()), pa.array([key], pa.int64()), pa.array([slot], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([body], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["dealt", "block", "slot", "doc_ids", "body"])
 
     def block(ids: list, coded: list[np.ndarray], seen: dict) -> Iterator[pa.RecordBatch]:
         spelled = [w.encode() for w in seen]
-        of = np.fromiter((zlib.crc32(w) % p.slots for w in spelled), np.int64, len(spelled))
+        of = np.fromiter((zlib.crc32(w) % p.slots for w in spelled), np.int32, len(spelled))
         order = np.argsort(of, kind="stable")
-        number = np.empty(len(order), np.uint32)
-        number[order] = np.arange(len(order), dtype=np.uint32)
         bounds = np.searchsorted(of[order], np.arange(p.slots + 1))
         for slot in np.flatnonzero(np.diff(bounds)):
             held = [spelled[i] for i in order[bounds[slot] : bounds[slot + 1]]]
             yield row(int(slot), None, packed(np.array([len(w) for w in held], np.uint32), b"".join(held)))
-        start, size, chunk = 0, 0, -1
-        for at, c in enumerate(coded):
+        place, rank = np.empty(len(order), np.uint32), np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        chunks, size = [[]], 0
+        for n, c in zip(ids, coded):
+            chunks[-1].append((n, c))
             size += len(c)
-            if size >= p.chunk or at == len(coded) - 1:
-                part = coded[start : at + 1]
-                yield row(chunk, ids[start : at + 1], packed(np.array([len(x) for x in part], np.uint32), _planes(number[np.concatenate(part)])))
-                start, size, chunk = at + 1, 0, chunk - 1
+            if size >= p.chunk:
+                chunks.append([])
+                size = 0
+        times = np.zeros(len(order), np.int64)
+        for chunk in chunks:
+            times += np.bincount(np.concatenate([np.zeros(0, np.uint32), *(c for _, c in chunk)]), minlength=len(order))
+        often = np.argsort(-times, kind="stable")
+        rank[often] = np.arange(len(order), dtype=np.uint32)
+        yield row(-1, None, packed(place[often[:_OFTEN]], b""))
+        for n, chunk in enumerate(chunks):
+            if chunk:
+                words_ = np.concatenate([c for _, c in chunk])
+                ranks_ = rank[words_]
+                body = np.minimum(ranks_, _OFTEN).astype("<u2").tobytes() + _planes(place[words_[ranks_ >= _OFTEN]])
+                yield row(-2 - n, [i for i, _ in chunk], packed(np.array([len(c) for _, c in chunk], np.uint32), body))
 
     def fresh() -> dict:
         seen = defaultdict()
@@ -109,12 +125,12 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, p: Shuffle) -> Itera
 
 def _encode(batches: Iterator[pa.RecordBatch], encode: Callable[[str], list[int]]) -> Iterator[pa.RecordBatch]:
     """Words of slots become their ids, in the same order; a word that another block has too is encoded once."""
-    known: dict[bytes, np.ndarray] = {}
+    known: dict[bytes, bytes] = {}
 
-    def ids(word: bytes) -> np.ndarray:
+    def ids(word: bytes) -> bytes:
         found = known.get(word)
         if found is None:
-            found = known[word] = np.array(encode(word.decode()), np.uint32)
+            found = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
         return found
 
     for batch in batches:
@@ -124,7 +140,7 @@ def _encode(batches: Iterator[pa.RecordBatch], encode: Callable[[str], list[int]
                 sizes, spelled = unpacked(bodies[at])
                 ends = np.cumsum(sizes, dtype=np.int64).tolist()
                 found = [ids(spelled[a:b]) for a, b in zip([0, *ends], ends)]
-                bodies[at] = packed(np.array([len(x) for x in found], np.uint32), _planes(np.concatenate(found)))
+                bodies[at] = packed(np.array([len(x) // 4 for x in found], np.uint32), _planes(np.frombuffer(b"".join(found), "<u4")))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "slot", "doc_ids")), pa.array(bodies, pa.binary())], names=["block", "slot", "doc_ids", "body"])
 
 
@@ -135,11 +151,16 @@ def _reassemble(group: pa.Table) -> pa.Table:
     lengths = np.concatenate([np.zeros(0, np.int64), *(sizes for sizes, _ in lists)]).astype(np.int64)
     ids = np.concatenate([np.zeros(0, np.uint32), *(_numbers(body) for _, body in lists)]).astype("<u4")
     starts = np.cumsum(lengths) - lengths
+    (often,) = (unpacked(body)[0] for slot, _, body in rows if slot == -1)
     keys, tokens, texts = [], [], []
     for slot, doc_ids, body in rows:
-        if slot < 0:
-            sizes, planes = unpacked(body)
-            word = _numbers(planes)
+        if slot < -1:
+            sizes, told = unpacked(body)
+            total = int(sizes.sum(dtype=np.int64))
+            ranked = np.frombuffer(told[: 2 * total], "<u2")
+            word = np.empty(total, np.uint32)
+            word[ranked < _OFTEN] = often[ranked[ranked < _OFTEN]]
+            word[ranked == _OFTEN] = _numbers(told[2 * total :])
             n = lengths[word]
             ends = np.cumsum(n)
             flat = ids[np.repeat(starts[word] - ends + n, n) + np.arange(int(n.sum()))]
