@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablecheck.operators import history_checks as H
+from tablecheck.operators import history_checks as H, observed
 from tablecheck.operators import suite
 from tablecheck.operators.checks import Rule, rule_from_dict, with_tags
 from tablecheck.plans.registry import query
 from tablecheck.plans.tables import EVENTS_AS_OF, ORDERS_AS_OF, Tables, with_tables
+from tablecheck.session import shared_folder
 
 SHOWN = ("check_name", "value", "expected", "passed")
 
@@ -537,6 +538,21 @@ def _(t: Tables) -> DataFrame:
     return shown(suite.evaluate(t["orders"], rules))
 
 
+@query("suite_on_write", expect(
+    *_ORDER_SQL.values(), ("status filled", "count(*) FILTER (WHERE o_orderstatus IS NULL OR trim(o_orderstatus) = '')", "orders", "not_empty(None)", "value = 0"),
+    ("keys unique", "count(*) - count(DISTINCT o_orderkey)", "orders", "duplicate_row(0)", "value <= 0"),
+    ("last status", "NULL", "(SELECT count(*) FROM orders)", "equals(P)", "(SELECT max(o_orderstatus) FROM orders) = 'P'"),
+) + " UNION ALL SELECT 'rows kept', CAST(count(*) AS DOUBLE), 'written', true FROM orders")
+def _(t: Tables) -> DataFrame:
+    """The orders are written; their measures come from the same pass, but for distinct counts and keys."""
+    path = shared_folder(t.spark, "orders-checked")
+    rules = [*(rule_from_dict(r) for r in ORDER_RULES), Rule("status filled", "not_empty", column="o_orderstatus"),
+             Rule("keys unique", "duplicate_row", 0, column="o_orderkey"), Rule("last status", "equals", "P", metric="max(o_orderstatus)")]
+    found = observed.write_checked(t["orders"], rules, lambda df: df.write.mode("overwrite").parquet(path), lambda: t.spark.read.parquet(path))
+    kept = t.spark.read.parquet(path).agg(F.count("*").cast("double").alias("value"))
+    return shown(found).unionByName(kept.selectExpr("'rows kept' AS check_name", "value", "'written' AS expected", "true AS passed"))
+
+
 @query("suite_from_rules", with_tables(["events_gaps"], expect(
     ("rows", "count(*)", "events_gaps", "row_count_at_least(100)", "value >= 100"),
     ("types", "count(*) FILTER (WHERE event_type IS NULL OR trim(event_type) = '')", "events_gaps", "not_empty(None)", "value = 0"),

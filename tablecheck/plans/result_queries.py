@@ -15,7 +15,7 @@ from tablecheck.plans.registry import query
 from tablecheck.plans.tables import ORDERS_AS_OF, Tables, with_tables
 from tablecheck.session import shared_folder
 from tablecheck.sources import readers, stores
-from tablecheck.streaming import suites
+from tablecheck.streaming import observed as observed_streams, suites
 
 _SCORE = "round(passed * 100.0::DOUBLE / nullif(total, 0), 1)"
 _LIGHT = "CASE WHEN score IS NULL THEN 'grey' WHEN score >= 80 THEN 'green' WHEN score >= 50 THEN 'yellow' ELSE 'red' END AS light"
@@ -347,6 +347,37 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("batch_id", "check_name", F.round("value", 6).alias("value"), "expected", "passed")
 
 
+@query("stream_observed", " UNION ALL ".join(
+    f"""SELECT {no} AS batch_id, * FROM ({expect(
+        ("rows", "count(*)", f"(SELECT * FROM events WHERE {when})", "greater_than(0)", "value > 0"),
+        ("values filled", "(count(*) - count(value)) / count(*)", f"(SELECT * FROM events WHERE {when})", "completeness_ratio(0.99)", "value <= 0.01"),
+        ("mean value", "avg(value)", f"(SELECT * FROM events WHERE {when})", "between([0, 1000])", "value BETWEEN 0 AND 1000"))})"""
+    for no, when in _ARRIVALS.items()) + " UNION ALL SELECT -1, 'rows kept', CAST(count(*) AS DOUBLE), 'written', true FROM events")
+def _(t: Tables) -> DataFrame:
+    """Arriving events are appended to a table; every batch's measures come from the pass that writes it."""
+    rules = [
+        Rule("rows", "greater_than", 0, metric="count(*)"), Rule("values filled", "completeness_ratio", 0.99, column="value"),
+        Rule("mean value", "between", [0, 1000], metric="avg(value)"),
+    ]
+    results, table, checkpoint = (shared_folder(t.spark, f"stream-{n}") for n in ("observed", "kept", "observed-checkpoint"))
+    _arrive(t, lambda stream: ObservedRun(stream, rules, results, table, checkpoint))
+    kept = t.spark.read.parquet(table).agg(F.count("*").cast("double").alias("value"))
+    found = t.spark.read.parquet(results).select("batch_id", "check_name", F.round("value", 6).alias("value"), "expected", "passed")
+    return found.unionByName(kept.selectExpr("-1 AS batch_id", "'rows kept' AS check_name", "value", "'written' AS expected", "true AS passed"))
+
+
+class ObservedRun:
+    """One start of the stream, ended when its results are stored."""
+
+    def __init__(self, stream: DataFrame, rules: list[Rule], results: str, table: str, checkpoint: str):
+        self.suite = observed_streams.ObservedStream(stream, rules, results)
+        self.query = suites.append_points(self.suite.stream, table, checkpoint)
+
+    def awaitTermination(self) -> None:
+        self.suite.finish(self.query)
+        self.suite.close()
+
+
 @query("stream_window_metrics", """SELECT event_type AS name, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS run_at, CAST(count(*) AS DOUBLE) AS value, round(sum(value), 4) AS total
  FROM events GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
