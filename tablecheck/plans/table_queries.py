@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tablecheck.operators import contracts as C
 from tablecheck.operators import profile as P
+from tablecheck.operators import profile_states as S
 from tablecheck.plans.registry import query
 from tablecheck.plans.tables import EVENTS_AS_OF, ORDERS_AS_OF, Tables, with_tables
 from tablecheck.session import constant_rows, shared_folder
@@ -344,6 +345,51 @@ def _(t: Tables) -> DataFrame:
     return P.profile_many({name: t[name] for name, enabled in configured.items() if enabled})
 
 
+_LOTS = {"2024-01-10": "ts < TIMESTAMP '2024-01-11'", "2024-01-20": "ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-21'", "2024-01-30": "ts >= TIMESTAMP '2024-01-21'"}
+
+
+def _by_lots(t: Tables) -> str:
+    """States of the events, recorded lot by lot, one of them first wrongly and then again; and of the customers."""
+    path = shared_folder(t.spark, "profile-states")
+    S.record(t["events_gaps"].where("event_id % 2 = 0"), path, "events", "2024-01-20")
+    for day, condition in _LOTS.items():
+        S.record(t["events_gaps"].where(condition), path, "events", day)
+    S.record(t["contacts"], path, "contacts", "2024-01-30")
+    return path
+
+
+_EXACT = "column_name, col_type, row_count, null_count, null_pct, min_num, max_num, avg_val, min_text, max_text, min_length, max_length"
+
+
+@query("profile_states", with_tables(["events_gaps", "contacts"], f"""
+SELECT 'events' AS source_name, {_EXACT}, true AS distinct_near, CASE WHEN col_type = 'numeric' THEN true END AS median_near FROM ({profile_sql("events_gaps", _EVENTS)})
+UNION ALL SELECT 'contacts', {_EXACT}, true, CASE WHEN col_type = 'numeric' THEN true END FROM ({profile_sql("contacts", CONTACTS)})"""))
+def _(t: Tables) -> DataFrame:
+    """Profiles merged from stored states, exact where states are; estimates are held against the tables.
+
+    Distinct counts have to lie within 4 standard errors, medians between the ranks of 48 and 52 percent.
+    """
+    found = S.profile(S.load(t.spark, _by_lots(t)), "source_name")
+    sides = {"events": t["events_gaps"], "contacts": t["contacts"]}
+    exact = P.profile_many(sides).select("source_name", "column_name", F.col("distinct_count").alias("exact"))
+    ranks = []
+    for name, df in sides.items():
+        numbers = [c for c, kind in df.dtypes if kind in ("bigint", "double")] + (["phone"] if name == "contacts" else [])
+        both = ", ".join(f"('{c}', approx_percentile(CAST({c} AS DOUBLE), array(0.48D, 0.52D), 100000))" for c in numbers)
+        ranks.append(df.selectExpr(f"inline(array({both}))").toDF("column_name", "bounds").withColumn("source_name", F.lit(name)))
+    near = found.join(exact, ["source_name", "column_name"]).join(ranks[0].unionByName(ranks[1]), ["source_name", "column_name"], "left")
+    return near.selectExpr(
+        "source_name", *_EXACT.split(", "), "abs(distinct_count - exact) <= 0.0325 * exact + 0.5 AS distinct_near",
+        "if(col_type = 'numeric', median BETWEEN bounds[0] AND bounds[1], NULL) AS median_near")
+
+
+@query("profile_states_span", with_tables(["events_gaps"], f"""
+SELECT {_EXACT} FROM ({profile_sql("(SELECT * FROM events_gaps WHERE ts >= TIMESTAMP '2024-01-11')", _EVENTS)})"""))
+def _(t: Tables) -> DataFrame:
+    """The last two lots of one source: the files of the first, and of the other source, are not opened."""
+    return S.profile(S.load(t.spark, _by_lots(t), ["events"], since="2024-01-20")).select(*_EXACT.split(", "))
+
+
 _TAGGED = {"customer_id": None, "full_name": None, "email": "email", "phone": "phone", "segment": None, "created_at": None}
 
 
