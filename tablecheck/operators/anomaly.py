@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tablecheck.functions.literals import number
-from tablecheck.operators import history, holt_winters, series
+from tablecheck.operators import history, holt_winters, hw_fit, series
 
 TINY = "1e-9D"  # stands in for a spread of zero
 
@@ -88,6 +88,14 @@ def holt_winters_model(points: DataFrame, candidates=holt_winters.GRID, chunk: i
     )
 
 
+def holt_winters_fitted(points: DataFrame, chunk: int = series.CHUNK) -> DataFrame:
+    """Additive trend and weekly season with smoothing factors and start values of least squared error (see ``hw_fit``)."""
+    return hw_fit.fit(series.chunks(points, chunk), chunk).selectExpr(
+        "name", "n", "forecast", f"if(std = 0, {TINY}, std) AS std", f"{_direction('early', 'late', 'n')} AS direction",
+        "alpha", "beta", "gamma", "sse",
+    )
+
+
 def judge(current: DataFrame, model: DataFrame, method: str, threshold: float = 3.0) -> DataFrame:
     """Current values ``(name, value)`` against a model; a metric without two points is never anomalous."""
     return _judged(current.join(model.withColumn("method", F.lit(method)), "name", "left"), threshold)

@@ -8,6 +8,7 @@ from tablecheck.functions.naming import name_pattern, query_fingerprint, queried
 from tablecheck.operators import anomaly as A
 from tablecheck.operators import history as H
 from tablecheck.operators import holt_winters as HW
+from tablecheck.operators import hw_fit as HF
 from tablecheck.operators import profile as P
 from tablecheck.operators import suggest as S
 from tablecheck.plans.registry import query
@@ -293,6 +294,22 @@ def _(t: Tables) -> DataFrame:
     return A.judge(_now(t), A.holt_winters_model(_past(t)), "holt_winters").select(*_FOUND)
 
 
+@query("anomaly_hw_fitted", anomaly_sql(f"""SELECT c.name AS metric_name, c.value AS current, h.n, tr.direction AS trend_direction, true AS not_above_grid, true AS within_bounds,
+ CASE WHEN c.name IN ('error', 'purchase') THEN true END AS is_anomaly
+ FROM metric_current c JOIN (SELECT DISTINCT name, n FROM h) h ON h.name = c.name JOIN tr ON tr.name = c.name WHERE h.n >= 14"""))
+def _(t: Tables) -> DataFrame:
+    """Fitted factors and start values: the error is not above that of any grid point; the two spikes are found.
+
+    The fit of the other metrics follows chance, so their verdicts are left out.
+    """
+    model = A.holt_winters_fitted(_past(t))
+    grid = HF.fit_grid(A.series.chunks(_past(t))).withColumnRenamed("sse", "grid_sse")
+    found = A.judge(_now(t), model, "holt_winters").join(model.join(grid, "name").withColumnRenamed("name", "metric_name"), "metric_name")
+    return found.selectExpr(
+        "metric_name", "current", "n", "trend_direction", "sse <= grid_sse * (1 + 1e-9D) + 1e-6D AS not_above_grid",
+        "least(alpha, beta, gamma) > 0 AND greatest(alpha, beta, gamma) < 1 AS within_bounds", "if(metric_name IN ('error', 'purchase'), is_anomaly, NULL) AS is_anomaly")
+
+
 _PICKED = {
     "picked": """SELECT h.name, any_value(CASE WHEN h.n < 5 THEN 'zscore' WHEN h.n < 14 THEN 'ewma' ELSE 'holt_winters' END) AS method,
   any_value(CASE WHEN h.n < 5 THEN zs.forecast WHEN h.n < 14 THEN ew.forecast ELSE hw.forecast END) AS forecast,

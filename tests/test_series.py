@@ -4,11 +4,13 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablecheck.operators import anomaly as A
 from tablecheck.operators import holt_winters as HW
+from tablecheck.operators import hw_fit as HWF
 from tablecheck.operators import series
 
 
@@ -133,3 +135,79 @@ def test_positions_of_a_crowded_hour(spark):
     found = series.positions(points.unionByName(points.withColumn("name", F.lit("other")).where("value < 10")))
     assert found.where("name = 'm' AND (pos <> value OR n <> 60000)").count() == 0 and found.count() == 60_010
     assert found.where("name = 'other' AND pos = value AND n = 10").count() == 10
+
+
+# --- fitted factors and start values
+
+
+def generated(n, a, b, g, seed, noise=1.0):
+    rng = random.Random(seed)
+    level, trend, season, y = 100.0, 0.5, [3, -2, 1, 0, 4, -5, -1], []
+    for _ in range(n):
+        v = level + trend + season[0] + rng.gauss(0, noise)
+        y.append(v)
+        s = season.pop(0)
+        new = a * (v - s) + (1 - a) * (level + trend)
+        trend = b * (new - level) + (1 - b) * trend
+        season.append(g * (v - new) + (1 - g) * s)
+        level = new
+    return y
+
+
+def plain_residuals(y, factors, start):
+    (a, b, g), level, trend, season, out = factors, start[0], start[1], list(start[2:]), []
+    for v in y:
+        s = season.pop(0)
+        out.append(v - (level + trend + s))
+        new = a * (v - s) + (1 - a) * (level + trend)
+        trend = b * (new - level) + (1 - b) * trend
+        season.append(g * (v - new) + (1 - g) * s)
+        level = new
+    return np.array(out), level + trend + season[0]
+
+
+def plain_best_start(y, factors):
+    """Least squares over the start, from the residuals of unit starts."""
+    base, _ = plain_residuals(y, factors, [0.0] * 9)
+    effects = np.stack([plain_residuals(y, factors, np.eye(9)[i])[0] - base for i in range(9)], axis=1)
+    start = np.linalg.lstsq(effects, -base, rcond=1e-10)[0]
+    residuals, forecast = plain_residuals(y, factors, start)
+    return float(residuals @ residuals), forecast, float(residuals.std())
+
+
+@pytest.mark.parametrize("n,seed", [(14, 1), (30, 2), (29, 3), (200, 4)])
+def test_fit_is_never_above_the_grid_and_its_start_is_the_best(n, seed):
+    y = generated(n, 0.4, 0.15, 0.25, seed)
+    sse, a, b, g, forecast, spread = HWF.fit_one(np.array(y))
+    own = plain_best_start(y, (a, b, g))
+    assert (sse, forecast, spread) == (pytest.approx(own[0], rel=1e-6, abs=1e-6), pytest.approx(own[1], rel=1e-6), pytest.approx(own[2], rel=1e-5, abs=1e-6))
+    assert all(HWF.LEAST <= f <= HWF.MOST for f in (a, b, g))
+    assert all(sse <= plain_best_start(y, c)[0] + 1e-6 for c in HW.GRID)
+    # nor above the grid's own fit, whose start values are those of the first two weeks, on the points that it counts
+    c = min(HW.GRID, key=lambda c: plain_holt_winters(y, *c)[2])
+    assert HWF.fit_one(np.array(y[7:]))[0] <= plain_holt_winters(y, *c)[2] + 1e-6 if n >= 21 else True
+
+
+def test_factors_of_generated_series_are_found():
+    for factors in ((0.4, 0.1, 0.3), (0.7, 0.05, 0.15)):
+        y = generated(3000, *factors, seed=5)
+        found = HWF.fit_one(np.array(y))
+        assert np.allclose(found[1:4], factors, atol=0.05) and found[5] == pytest.approx(1.0, abs=0.05)
+
+
+def test_fit_of_long_series_is_that_of_short_ones(spark):
+    df = points(spark, generated(120, 0.4, 0.15, 0.25, 7), "a").unionByName(points(spark, noisy(90, 2), "b")).unionByName(points(spark, noisy(13), "short"))
+    whole = {r.name: r for r in A.holt_winters_fitted(df).collect()}
+    cut = {r.name: r for r in A.holt_winters_fitted(df, chunk=32).collect()}
+    assert set(whole) == set(cut) == {"a", "b"}
+    for name, r in whole.items():
+        assert cut[name].sse == pytest.approx(r.sse, rel=1e-4) and cut[name].forecast == pytest.approx(r.forecast, rel=1e-5) and cut[name].direction == r.direction
+        assert np.allclose([cut[name].alpha, cut[name].beta, cut[name].gamma], [r.alpha, r.beta, r.gamma], atol=5e-3)
+
+
+def test_fit_of_constant_and_seasonal_series(spark):
+    season = [0, 5, 9, 3, -4, -8, 2]
+    df = points(spark, [100] * 20, "flat").unionByName(points(spark, [100 + 2 * i + season[i % 7] for i in range(42)], "line"))
+    found = {r.name: r for r in A.holt_winters_fitted(df).collect()}
+    assert found["flat"].forecast == pytest.approx(100) and found["line"].forecast == pytest.approx(184, abs=1e-3) and found["line"].std < 1e-3
+    assert A.holt_winters_fitted(df.where("value < 0")).collect() == []
