@@ -9,7 +9,7 @@ from compare import difference, reference_db
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablecheck.llm import minhash, queries, vector_dedup
+from tablecheck.llm import minhash, mixing, queries, vector_dedup
 from tablecheck.llm.components import components
 from tablecheck.llm.store import stored
 
@@ -168,7 +168,11 @@ def test_pipeline_stages(spark, folder, documents):
         before, docs = docs, stored(stage(spark, docs, folder), name)
         kept.append({r.doc_id for r in docs.select("doc_id").collect()})
         if name != "packing":
-            assert docs.columns == documents.columns and docs.exceptAll(before).count() == 0
+            assert docs.columns == documents.columns and docs.distinct().exceptAll(before).count() == 0
+            assert name == "mixing" or docs.exceptAll(before).count() == 0  # mixing repeats documents of scarce categories
+        if name == "mixing":
+            copies = mixing.mix(before).where("copies > 0")
+            assert {(r.doc_id, r.copies) for r in copies.collect()} == {(r.doc_id, r["count"]) for r in docs.groupBy("doc_id").count().collect()}
         if name == "near-duplicates":
             want = plain_groups(before.collect(), 5, 80)
             assert kept[-1] == {i for i, (_, root) in want.items() if i == root}
@@ -183,10 +187,24 @@ def test_pipeline_stages(spark, folder, documents):
 
 
 def test_pipeline_edges(spark, edges, folder):
-    for docs in (edges, edges.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stored(stage(spark, docs, folder), "edges")
-        assert docs.count() >= 0
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(name, docs):
+        found = stages[name](spark, docs, folder)
+        return sorted((r.doc_id for r in found.collect()), key=repr), found.columns
+
+    everything = [1, 2, 3, 4, 5, 6, 7, 7, 8, None]
+    assert kept("toxicity", edges) == (everything, edges.columns)
+    assert kept("quality", edges) == ([], edges.columns)  # under 50 words, or the same words over and over
+    assert kept("near-duplicates", edges) == ([1, 2, 3, 4, 5, 8, None], edges.columns)
+    mixed = mixing.mix(edges).select("doc_id", "copies").collect()
+    assert kept("mixing", edges) == (sorted((r.doc_id for r in mixed for _ in range(r.copies)), key=repr), edges.columns)
+    pieces = stages["packing"](spark, edges, folder).collect()
+    assert {r.doc_id for r in pieces} == set(everything)
+    assert {i: sum(r.length for r in pieces if r.doc_id == i) for i in (2, 3, 4)} == {2: 1, 3: 1, 4: 1}  # their end only
+    assert sum(r.length for r in pieces if r.doc_id == 7) == 2 * sum(r.length for r in pieces if r.doc_id == 6)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, edges.limit(0), folder).count() == 0
 
 
 def test_repeated_rows_are_placed_once(spark, monkeypatch):
