@@ -59,11 +59,12 @@ def trend_checks(history: DataFrame, cases: list[tuple[int, float, str]]) -> Dat
     return stats.selectExpr("name", f"inline(array({rows}))")
 
 
-def volume_by_day(df: DataFrame, time_column: str, max_pct: float = 50.0) -> DataFrame:
-    """Rows per day against the day before that has rows."""
-    days = df.groupBy(F.to_date(time_column).alias("day")).agg(F.count("*").cast("double").alias("value"))
-    # one row per calendar day is left here, so the single ordered window stays small
-    baseline = F.lag("value").over(Window.orderBy("day"))
+def volume_by_day(df: DataFrame, time_column: str, max_pct: float = 50.0, by: str | None = None) -> DataFrame:
+    """Rows per day (and value of ``by``) against the day before that has rows."""
+    keys = [by] if by else []
+    days = df.groupBy(*keys, F.to_date(time_column).alias("day")).agg(F.count("*").cast("double").alias("value"))
+    # one row per calendar day is left of each group, so that ordered windows stay small
+    baseline = F.lag("value").over(Window.partitionBy(*keys).orderBy("day"))
     return days.withColumn("baseline", baseline).withColumn(
         "passed", F.expr(V.volume_change_ok("value", "baseline", max_pct))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
@@ -67,6 +68,19 @@ def _judged(no: int, rule: Rule, cells: list[str], schema: T.StructType) -> str:
     return _result(no, rule, value, shown, KINDS[rule.kind].verdict(rule, cells, is_text))
 
 
+def _passes(kept: Numbered, cells: dict[int, list[tuple[str, str]]], schema: T.StructType) -> list[Numbered]:
+    """The rules whose measures share one aggregation.
+
+    Text buffers would take the whole aggregation out of compiled code. A second distinct count would copy every row once
+    per count, with all other measures in each group; each then reads its own columns in a narrow pass.
+    """
+    textual = [i for i in kept if any(isinstance(schema[c].dataType, T.StringType) for c, _ in cells[i[0]])]
+    distinct = [i for i in kept if i not in textual and any(re.search(r"(?i)\bdistinct\b", m) for _, m in cells[i[0]])]
+    apart = distinct if len(distinct) > 1 else []
+    rest = [i for i in kept if i not in textual and i not in apart]
+    return [group for group in (textual, rest, *([i] for i in apart)) if group]
+
+
 def _by_scan(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
     """All measures in one aggregation, text-valued ones in another. A rule that does not resolve
     is taken out and reported."""
@@ -95,12 +109,9 @@ def _by_scan(df: DataFrame, items: Numbered, ctx: Context) -> list[DataFrame]:
     parts = _broken(df.sparkSession, failures)
     if measured is not None:
         schema = measured.schema
-        # text buffers would take the whole aggregation out of compiled code
-        textual = [(no, r) for no, r in kept if any(isinstance(schema[c].dataType, T.StringType) for c, _ in cells[no])]
-        for group in (textual, [item for item in kept if item not in textual]) if textual else (kept,):
-            if group:
-                own = measured if group is kept else _measure(df, [c for no, _ in group for c in cells[no]])
-                parts.append(_rows(own, [_judged(no, r, [c for c, _ in cells[no]], schema) for no, r in group]))
+        for group in _passes(kept, cells, schema):
+            own = measured if group == kept else _measure(df, [c for no, _ in group for c in cells[no]])
+            parts.append(_rows(own, [_judged(no, r, [c for c, _ in cells[no]], schema) for no, r in group]))
     return parts
 
 

@@ -82,6 +82,29 @@ def test_text_numbers(spark):
     assert [r.n for r in df.collect()] == [1.0, -2.5, 0.5, 3.0, 1000.0, 7.0] + [None] * 8
 
 
+def test_distinct_counts_copy_no_rows(spark, small):
+    df = spark.read.parquet(f"{small}/orders.parquet")
+    rules = [Rule(f"n{i}", "greater_than", 0, metric=m) for i, m in enumerate(["count(DISTINCT o_custkey)", "count(*)", "count(DISTINCT year(o_orderdate)) / count(*)", "max(o_totalprice)"])]
+    plan = physical(suite.evaluate(df, rules))
+    assert "Expand" not in plan and plan.count("FileScan") == 3
+    values = df.selectExpr("count(DISTINCT o_custkey)", "count(*)", "count(DISTINCT year(o_orderdate)) / count(*)", "max(o_totalprice)").first()
+    assert [r.value for r in suite.run(df, rules)] == pytest.approx([float(v) for v in values])
+    assert physical(suite.evaluate(df, rules[:2])).count("FileScan") == 1
+
+
+def test_volume_by_day_and_group(spark):
+    df = spark.sql("SELECT if(id % 3 = 0, 'a', 'b') AS name, timestamp_seconds(id * 3600) AS ts FROM range(72)")
+    found = HC.volume_by_day(df, "ts", 10.0, by="name").orderBy("name", "day").collect()
+    assert [(r.name, r.value, r.baseline, r.passed) for r in found][:3] == [("a", 8.0, None, True), ("a", 8.0, 8.0, True), ("a", 8.0, 8.0, True)]
+
+
+def test_positions_need_few_shuffles(spark, small):
+    from tablecheck.operators import series
+
+    plan = physical(series.positions(Tables(spark, small)["metric_history"]))
+    assert plan.count("Window") <= 4 and plan.count("Join") == 1
+
+
 def test_volume_against_the_newest_point(spark):
     history = spark.sql("SELECT 'a' AS name, 100D AS value, timestamp_seconds(2) AS run_at UNION ALL SELECT 'a', 5D, timestamp_seconds(1)")
     current = spark.sql("SELECT 'a' AS name, 140D AS value UNION ALL SELECT 'b', 1D UNION ALL SELECT 'c', 0D")
