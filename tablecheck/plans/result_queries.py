@@ -10,12 +10,13 @@ from tablecheck.operators import runner, suite
 from tablecheck.operators.checks import Rule
 from tablecheck.plans.check_queries import ORDER_RULES, expect, order_suite, _ORDER_SQL
 from tablecheck.operators.checks import rule_from_dict
-from tablecheck.plans.history_queries import _ALL, _BEFORE, _PICKED_METHOD, anomalies, anomaly_sql, judged_sql
+from tablecheck.operators import holt_winters as HW
+from tablecheck.plans.history_queries import _ALL, _BEFORE, _E, _PICKED_METHOD, anomalies, anomaly_sql, hw_ctes, judged_sql
 from tablecheck.plans.registry import query
 from tablecheck.plans.tables import ORDERS_AS_OF, Tables, with_tables
 from tablecheck.session import shared_folder
 from tablecheck.sources import readers, stores
-from tablecheck.streaming import observed as observed_streams, suites
+from tablecheck.streaming import detectors, observed as observed_streams, suites
 
 _SCORE = "round(passed * 100.0::DOUBLE / nullif(total, 0), 1)"
 _LIGHT = "CASE WHEN score IS NULL THEN 'grey' WHEN score >= 80 THEN 'green' WHEN score >= 50 THEN 'yellow' ELSE 'red' END AS light"
@@ -385,3 +386,27 @@ def _(t: Tables) -> DataFrame:
     path, checkpoint = shared_folder(t.spark, "stream-points"), shared_folder(t.spark, "stream-checkpoint")
     _arrive(t, lambda stream: suites.update_points(suites.windowed_points(stream, "ts", "event_type", "1 day"), path, checkpoint))
     return suites.newest_points(t.spark.read.parquet(path))
+
+
+_EVERY = {
+    "hb14": "SELECT name, rn AS n, l + b + s[1] AS forecast, coalesce(nullif(list_aggregate(r, 'stddev_pop'), 0), 1e-9) AS std FROM hf WHERE rn >= 14",
+    "ev": "SELECT name, rn AS n, e AS forecast, coalesce(nullif(sqrt(sq / nullif(m, 0)), 0), 1e-9) AS std FROM ef",
+    "zv": """SELECT a.name, a.rn AS n, avg(b.value) AS forecast, coalesce(nullif(stddev_samp(b.value), 0), 1e-9) AS std
+  FROM h a JOIN h b ON a.name = b.name AND b.rn <= a.rn WHERE a.rn < 5 GROUP BY 1, 2""",
+    "model": """SELECT name, n, CASE WHEN n < 5 THEN zv.forecast WHEN n < 14 THEN ev.forecast ELSE hb14.forecast END AS forecast,
+  CASE WHEN n < 5 THEN zv.std WHEN n < 14 THEN ev.std ELSE hb14.std END AS std FROM ev LEFT JOIN zv USING (name, n) LEFT JOIN hb14 USING (name, n)""",
+}
+
+
+@query("stream_detectors", anomaly_sql("""SELECT h.name, h.run_at, h.value, h.rn - 1 AS n, CASE WHEN h.rn - 1 < 5 THEN 'zscore' WHEN h.rn - 1 < 14 THEN 'ewma' ELSE 'holt_winters' END AS method,
+ coalesce(h.rn > 2 AND abs(h.value - forecast) / std > 3, false) AS is_anomaly, round(CASE WHEN h.rn > 2 THEN forecast END, 4) AS forecast
+ FROM (SELECT name, value, run_at, row_number() OVER (PARTITION BY name ORDER BY run_at) AS rn FROM metric_history) h LEFT JOIN model m ON m.name = h.name AND m.n = h.rn - 1""",
+    where="true", **_E, **hw_ctes(HW.FIXED), **_EVERY))
+def _(t: Tables) -> DataFrame:
+    """Metric points arrive in three lots; every point is judged by the state that the points before it left."""
+    source, out, checkpoint = (shared_folder(t.spark, f"detector-{n}") for n in ("points", "verdicts", "checkpoint"))
+    points = t["metric_history"].select("name", "value", "run_at")
+    for condition in ("run_at < TIMESTAMP '2024-01-11'", "run_at >= TIMESTAMP '2024-01-11' AND run_at < TIMESTAMP '2024-01-21'", "run_at >= TIMESTAMP '2024-01-21'"):
+        points.where(condition).write.mode("append").parquet(source)
+        detectors.watch(t.spark.readStream.schema(points.schema).parquet(source), out, checkpoint).awaitTermination()
+    return t.spark.read.parquet(out).select("name", "run_at", "value", "n", "method", "is_anomaly", F.round("forecast", 4).alias("forecast"))
