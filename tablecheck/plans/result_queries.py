@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablecheck.operators import ingest as I
 from tablecheck.operators import results as R
-from tablecheck.operators import runner, suite
+from tablecheck.operators import history, runner, suite
 from tablecheck.operators.checks import Rule
 from tablecheck.plans.check_queries import ORDER_RULES, expect, order_suite, _ORDER_SQL
 from tablecheck.operators.checks import rule_from_dict
@@ -388,6 +388,35 @@ def _(t: Tables) -> DataFrame:
     return suites.newest_points(t.spark.read.parquet(path))
 
 
+@query("stream_points_folded", """SELECT event_type AS name, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS run_at, CAST(count(*) AS DOUBLE) AS value, round(sum(value), 4) AS total
+ FROM events GROUP BY 1, 2""")
+def _(t: Tables) -> DataFrame:
+    """The batches are folded into one state after every lot but the last; reading takes the state and what came after."""
+    path, checkpoint, state = (shared_folder(t.spark, f"folded-{n}") for n in ("points", "checkpoint", "state"))
+    lots = iter(_ARRIVALS)
+
+    def start(stream: DataFrame):
+        if next(lots):
+            suites.fold_points(t.spark, path, state)
+        return suites.update_points(suites.windowed_points(stream, "ts", "event_type", "1 day"), path, checkpoint)
+
+    _arrive(t, start)
+    return suites.current_points(t.spark, path, state)
+
+
+@query("metric_compaction", with_tables(["metric_history"], """SELECT name, value, run_at, run_date,
+ CAST(CASE WHEN run_date < DATE '2024-01-20' THEN 1 ELSE count(*) OVER (PARTITION BY run_date) END AS INTEGER) AS files FROM metric_history"""))
+def _(t: Tables) -> DataFrame:
+    """Points recorded metric by metric, and so in a file each; days that are over are put together."""
+    path = shared_folder(t.spark, "metric-points")
+    for kind in ("view", "click", "purchase", "signup", "error"):
+        history.record(t["metric_history"].where(F.col("name") == kind).coalesce(1), path)
+    stores.compact(t.spark, path, "run_date", files=1, closed="2024-01-20")
+    points = t.spark.read.parquet(path)
+    files = points.select("run_date", "_metadata.file_path").distinct().groupBy("run_date").agg(F.count("*").cast("int").alias("files"))
+    return points.join(files, "run_date").select("name", "value", "run_at", "run_date", "files")
+
+
 _EVERY = {
     "hb14": "SELECT name, rn AS n, l + b + s[1] AS forecast, coalesce(nullif(list_aggregate(r, 'stddev_pop'), 0), 1e-9) AS std FROM hf WHERE rn >= 14",
     "ev": "SELECT name, rn AS n, e AS forecast, coalesce(nullif(sqrt(sq / nullif(m, 0)), 0), 1e-9) AS std FROM ef",

@@ -15,6 +15,7 @@ from tablecheck.operators.holt_winters import FIXED, SEASON
 from tablecheck.streaming.suites import AVAILABLE
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _STATE = (
@@ -133,14 +134,19 @@ def watched(points: DataFrame, threshold: float = 3.0, alpha: float = 0.3, facto
 
 def watch(points: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, Any] = AVAILABLE, **options) -> StreamingQuery:
     """Appends the verdicts on a stream of points to ``path``. The state lives in RocksDB under the checkpoint, from which a new
-    start goes on; the session's own choice of a state store is left as it was."""
+    start goes on; the session's own settings are left as they were. Silent metrics are dropped when a batch brings
+    points of others: batches without points, which would follow each other without end, are not run for that.
+    """
     conf = points.sparkSession.conf
-    before = conf.get(_PROVIDER, None)
-    conf.set(_PROVIDER, _ROCKSDB)
+    own = {_PROVIDER: _ROCKSDB} | ({_EMPTY_BATCHES: "false"} if options.get("keep_ms") else {})
+    before = {key: conf.get(key, None) for key in own}
+    for key, value in own.items():
+        conf.set(key, value)
     try:
         return (
             watched(points, **options).writeStream.format("parquet").outputMode("append").option("path", path)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start()
         )
     finally:
-        conf.set(_PROVIDER, before) if before else conf.unset(_PROVIDER)
+        for key, value in before.items():
+            conf.set(key, value) if value is not None else conf.unset(key)
