@@ -54,7 +54,9 @@ def test_names(spark):
     assert df.collect()[2][1] == "email"
     texts = [("SELECT COUNT(*) FROM t WHERE x IS NULL", "equals", "not_null", "x"), ("SELECT COUNT(DISTINCT y) FROM t", "equals", "unique", "y"),
              ("SELECT AVG(z) FROM t WHERE z > 1", "between", "range", "z"), ("SELECT max(ts) FROM t", "less_than", "freshness", None),
-             ("  select count(*) from t", "equals", "row_count", None), (None, "equals", "custom", None)]
+             ("  select count(*) from t", "equals", "row_count", None), (None, "equals", "custom", None), ("", None, "custom", None),
+             ("SELECT count(*) FROM t where A.b = 1 AND c IS NULL", "equals", "not_null", None), ("select 1 from t where total>=5", "less_than", "custom", "total"),
+             ("select count(*) from t where k = 3", None, "custom", "k"), ("SELECT count(distinct t.x) FROM t WHERE y < 2", "between", "unique", "y")]
     got = constant_rows(spark, [t[:2] for t in texts], "q string, a string").select(query_fingerprint(F.col("q"), F.col("a")), queried_column(F.col("q"))).collect()
     assert [tuple(r) for r in got] == [t[2:] for t in texts]
 
