@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +43,36 @@ class _Piece:
         return _Piece(self.document, self.start, length), _Piece(self.document, self.start + length, self.length - length)
 
 
+class _Waiting:
+    """Pieces that wait, by length; bit ``n`` of ``lengths`` is set where there is one of ``n`` tokens."""
+
+    def __init__(self, pieces: list[_Piece]):
+        self.by_length: dict[int, list[_Piece]] = {}
+        self.lengths = 0
+        for piece in pieces:
+            self.add(piece)
+
+    def add(self, piece: _Piece) -> None:
+        self.by_length.setdefault(piece.length, []).append(piece)
+        self.lengths |= 1 << piece.length
+
+    def take(self, length: int) -> _Piece:
+        held = self.by_length[length]
+        piece = held.pop()
+        if not held:
+            self.lengths ^= 1 << length
+        return piece
+
+    def longest(self, most: int) -> int:
+        """The greatest length up to ``most``, 0 if there is none."""
+        return max((self.lengths & ((2 << most) - 1)).bit_length() - 1, 0)
+
+    def shortest(self, above: int) -> int:
+        """The least length above ``above``, 0 if there is none."""
+        longer = self.lengths >> (above + 1)
+        return (longer & -longer).bit_length() + above if longer else 0
+
+
 class _Packer:
     def __init__(self, tiers: Tiers):
         self.tiers, self.sizes = tiers, tiers.sizes()
@@ -58,60 +87,32 @@ class _Packer:
             self.rest.append(_Piece(document, n - n % w, n % w))
 
     def pack(self) -> None:
-        """Packs the tails tier by tier, longest first, so that shorter tiers fill the gaps of longer ones.
+        """Packs the tails tier by tier, longest first, in windows of their tier's own size.
 
-        The piece goes where it leaves the smallest gap, or opens a window. What gaps are left are filled by cutting
-        up the emptiest windows. Fewer tokens than one window stay for the next time.
+        A tail's tier is the smallest size that holds it. Each tail of a tier that is left opens a window; its gap takes
+        the longest tails of shorter tiers that fit whole, and what then is left of it the beginning of the shortest tail that is
+        longer. The other part of that tail waits on, in the tier of its new length. The one window that finds nothing
+        to fill it waits for the next time.
         """
-        w = self.tiers.window
-        routed: dict[int, list[_Piece]] = {size: [] for size in self.sizes}
-        for piece in self.rest:
-            routed[self.sizes[bisect_left(self.sizes, piece.length)]].append(piece)
-        by_gap: dict[int, list[list[_Piece]]] = {}
-        gaps = 0  # bit g is set where a window has g free places
-        for size in reversed(self.sizes):
-            for piece in sorted(routed[size], key=lambda x: -x.length):
-                fitting = gaps >> piece.length
-                if fitting:
-                    gap = (fitting & -fitting).bit_length() - 1 + piece.length
-                    windows = by_gap[gap]
-                    chosen = windows.pop()
-                    if not windows:
-                        gaps ^= 1 << gap
-                else:
-                    gap, chosen = w, []
-                chosen.append(piece)
-                gap -= piece.length
+        waiting, self.rest = _Waiting(self.rest), []
+        for size, below in zip(reversed(self.sizes), [*reversed(self.sizes[:-1]), 0]):
+            while (length := waiting.longest(size)) > below:
+                chosen, gap = [waiting.take(length)], size - length
+                while gap and (length := waiting.longest(gap)):
+                    chosen.append(waiting.take(length))
+                    gap -= length
+                if gap and (length := waiting.shortest(gap)):
+                    begin, after = waiting.take(length).cut(gap)
+                    chosen.append(begin)
+                    waiting.add(after)
+                    gap = 0
                 if gap:
-                    by_gap.setdefault(gap, []).append(chosen)
-                    gaps |= 1 << gap
+                    self.rest += chosen
                 else:
                     self.full.append(chosen)
-        partial = [(gap, x) for gap in sorted(by_gap, reverse=True) for x in by_gap[gap]]  # emptiest first
-        loose: list[_Piece] = []
-        low = 0
-        while partial:
-            gap, chosen = partial.pop()
-            while gap and (loose or low < len(partial)):
-                if not loose:
-                    loose = partial[low][1]
-                    low += 1
-                piece = loose.pop()
-                if piece.length > gap:
-                    piece, after = piece.cut(gap)
-                    loose.append(after)
-                chosen.append(piece)
-                gap -= piece.length
-            if gap:
-                loose = chosen  # all that is left, less than a window
-                break
-            self.full.append(chosen)
-            if low >= len(partial):
-                break
-        self.rest = loose
 
     def finish(self) -> None:
-        """The last tokens go to windows of powers of two, which need no padding."""
+        """The last tokens, less than a window, go to windows of powers of two, which need no padding."""
         self.pack()
         left = sum(piece.length for piece in self.rest)
         while left:
@@ -186,10 +187,11 @@ def pack(docs: DataFrame, vocabulary: str, tiers: Tiers = Tiers(), with_ids: boo
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window, step_group`` (and ``ids``, little-endian
     unsigned 32-bit). ``vocabulary`` is the path of a tokenizer file on the driver; its content goes to the tasks.
 
-    A document is cut at whole windows; its tail goes, uncut where it fits, to the tier of the smallest context
-    size that holds it. Tiers are packed from the longest, shorter ones fill its gaps, the remaining gaps take cuts of
-    the emptiest windows, and a task's last tokens go to windows of powers of two: every id lies in one piece and
-    nothing is padded. Windows of like attention cost are dealt out over the step groups of a task's buffer.
+    A document is cut at whole windows; its tail goes to the tier of the smallest context size that holds it, and is packed
+    in a window of that size. Tiers are packed from the longest, shorter ones fill its gaps, a gap that no whole tail fits
+    takes the beginning of a longer one, and a task's last tokens go to windows of powers of two: every id lies in one
+    piece, every window is a power of two (``window`` tells which), and nothing is padded. Windows of like attention cost
+    are dealt out over the step groups of a task's buffer.
 
     Each task packs what it reads, in one pass: nothing is shuffled, a task holds ``buffer`` tokens and one document
     at most, and a lost task is packed anew by itself. A null or empty text is its end id only. Rows that repeat an

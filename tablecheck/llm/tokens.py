@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterable
 
 import numpy as np
 import regex
@@ -18,10 +17,30 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byt
 _BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+class _Known(dict):
+    """Ids of words and of their parts; a word that is not there yet is encoded. At most ``limit`` are kept."""
+
+    def __init__(self, whole, limit: int):
+        super().__init__()
+        self.whole, self.limit = whole, limit
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self._part(word) if word.isalpha() else b"".join([self.get(part) or self._part(part) for part in _PARTS.findall(word)])
+        self[word] = found
+        return found
+
+    def _part(self, part: str) -> bytes:
+        spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+        found = self[part] = array("I", [token.id for token in self.whole(spelled)]).tobytes()
+        return found
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space; bytes of little-endian unsigned 32-bit numbers.
 
-    Words are encoded once and kept, at most ``limit`` of them besides those of the texts at hand. Texts with other
+    Words are encoded when they are met first and kept, at most ``limit`` of them. Texts with other
     characters than the plain ones go through the tokenizer as they are.
     """
 
@@ -31,7 +50,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.limit, self.known = limit, {}
+        self.known = _Known(self.tokenizer.model.tokenize, limit)
 
     @classmethod
     def of(cls, held: dict) -> "WordIds":
@@ -40,32 +59,14 @@ class WordIds:
             held["made"] = cls(held["content"])
         return held["made"]
 
-    def _learn(self, words: Iterable[str]) -> None:
-        needed = set(words)
-        new = needed - self.known.keys()
-        if len(self.known) + len(new) > self.limit:
-            self.known = {w: self.known[w] for w in needed if w in self.known}
-        known, whole = self.known, self.tokenizer.model.tokenize
-
-        def part_ids(part: str) -> bytes:
-            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
-            found = known[part] = array("I", [token.id for token in whole(spelled)]).tobytes()
-            return found
-
-        for word in new:
-            if word.isalpha():
-                part_ids(word)
-            else:
-                known[word] = b"".join([known.get(part) or part_ids(part) for part in _PARTS.findall(word)])
-
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        plain = {i: text.lower().split() for i, text in enumerate(texts) if _PLAIN.fullmatch(text)}
-        self._learn(word for words in plain.values() for word in words)
-        known = self.known
-        for i, words in plain.items():
-            out[i] = b"".join([known[w] for w in words])
-        other = [i for i in range(len(texts)) if i not in plain]
+        ids, other = self.known.__getitem__, []
+        for i, text in enumerate(texts):
+            if _PLAIN.fullmatch(text):
+                out[i] = b"".join(map(ids, text.lower().split()))
+            else:
+                other.append(i)
         for i, found in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)):
             out[i] = np.array(found.ids, "<u4").tobytes()
         return out

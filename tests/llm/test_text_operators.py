@@ -197,6 +197,50 @@ def test_packing_keeps_every_id_once(documents, tiers):
     assert max(map(len, costs.values())) <= tiers.group
 
 
+def tails(n, seed=4):
+    random = np.random.default_rng(seed)
+    return [(i, b"", int(x)) for i, x in enumerate(np.clip(np.exp(random.normal(6, 1.2, n)), 1, 30_000))]
+
+
+def test_tiers_are_packed_in_windows_of_their_own():
+    found = {}
+    for least in (512, 4096):
+        packer = packing._Packer(packing.Tiers(least=least))
+        for document in tails(3000):
+            packer.add(document)
+        packer.finish()
+        found[least] = packer.full
+        for window in packer.full:
+            length = sum(piece.length for piece in window)
+            assert length & (length - 1) == 0 and length <= 4096
+    sizes = collections.Counter(sum(p.length for p in window) for window in found[512])
+    assert all(sizes[size] > 20 for size in (512, 1024, 2048, 4096)) and sum(n for size, n in sizes.items() if size < 512) <= 9
+    assert collections.Counter(sum(p.length for p in window) for window in found[4096])[512] <= 1  # one tier: best-fit decreasing
+    # a tail opens a window of its own tier or lies in a longer one; most are left whole
+    pieces = collections.Counter((p.document[0]) for window in found[512] for p in window)
+    whole = {size: [] for size in (512, 1024, 2048, 4096)}
+    for i, _, n in tails(3000):
+        if n % 4096:
+            whole[min(size for size in whole if size >= n % 4096)].append(pieces[i] == n // 4096 + 1)
+    assert all(np.mean(x) > 0.6 for x in whole.values()) and np.mean(whole[4096]) > 0.9
+    for window in found[512]:
+        first = window[0]
+        size = sum(p.length for p in window)
+        if size >= 512 and first.start + first.length == first.document[2]:
+            assert size == max(512, 1 << (first.length - 1).bit_length())
+
+
+def test_step_groups_are_balanced():
+    packer = packing._Packer(packing.Tiers(group=16))
+    for document in tails(4000, 5):
+        packer.add(document)
+    packer.pack()
+    costs = collections.Counter()
+    for group, window in packer.take():
+        costs[group] += sum(piece.length**2 for piece in window)
+    assert len(costs) > 20 and max(costs.values()) < 1.15 * np.mean(list(costs.values()))
+
+
 def test_packing_edges(edges, clashing, nothing):
     path = tokenizer("word_bpe_49k.json")
     found = packing.pack(edges.coalesce(1), path, packing.Tiers(window=64, least=8), with_ids=True)
