@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablecheck.operators import history_checks as H, observed
+from tablecheck.operators import history_checks as H, observed, predicate_failures
 from tablecheck.operators import suite
 from tablecheck.operators.checks import Rule, rule_from_dict, with_tags
 from tablecheck.plans.registry import query
@@ -511,6 +511,29 @@ def _(t: Tables) -> DataFrame:
     return shown(named(prices, "price_ok").unionByName(named(people, "has_host", "long_phone")))
 
 
+@query("chk_udf_reasons", with_tables(["contacts"], """
+SELECT 'e-mail has a host' AS check_name, count(*) AS failed, CAST(least(count(*), 4) AS INTEGER) AS shown, CASE WHEN count(*) > 0 THEN 'refused: broken' END AS reasons FROM contacts WHERE email = 'broken'
+UNION ALL SELECT 'null phones raise', count(*), CAST(least(count(*), 4) AS INTEGER), CASE WHEN count(*) > 0 THEN 'TypeError: ' END FROM contacts WHERE phone IS NULL
+UNION ALL SELECT 'short ids', count(*), CAST(least(count(*), 4) AS INTEGER), CASE WHEN count(*) > 0 THEN 'ValueError: long' END FROM contacts WHERE customer_id >= 100"""))
+def _(t: Tables) -> DataFrame:
+    """Failing rows per predicate, and of four of them what went wrong: refused with its value, or the error."""
+    def long_phone(value):
+        return len(value) == 13
+
+    def short_id(value):
+        if value >= 100:
+            raise ValueError("long")
+        return True
+
+    found = predicate_failures.reasons(t["contacts"], [
+        Rule("e-mail has a host", "custom_script", lambda value: "@" in value, column="email"),
+        Rule("null phones raise", "custom_script", long_phone, column="phone"),
+        Rule("short ids", "custom_script", short_id, column="customer_id"),
+    ], samples=4)
+    told = "transform(samples, s -> coalesce(if(s.value IS NULL, 'TypeError: ', s.error), concat('refused: ', s.value)))"
+    return found.selectExpr("check_name", "failed", "size(samples) AS shown", f"nullif(array_join(array_distinct({told}), ','), '') AS reasons")
+
+
 # -- suites ------------------------------------------------------------------------------------
 
 ORDER_RULES = [
