@@ -304,6 +304,19 @@ _BUILDERS = {
 }
 
 
+def by_family(rules: list[Rule]) -> dict[str, Numbered]:
+    """The rules, numbered in the given order, by how they are measured."""
+    families: dict[str, Numbered] = {}
+    for no, rule in enumerate(rules, 1):
+        if rule.kind not in KINDS:
+            raise ValueError(f"unknown assertion '{rule.kind}'; known: {', '.join(sorted(KINDS))}")
+        family = "query" if rule.query else KINDS[rule.kind].family
+        if rule.metric and family in ("keys", "schema", "parent"):
+            family = "scan"  # the caller brings the measure, only the verdict is the kind's
+        families.setdefault(family, []).append((no, rule))
+    return families
+
+
 def evaluate(
     df: DataFrame,
     rules: list[Rule],
@@ -315,14 +328,7 @@ def evaluate(
     ``tables`` are the second tables that rules name; ``history`` the metric points
     ``(name, value, run_at)`` for history rules.
     """
-    families: dict[str, Numbered] = {}
-    for no, rule in enumerate(rules, 1):
-        if rule.kind not in KINDS:
-            raise ValueError(f"unknown assertion '{rule.kind}'; known: {', '.join(sorted(KINDS))}")
-        family = "query" if rule.query else KINDS[rule.kind].family
-        if rule.metric and family in ("keys", "schema", "parent"):
-            family = "scan"  # the caller brings the measure, only the verdict is the kind's
-        families.setdefault(family, []).append((no, rule))
+    families = by_family(rules)
     if not families:
         return df.sparkSession.createDataFrame([], RESULT)
     context = Context(tables or {}, history)

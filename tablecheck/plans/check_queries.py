@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablecheck.operators import history_checks as H, observed, predicate_failures
+from tablecheck.operators import history_checks as H, observed, predicate_failures, side_by_side
 from tablecheck.operators import suite
 from tablecheck.operators.checks import Rule, rule_from_dict, with_tags
 from tablecheck.plans.registry import query
@@ -576,7 +576,7 @@ def _(t: Tables) -> DataFrame:
     return shown(found).unionByName(kept.selectExpr("'rows kept' AS check_name", "value", "'written' AS expected", "true AS passed"))
 
 
-@query("suite_from_rules", with_tables(["events_gaps"], expect(
+_MIXED_SQL = with_tables(["events_gaps"], expect(
     ("rows", "count(*)", "events_gaps", "row_count_at_least(100)", "value >= 100"),
     ("types", "count(*) FILTER (WHERE event_type IS NULL OR trim(event_type) = '')", "events_gaps", "not_empty(None)", "value = 0"),
     ("ids unique", "count(*) - count(DISTINCT event_id)", "events_gaps", "duplicate_row(0)", "value <= 0"),
@@ -585,10 +585,12 @@ def _(t: Tables) -> DataFrame:
     ("row total", "count(*)", "events_gaps", "custom_sql([1, 1000000000])", "value BETWEEN 1 AND 1000000000"),
     ("fresh", f"({_EVENT_AGE}) / 3.6e9", "events_gaps", "freshness_hours(48)", "value <= 48"),
     ("more than customers", "count(*)", "events_gaps", "cross_table_check(None)", "value > (SELECT count(*) FROM customer)"),
-)))
-def _(t: Tables) -> DataFrame:
+))
+
+
+def _mixed_rules() -> list[Rule]:
     """One declarative rule set across all families of checks."""
-    rules = [rule_from_dict(r) for r in (
+    return [rule_from_dict(r) for r in (
         {"name": "rows", "assert": "row_count_at_least", "value": 100},
         {"name": "types", "assert": "not_empty", "column": "event_type"},
         {"name": "ids unique", "assert": "duplicate_row", "value": 0, "column": "event_id"},
@@ -598,7 +600,19 @@ def _(t: Tables) -> DataFrame:
         {"name": "fresh", "assert": "freshness_hours", "value": 48, "column": "ts", "as_of": EVENTS_AS_OF},
         {"name": "more than customers", "assert": "cross_table_check", "metric": "count(*)", "table": "customer", "comparator": "greater_than"},
     )]
-    return shown(suite.evaluate(t["events_gaps"], rules, tables={"customer": t["customer"]}))
+
+
+@query("suite_from_rules", _MIXED_SQL)
+def _(t: Tables) -> DataFrame:
+    return shown(suite.evaluate(t["events_gaps"], _mixed_rules(), tables={"customer": t["customer"]}))
+
+
+@query("suite_side_by_side", _MIXED_SQL)
+def _(t: Tables) -> DataFrame:
+    """The families of the rules are measured at the same time, each within a minute, then rule by rule."""
+    rows = side_by_side.run(t["events_gaps"], _mixed_rules(), seconds=60, tables={"customer": t["customer"]})
+    names = [part.split()[0] for part in suite.RESULT.split(", ")]
+    return shown(t.spark.createDataFrame([tuple(row[n] for n in names) for row in rows], suite.RESULT))
 
 
 @query("suite_error_isolation", """
