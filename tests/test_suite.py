@@ -214,3 +214,27 @@ def test_queried_values_of_every_kind(spark):
 def test_stored_values_are_not_rounded(spark):
     df = spark.range(1, 4_000_001)
     assert suite.evaluate(df, [Rule("share", "less_than", 1, metric="count_if(id = 1) / count(*)")]).first().value == pytest.approx(2.5e-7)
+
+
+def test_registered_questions_are_asked_once(spark, monkeypatch):
+    from tablecheck.operators import runner
+    from tablecheck.session import constant_rows
+
+    asked = []
+    monkeypatch.setattr(suite, "query_source", lambda df, sql, real=suite.query_source: asked.append(sql) or real(df, sql))
+    texts = [("SELECT count(*) FROM source", "equals", "7"), ("SELECT count(*) FROM source", "greater_than", "9"),
+             ("SELECT max(nowhere) FROM source", "equals", "0"), ("SELECT max(id) FROM source", "is_not_null", None), ("", "zscore_anomaly", "3")]
+    rows = [(i * 7, i % 2, f"check {i}", *texts[i % 5], "late" if i % 3 == 0 else "", 1) for i in range(60)]
+    checks = constant_rows(spark, rows, "id int, source_id int, name string, query string, assert_type string, assert_value string, tags string, is_active int")
+    sources = spark.sql("SELECT 1 AS id, 'csv' AS type")
+    got = {r.check_name: r for r in runner.run_registered(spark.range(7).toDF("id"), checks, sources, 1).collect()}
+    assert len(asked) == 4
+    mine = [r for r in rows if r[1] == 1]
+    assert [got[r[2]].check_no for r in mine] == list(range(1, 31)) and len(got) == 30
+    assert {(i % 5, got[f"check {i}"].passed, got[f"check {i}"].value) for i in range(1, 60, 2)} == {(0, True, 7.0), (1, False, 7.0), (2, False, None), (3, True, 6.0), (4, False, None)}
+    assert "nowhere" in got["check 7"].message and got["check 9"].message == "no history given"
+    late = runner.run_registered(spark.range(7).toDF("id"), checks, sources, 1, ["late", "x"]).collect()
+    assert sorted((r.check_no, r.check_name) for r in late) == [(n, f"check {i}") for n, i in enumerate(range(3, 60, 6), 1)]
+    numbered = runner._numbered(spark.range(50).selectExpr("(id * 37) % 50 * 3 - 20 AS id"), "id", 10).collect()
+    assert [r.check_no for r in sorted(numbered, key=lambda r: r.id)] == list(range(1, 51))
+    assert runner.run_registered(spark.range(7).toDF("id"), checks, sources, 5).collect() == []
