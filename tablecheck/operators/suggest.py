@@ -68,37 +68,41 @@ def suggest(profile: DataFrame, types: Collection[str] | None = None) -> DataFra
 
 
 def mined_usage(checks: DataFrame, at: str) -> DataFrame:
-    """Usage events from written checks whose column and kind of rule can be told from the text."""
-    return (
-        checks.select(
-            queried_column(F.col("query")).alias("column_name"), F.lit("").alias("column_type"),
-            query_fingerprint(F.col("query"), F.col("assert_type")).alias("rule_type"),
-            F.lit("used").alias("event"), F.lit(at).cast("timestamp").alias("event_at"),
-        )
-        .where("column_name IS NOT NULL")
+    """Usage events from written checks whose column and kind of rule can be told from the text.
+
+    Equal texts are one row with their number as ``times``: a text is read once, and the grouping deals the texts to all tasks,
+    however few files they come from. What is read comes out of a generator, below which no filter on it is moved.
+    """
+    texts = checks.groupBy("query", "assert_type").agg(F.count("*").alias("times"))
+    read = F.struct(
+        queried_column(F.col("query")).alias("column_name"), F.lit("").alias("column_type"),
+        query_fingerprint(F.col("query"), F.col("assert_type")).alias("rule_type"),
+        F.lit("used").alias("event"), F.lit(at).cast("timestamp").alias("event_at"), "times",
     )
+    return texts.select(F.inline(F.array(read))).where("column_name IS NOT NULL")
 
 
 def build_library(events: DataFrame) -> DataFrame:
     """One row per (name pattern, rule type) with its counters.
 
     ``events`` are ``column_name, column_type, rule_type, event, event_at`` with event one of
-    used, accepted, rejected. Use of a free-form rule is not counted; a vote on one is.
+    used, accepted, rejected; with a column ``times``, a row stands for so many. Use of a free-form rule is not counted;
+    a vote on one is. Names are looked at when their events are counted.
     """
     used = "event = 'used'"
-    typed = (
+    times = "times" if "times" in events.columns else "1L"
+    named = (
         events.where(f"NOT ({used} AND rule_type = 'custom')")
-        .groupBy(name_pattern(F.col("column_name")).alias("pattern"), "rule_type", "column_type")
+        .groupBy("column_name", "rule_type", "column_type")
         .agg(
-            F.expr(f"count_if({used}) AS used"), F.expr("count_if(event = 'accepted') AS accepted"),
-            F.expr("count_if(event = 'rejected') AS rejected"), F.expr("max(event_at) AS last_at"),
-            F.expr(f"max(if({used}, event_at, NULL)) AS last_use"),
+            *(F.expr(f"sum(if(event = '{event}', {times}, 0L)) AS {event}") for event in ("used", "accepted", "rejected")),
+            F.expr("max(event_at) AS last_at"), F.expr(f"max(if({used}, event_at, NULL)) AS last_use"),
         )
     )
     # few rows are left; the column type of the last use is a text, which would keep the
     # aggregation of the events themselves from being a hashed one
     last = F.struct("last_use", "column_type")
-    return typed.groupBy("pattern", "rule_type").agg(
+    return named.groupBy(name_pattern(F.col("column_name")).alias("pattern"), "rule_type").agg(
         F.max_by(F.when(F.col("last_use").isNotNull(), F.col("column_type")), F.when(F.col("last_use").isNotNull(), last)).alias("column_type"),
         F.sum("used").alias("times_used"), F.sum("accepted").alias("times_accepted"),
         F.sum("rejected").alias("times_rejected"), F.max("last_at").alias("last_used_at"),

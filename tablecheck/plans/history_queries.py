@@ -94,8 +94,8 @@ _EXTRACT_SQL = r"""coalesce(nullif(regexp_extract(query, '(?i)\bWHERE\s+(\w+)\s+
 
 @query("rule_normalize_pattern", with_tables(["rule_events"], f"SELECT column_name, {_pattern_sql('column_name')} AS pattern, count(*) AS n FROM rule_events GROUP BY 1, 2"))
 def _(t: Tables) -> DataFrame:
-    named = t["rule_events"].select("column_name", name_pattern(F.col("column_name")).alias("pattern"))
-    return named.groupBy("column_name", "pattern").agg(F.count("*").alias("n"))
+    counted = t["rule_events"].groupBy("column_name").agg(F.count("*").alias("n"))
+    return counted.select("column_name", name_pattern(F.col("column_name")).alias("pattern"), "n")
 
 
 @query("rule_fingerprint", with_tables(["checks"], f"SELECT id, {_FINGERPRINT_SQL} AS rule_type FROM checks"))
@@ -121,7 +121,7 @@ _LIBRARY_SQL = with_tables(["rule_events", "checks"], "", extra=_LIBRARY_CTES).r
 
 
 def _library(t: Tables) -> DataFrame:
-    events = t["rule_events"].drop("event_id").withColumn("event_at", F.col("event_at").cast("timestamp"))
+    events = t["rule_events"].drop("event_id").withColumns({"event_at": F.col("event_at").cast("timestamp"), "times": F.lit(1).cast("bigint")})
     return S.build_library(events.unionByName(S.mined_usage(t["checks"], _MINED)))
 
 

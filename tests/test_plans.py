@@ -55,6 +55,18 @@ def test_library_aggregation_of_events_is_hashed(spark, small):
     assert plan.rindex("HashAggregate") > plan.rindex("SortAggregate") if "SortAggregate" in plan else True
 
 
+def test_names_and_texts_are_read_after_grouping(spark, small):
+    checks = spark.range(900).selectExpr("if(id % 3 = 0, 'SELECT count(*) FROM t WHERE a IS NULL', 'SELECT max(b) FROM t WHERE c > 1') AS query", "'between' AS assert_type")
+    mined = suggest.mined_usage(checks, "2024-01-01")
+    assert sorted((r.column_name, r.rule_type, r.times) for r in mined.collect()) == [("a", "not_null", 300), ("c", "range", 600)]
+    each = mined.selectExpr("explode(sequence(1, times)) AS i", "*").drop("i", "times")
+    assert sorted(suggest.build_library(mined).collect()) == sorted(suggest.build_library(each).collect())
+    assert "lambda" not in mined._jdf.queryExecution().optimizedPlan().toString()
+    for key in ("rule_library_build", "rule_normalize_pattern"):
+        plan = physical(catalog.QUERIES[key](spark, small))
+        assert "RLIKE" not in plan[plan.rindex("HashAggregate"):]
+
+
 @pytest.mark.parametrize("key", sorted(catalog.QUERIES))
 def test_no_cross_joins(spark, small, key):
     if key in ("stream_suite", "stream_window_metrics"):
