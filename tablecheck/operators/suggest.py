@@ -133,7 +133,9 @@ def library_suggestions(columns: DataFrame, library: DataFrame) -> DataFrame:
     rate = F.try_divide("times_accepted", _votes())
     kept = library.where(F.coalesce((_votes() < 3) | (rate >= 0.3), F.lit(True)))
     types = F.create_map(*[F.lit(x) for pair in SUGGESTION_TYPES.items() for x in pair])
-    found = names.join(kept, "pattern").withColumn("type", F.coalesce(types[F.col("rule_type")], F.col("rule_type")))
+    # of a plain equality Spark would ask that the pattern is not null, and look at the name of every event for it
+    known = names.where("pattern IS NOT NULL").withColumnRenamed("pattern", "wanted")
+    found = known.join(kept, F.col("wanted").eqNullSafe(F.col("pattern"))).withColumn("type", F.coalesce(types[F.col("rule_type")], F.col("rule_type")))
     best = found.groupBy("column_name", "type").agg(
         F.max(F.struct("times_used", "library_id", "times_accepted", "times_rejected")).alias("best")
     )

@@ -67,6 +67,13 @@ def test_names_and_texts_are_read_after_grouping(spark, small):
         assert "RLIKE" not in plan[plan.rindex("HashAggregate"):]
 
 
+@pytest.mark.parametrize("key", ["library_suggestions", "suggest_merge"])
+def test_known_names_are_joined_without_looking_at_events(spark, small, key):
+    plan = physical(catalog.QUERIES[key](spark, small))
+    events = plan[plan.rindex("Union"):]
+    assert "rule_type" in events and "RLIKE" not in events[:events.index("FileScan")]
+
+
 @pytest.mark.parametrize("key", sorted(catalog.QUERIES))
 def test_no_cross_joins(spark, small, key):
     if key in ("stream_suite", "stream_window_metrics"):
