@@ -18,7 +18,10 @@ _E = """e AS (SELECT event_id, event_type, user_id, value, CAST(json_extract(pro
 
 
 def _events(t: Tables) -> D.Docs:
-    read = t["events"].selectExpr("event_id", "event_type", "user_id", "value", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")
+    """Rows are dealt out before documents are made of them: reading a document takes far longer than reading its row, and a
+    table of one file would be read by one task."""
+    dealt = t["events"].select("event_id", "event_type", "user_id", "value", "props").repartition("event_id")
+    read = dealt.selectExpr("event_id", "event_type", "user_id", "value", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")
     return D.documents(read.selectExpr(*_EVENT).selectExpr("concat(left(head, length(head) - 1), middle, tail) AS json"), "json")
 
 

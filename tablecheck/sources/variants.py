@@ -41,14 +41,25 @@ def kind(v: str) -> str:
 
 
 def by_kind(v: str, known: str | None = None, *, whole: str = "NULL", real: str = "NULL", texts: str = "NULL", flag: str = "NULL", array: str = "NULL", objects: str = "NULL", nothing: str = "NULL", other: str = "NULL") -> str:
-    """One of the results, by the kind of a value. ``known`` is an expression of its kind, where there is one."""
+    """One of the results, by the kind of a value. ``known`` is an expression of its kind, where there is one.
+
+    Only kinds that have a result are asked for; the kind of a value that is asked for once needs no lambda.
+    """
+    results = [
+        ("{k} IS NULL OR {k} = 'VOI'", nothing), ("{k} = 'STR'", texts), (f"{{k}} IN {_WHOLE}", whole), (f"{{k}} IN {_REAL}", real),
+        ("{k} = 'BOO'", flag), ("{k} = 'ARR'", array), ("{k} = 'OBJ'", objects),
+    ]
+    if whole == real:
+        results[2:4] = [(f"{{k}} IN {_WHOLE[:-1]}, {_REAL[1:]}", whole)]
+    asked = [(test, result) for test, result in results if result != other]
+
     def cases(k: str) -> str:
-        return (
-            f"CASE WHEN {k} IS NULL OR {k} = 'VOI' THEN {nothing} WHEN {k} = 'STR' THEN {texts} WHEN {k} IN {_WHOLE} THEN {whole} WHEN {k} IN {_REAL} THEN {real} "
-            f"WHEN {k} = 'BOO' THEN {flag} WHEN {k} = 'ARR' THEN {array} WHEN {k} = 'OBJ' THEN {objects} ELSE {other} END"
-        )
+        whens = " ".join(f"WHEN {test.format(k=k)} THEN {result}" for test, result in asked)
+        return f"CASE {whens} ELSE {other} END" if asked else other
 
-    return cases(known) if known else let(kind(v), cases)
+    if known or len(asked) == 1 and nothing == other:
+        return cases(known or kind(v))
+    return let(kind(v), cases)
 
 
 def number(v: str) -> str:

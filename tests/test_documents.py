@@ -260,3 +260,15 @@ def test_plans_of_pipelines(spark):
     assert "collect_list" not in plan and "Join Inner" in plan
     plan = D.pipeline(docs, [{"$match": {"n": 1}}, {"$group": {"_id": "$t", "s": {"$sum": "$n"}}}]).df._jdf.queryExecution()
     assert plan.optimizedPlan().toString().count("parseJson") <= 2 and "partial_sum" in plan.executedPlan().toString()
+
+
+def test_one_file_is_read_by_all_tasks(spark, small):
+    from tablecheck.plans import catalog
+    from tablecheck.sources import variants as V
+
+    plan = catalog.QUERIES["doc_stage_bucket"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange") > plan.rindex("arseJson")  # rows are dealt out below the parsing
+    assert "transform" not in V.as_text("doc") + V.as_number("doc") + V.as_whole("doc")
+    rows = spark.sql("""SELECT try_parse_json(j) AS v FROM VALUES ('1'), ('2.5'), ('"x"'), ('null'), ('true'), ('[1]'), ('{"a":1}'), (NULL) AS t(j)""")
+    got = rows.selectExpr(f"{V.as_text('v')} AS t", f"{V.as_number('v')} AS n", f"{V.as_whole('v')} AS w").collect()
+    assert [tuple(r) for r in got] == [(None, 1.0, 1), (None, 2.5, None), ("x", None, None)] + [(None, None, None)] * 5
